@@ -36,3 +36,32 @@ SELECT doc_id, size, source_size, target, taken,
  CASE WHEN taken > 0 THEN {_SCHEDULE.format(u="start::DOUBLE / quota::DOUBLE")} + 0.0 END AS position,
  CASE WHEN taken > 0 THEN {_SCHEDULE.format(u="last::DOUBLE / quota::DOUBLE")} + 0.0 END AS last_position
 FROM summed"""
+
+
+#: Escaping adds a character to each backslash and to each control string; a
+#: turn's markers take 23 characters besides role and text.
+OP2 = r"""
+WITH turns AS (
+ SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+ UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+ sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+ sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+ sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+ sum(23 + length(role) + length(text) + len(regexp_extract_all(role || ' ' || text, '\\|</?s>|\[/?INST\]')))::BIGINT AS formatted_chars
+FROM turns GROUP BY conv_id"""
+
+
+OP8 = r"""
+WITH worded AS (SELECT doc_id, regexp_extract_all(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '\x00', ' ', 'g'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+itemed AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark),
+lengths AS (SELECT item_id, words, least(13, len(words)) AS n FROM itemed WHERE len(words) > 0),
+windows AS (SELECT DISTINCT item_id, n, array_to_string(words[k:k + n - 1], ' ') AS w FROM (SELECT *, unnest(range(1, len(words) - n + 2)) AS k FROM lengths)),
+places AS (SELECT doc_id, n, k, array_to_string(words[k:k + n - 1], ' ') AS w
+ FROM (SELECT doc_id, words, n, unnest(range(1, len(words) - n + 2)) AS k FROM worded CROSS JOIN (SELECT DISTINCT n FROM windows))),
+hits AS (SELECT p.doc_id, p.n, p.k, x.item_id FROM places p JOIN windows x USING (n, w)),
+covered AS (SELECT doc_id, count(DISTINCT i) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS i FROM hits) GROUP BY doc_id),
+found AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM hits GROUP BY doc_id)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+ sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
+FROM worded LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)"""

@@ -5,8 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.llm import oracles
+from tidemark.llm.chat import format_conversations, read_back
+from tidemark.llm.decontamination import find_contamination
+from tidemark.llm.language import fit_languages, identify_languages
 from tidemark.llm.mixing import mix_sources
 
 
@@ -14,14 +18,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(held_out, F.lit(False)))
+    model = fit_languages(docs.filter(~F.col("held_out")))
+    return identify_languages(docs.select("doc_id", "held_out", "text"), model).drop("text")
+
+
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], turns.schema)
+    return read_back(format_conversations(turns.unionByName(extra)))
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken", "position", "last_position")
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = find_contamination(docs, table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_source_mixing,)}
+    return {f.__name__: f for f in (op1_language_id, op2_chat_format, op5_source_mixing, op8_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_source_mixing": oracles.OP5}
+    return {"op2_chat_format": oracles.OP2, "op5_source_mixing": oracles.OP5, "op8_decontamination": oracles.OP8}
