@@ -12,6 +12,10 @@ from tidemark.llm.chat import format_conversations, read_back
 from tidemark.llm.decontamination import find_contamination
 from tidemark.llm.language import fit_languages, identify_languages
 from tidemark.llm.mixing import mix_sources
+from tidemark.llm.pii import KINDS, count_of, find_pii, fit_trees, span_text
+from tidemark.llm.simhash import simhash_groups
+from tidemark.llm.substrings import remove_repeats
+from tidemark.llm.topk import top_k
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,20 +36,41 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_conversations(turns.unionByName(extra)))
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken", "position", "last_position")
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return top_k(vectors, vectors.filter("vec_id % 50 = 0"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = find_contamination(docs, table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = find_pii(docs, fit_trees(docs))
+    counts = [count_of(F.col("base_spans"), k).alias(f"n_{k}") for k in KINDS]
+    return found.select("doc_id", *counts, F.sha2(span_text(F.col("base_spans")), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_chat_format, op5_source_mixing, op8_decontamination)}
+    return {f.__name__: f for f in (op1_language_id, op2_chat_format, op3_simhash, op5_source_mixing, op6_substring_dedup, op7_exact_top_k, op8_decontamination, op10_personal_data)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": oracles.OP2, "op5_source_mixing": oracles.OP5, "op8_decontamination": oracles.OP8}
+    return {"op2_chat_format": oracles.OP2, "op5_source_mixing": oracles.OP5, "op6_substring_dedup": oracles.OP6, "op7_exact_top_k": oracles.OP7, "op8_decontamination": oracles.OP8}
