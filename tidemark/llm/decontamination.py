@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.store import quoted, without, written
+from tidemark.llm.store import apart, as_one, quoted, without, written
 from tidemark.llm.words import WordHashes, chunks, rolling, runs, sliding
 
 #: Words of a span that counts; an item with fewer counts as a whole.
@@ -136,21 +136,20 @@ def _member(values: np.ndarray, known: np.ndarray) -> np.ndarray:
 _OWN = ("n_words", "hit_spans", "items", "n_hit", "n_items", "contaminated")
 
 
-def _pass(docs: DataFrame, items: list[tuple[str, str]], keep: int, with_text: bool) -> DataFrame:
-    """One part of the benchmark against all documents; columns: kept ones, text, n_words, hit_spans, items."""
-    fields = docs.schema.fields[: keep + with_text]
+def _pass(docs: DataFrame, items: list[tuple[str, str]], with_text: bool) -> DataFrame:
+    """One part of the benchmark against all documents (kept, text, and what earlier parts have found)."""
     schema = T.StructType(
-        [*fields, T.StructField("n_words", T.LongType()), T.StructField("hit_spans", T.ArrayType(_SPAN)), T.StructField("items", T.ArrayType(T.StringType()))]
+        [*docs.schema.fields[: 1 + with_text], T.StructField("n_words", T.LongType()), T.StructField("hit_spans", T.ArrayType(_SPAN)), T.StructField("items", T.ArrayType(T.StringType()))]
     )
     shared = docs.sparkSession.sparkContext.broadcast(items)
-    again = len(docs.columns) > keep + 1
+    again = len(docs.columns) > 2
     spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = _Index(shared.value)
         for batch in batches:
-            found = [x for part in chunks(t.as_py() for t in batch.column(keep)) for x in index.scan(part)]
-            before = zip(batch.column(keep + 2).to_pylist(), batch.column(keep + 3).to_pylist(), strict=True) if again else ((None, ()) for _ in found)
+            found = [x for part in chunks(t.as_py() for t in batch.column(1)) for x in index.scan(part)]
+            before = zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True) if again else ((None, ()) for _ in found)
             counts, spans, names = [], [], []
             for (n, mask, own), (old_spans, old_names) in zip(found, before, strict=True):
                 if old_spans:
@@ -160,7 +159,7 @@ def _pass(docs: DataFrame, items: list[tuple[str, str]], keep: int, with_text: b
                 counts.append(n)
                 spans.append([] if mask is None else [{"start": s, "end": e} for s, e in zip(*(x.tolist() for x in runs(mask)), strict=True)])
                 names.append(sorted(own.union(old_names)))
-            columns = [*batch.columns[: keep + with_text], pa.array(counts, pa.int64()), pa.array(spans, spans_type), pa.array(names, pa.list_(pa.string()))]
+            columns = [*batch.columns[: 1 + with_text], pa.array(counts, pa.int64()), pa.array(spans, spans_type), pa.array(names, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return docs.mapInArrow(scan, schema)
@@ -196,16 +195,16 @@ def find_contamination(
     size = items.agg(F.sum(F.octet_length("words") + F.octet_length("name") + 64)).first()[0] or 0
     parts = -(-size // part_bytes) or 1
     keep = without(docs, (*_OWN, text_col))
-    rows = docs.select(*[F.col(quoted(c)) for c in keep], F.col(quoted(text_col)))
+    rows = docs.select(as_one(keep), F.col(quoted(text_col)).alias("text"))
     for k in range(parts):
         mine = items if parts == 1 else items.filter(F.pmod(F.xxhash64("name"), F.lit(parts)) == k)
         last = k == parts - 1
-        rows = _pass(rows, [tuple(r) for r in mine.collect()], len(keep), keep_text or not last)
+        rows = _pass(rows, [tuple(r) for r in mine.collect()], keep_text or not last)
         if not last:
             rows = written(rows, "decontamination")
     n_hit = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    text = [F.col("text").alias(text_col)] if keep_text else []
     return (
-        rows.withColumn("n_hit", n_hit)
-        .withColumn("n_items", F.size("items").cast("long"))
+        rows.select(*apart(keep), *text, "n_words", "hit_spans", "items", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"))
         .withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words")))
     )

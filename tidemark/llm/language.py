@@ -15,6 +15,7 @@ punctuation carry no language and are taken away first.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.store import quoted, without
+from tidemark.llm.store import apart, as_one, quoted, without
 
 #: The answer for a text that is null or has no letter.
 UNDETERMINED = "und"
@@ -44,7 +45,7 @@ def letters_only(text: str) -> str:
 
 @dataclass(frozen=True)
 class LanguageModel:
-    """For each language, in code point order, its large dictionary and its small ones."""
+    """For each language, the most common first, its large dictionary and its small ones."""
 
     languages: tuple[str, ...]
     large: tuple[bytes, ...]
@@ -82,12 +83,14 @@ def fit_languages(
         .filter(F.col("lang").isNotNull() & F.col("text").rlike(LETTER))
         .select("lang", F.xxhash64("text").alias("h"), F.substring("text", 1, slice_chars).alias("slice"))
         .groupBy("lang", F.pmod("h", F.lit(sample)).alias("range"))
-        .agg(F.min_by("slice", "h").alias("slice"))
+        .agg(F.min_by("slice", "h").alias("slice"), F.count("*").alias("n"))
     )
     slices: dict[str, list[tuple[int, str]]] = {}
+    texts: Counter[str] = Counter()
     for row in drawn.collect():
         slices.setdefault(row["lang"], []).append((row["range"], letters_only(row["slice"])))
-    languages = tuple(sorted(slices))
+        texts[row["lang"]] += row["n"]
+    languages = tuple(sorted(slices, key=lambda lang: (-texts[lang], lang)))
     large, small = [], []
     for lang in languages:
         ordered = [s for _, s in sorted(slices[lang])]
@@ -126,7 +129,7 @@ class _Scorer:
     def judge(self, text: str) -> tuple[str, float]:
         """The language and the margin to the runner-up, 0 to 1.
 
-        Equal sizes go to the language that comes first by code point, with margin 0.
+        Equal sizes go to the language of which more texts were labelled, with margin 0.
         """
         sizes = self.sizes(text)
         best = min(range(len(sizes)), key=sizes.__getitem__)
@@ -149,17 +152,16 @@ def identify_languages(docs: DataFrame, model: LanguageModel, text_col: str = "t
     keep = without(docs, ("lang_pred", "score", "lang_rejected"))
     text = F.col(quoted(text_col))
     judged = F.when(text.rlike(LETTER), text) if model.languages else F.lit(None).cast("string")
-    rows = docs.select(*[F.col(quoted(c)) for c in keep], judged.alias("__judged"))
-    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    rows = docs.select(as_one(keep), judged.alias("text"))
+    schema = T.StructType([rows.schema["kept"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _Scorer(shared.value)
         for batch in batches:
-            found = [(UNDETERMINED, 0.0) if t is None else scorer.judge(t) for t in batch.column(len(keep)).to_pylist()]
-            columns = [*batch.columns[:-1], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
+            found = [(UNDETERMINED, 0.0) if t is None else scorer.judge(t) for t in (x.as_py() for x in batch.column(1))]
+            columns = [batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return rows.mapInArrow(judge, schema).withColumn(
-        "lang_rejected", (F.col("lang_pred") == UNDETERMINED) | (F.col("score") < min_margin)
-    )
+    rejected = (F.col("lang_pred") == UNDETERMINED) | (F.col("score") < min_margin)
+    return rows.mapInArrow(judge, schema).select(*apart(keep), "lang_pred", "score", rejected.alias("lang_rejected"))

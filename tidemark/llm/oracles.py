@@ -1,5 +1,7 @@
 """DuckDB SQL for the queries that SQL can express."""
 
+from tidemark.llm import licenses as _licenses
+
 _SCHEDULE = """
 CASE (source_rank - 1) % 3
  WHEN 0 THEN least(({u}) * 1.0::DOUBLE, 1.0)
@@ -85,3 +87,38 @@ places AS (SELECT doc_id, unnest(range(1, len(words) + 1)) AS i, unnest(words) A
 kept AS (SELECT p.doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS kept FROM places p ANTI JOIN gone g USING (doc_id, i) GROUP BY p.doc_id)
 SELECT w.doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(k.n, 0))::BIGINT AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
 FROM worded w LEFT JOIN kept k USING (doc_id)"""
+
+
+def _op4() -> str:
+    """The licence scan; its tables of sentences and rules are those of the operator."""
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    sentences = ", ".join(f"({quote(s)}, {quote(i)})" for s, i in _licenses.known().items())
+    cuts = ", ".join(f"({k}, {quote(cut)})" for k, cut in enumerate(_licenses.CUTS))
+
+    def matched(ids: str) -> tuple[list[str], str]:
+        out, rest = [], ids
+        for name, run in _licenses.RULES:
+            held = quote("".join(f"<{i}>" for i in run))
+            out.append(f"CASE WHEN contains({rest}, {held}) THEN {quote(name)} END")
+            rest = f"replace({rest}, {held}, '')"
+        return out, rest
+
+    (over, _), (within, _), (_, rest) = matched("over_ids"), matched("within_ids"), matched("ids")
+    names = list(dict.fromkeys(name for name, _ in _licenses.RULES))
+    found = ", ".join(f"coalesce({a}, {b})" for a, b in zip(over, within, strict=True))
+    return rf"""
+WITH known(s, i) AS (VALUES {sentences}), cuts(cut, how) AS (VALUES {cuts}),
+units AS (SELECT doc_id, cut, unnest(parts) AS part, generate_subscripts(parts, 1) AS k
+ FROM (SELECT doc_id, cut, CASE cut WHEN 0 THEN regexp_split_to_array(text, {quote(_licenses.CUTS[0])}) ELSE regexp_split_to_array(text, {quote(_licenses.CUTS[1])}) END AS parts FROM documents, cuts)),
+normal AS (SELECT doc_id, cut, k, replace(trim(regexp_replace(lower(part), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), 'licence', 'license') AS s FROM units),
+ids AS (SELECT doc_id, coalesce(string_agg('<' || i || '>', '' ORDER BY k) FILTER (cut = 0), '') AS over_ids, coalesce(string_agg('<' || i || '>', '' ORDER BY k) FILTER (cut = 1), '') AS within_ids
+ FROM normal JOIN known USING (s) GROUP BY doc_id),
+best AS (SELECT *, CASE WHEN length(within_ids) - length(replace(within_ids, '<', '')) > length(over_ids) - length(replace(over_ids, '<', '')) THEN within_ids ELSE over_ids END AS ids FROM ids),
+named AS (SELECT doc_id, ids, list_filter([{found}], lambda x: x IS NOT NULL) AS held, {rest} AS rest FROM best)
+SELECT d.doc_id, coalesce(replace(replace(replace(ids, '><', ','), '<', ''), '>', ''), '') AS sentence_ids,
+ coalesce(array_to_string(list_filter([{", ".join(map(quote, names))}], lambda n: list_contains(held, n)), ','), '') AS licenses,
+ coalesce(length(rest) - length(replace(rest, '<', '')), 0)::BIGINT AS n_unmatched
+FROM documents d LEFT JOIN named USING (doc_id)"""
+
+
+OP4 = _op4()

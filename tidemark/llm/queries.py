@@ -11,8 +11,10 @@ from tidemark.llm import oracles
 from tidemark.llm.chat import format_conversations, read_back
 from tidemark.llm.decontamination import find_contamination
 from tidemark.llm.language import fit_languages, identify_languages
+from tidemark.llm.licenses import scan_licenses
 from tidemark.llm.mixing import mix_sources
 from tidemark.llm.pii import KINDS, count_of, find_pii, fit_trees, span_text
+from tidemark.llm.repeats import remove_repeated_bytes
 from tidemark.llm.simhash import simhash_groups
 from tidemark.llm.substrings import remove_repeats
 from tidemark.llm.topk import top_k
@@ -40,6 +42,11 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.array_join("sentence_ids", ",").alias("sentence_ids"), F.array_join("licenses", ",").alias("licenses"), "n_unmatched")
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken", "position", "last_position")
@@ -61,6 +68,11 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = remove_repeated_bytes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = find_pii(docs, fit_trees(docs))
@@ -69,8 +81,8 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_chat_format, op3_simhash, op5_source_mixing, op6_substring_dedup, op7_exact_top_k, op8_decontamination, op10_personal_data)}
+    return {f.__name__: f for f in (op1_language_id, op2_chat_format, op3_simhash, op4_license_scan, op5_source_mixing, op6_substring_dedup, op7_exact_top_k, op8_decontamination, op9_suffix_dedup, op10_personal_data)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": oracles.OP2, "op5_source_mixing": oracles.OP5, "op6_substring_dedup": oracles.OP6, "op7_exact_top_k": oracles.OP7, "op8_decontamination": oracles.OP8}
+    return {"op2_chat_format": oracles.OP2, "op4_license_scan": oracles.OP4, "op5_source_mixing": oracles.OP5, "op6_substring_dedup": oracles.OP6, "op7_exact_top_k": oracles.OP7, "op8_decontamination": oracles.OP8}

@@ -5,7 +5,8 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Used only where the session names no shared folder, as in tests.
 LOCAL_FOLDER = "/tmp/checkpoints"
@@ -39,5 +40,15 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def as_one(names: list[str]) -> Column:
+    """Columns as one, ``kept``: so that a task passes them on whatever they are called."""
+    return (F.struct(*[F.col(quoted(c)).alias(c) for c in names]) if names else F.lit(0)).alias("kept")
+
+
+def apart(names: list[str]) -> list[Column]:
+    """The columns that ``as_one`` has put together."""
+    return [F.col("kept").getField(c).alias(c) for c in names]
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
