@@ -8,6 +8,7 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.text import is_true, outer_braces
 
@@ -55,7 +56,7 @@ def ordered_pairs(raw: Column, keys: Sequence[str]) -> Column:
     return F.filter(pairs, lambda p: is_true(p["value"]))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def strict_json(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """The text if it is JSON to the letter, else null.
 

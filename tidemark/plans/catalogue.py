@@ -161,9 +161,9 @@ def rolling_admission_stream(spark, sf_dir):
     return _streamed(spark, sf_dir, "admission", stateful.admit_stream)
 
 
-@query("SELECT DISTINCT user_id AS \"userId\", ts::DATE AS day FROM events")
+@query("SELECT DISTINCT user_id AS \"userId\", strftime(ts, '%Y-%m-%d') AS day FROM events")
 def first_draw_stream(spark, sf_dir):
-    return _streamed(spark, sf_dir, "draws", lambda s: stateful.first_draws_stream(s).select("userId", F.to_date("createdAt").alias("day")))
+    return _streamed(spark, sf_dir, "draws", lambda s: stateful.first_draws_stream(s).select("userId", D.day_label(F.col("createdAt")).alias("day")))
 
 
 _FIRST = "row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY ts, event_id)"
