@@ -9,7 +9,6 @@ both sides.
 from __future__ import annotations
 
 import json
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +21,7 @@ from tidemark.functions import times as D
 from tidemark.operators import admission, cards, draws, history
 from tidemark.plans import interpretation
 from tidemark.sources import entries as S
+from tidemark.sources.staging import fresh_path
 from tidemark.streaming import stateful
 
 #: (query, SQL or None) by name.
@@ -150,8 +150,7 @@ def _streamed(spark: SparkSession, sf_dir: str, name: str, run: Callable[[DataFr
     rows = _entries(spark, sf_dir)
     source = spark.readStream.schema(_table(spark, sf_dir, "events").schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(f"{sf_dir}/events.parquet*")
     out = run(source.toDF(*rows.columns))
-    shared = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()).rstrip("/")
-    at = f"{shared}/tidemark-stream-{name}-{spark.sparkContext.applicationId}-{abs(hash((sf_dir, id(out))))}"
+    at = fresh_path(spark, f"stream-{name}")
     out.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/log").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{at}/out")
 

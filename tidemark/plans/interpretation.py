@@ -13,6 +13,7 @@ from tidemark.functions import json as J
 from tidemark.functions.text import MAX_UNITS, join_or, prompt, utf16_length, web_trim
 from tidemark.operators.admission import HOURS, LIMIT, admit
 from tidemark.sources.schemas import FORTUNE, SYMBOLS
+from tidemark.sources.staging import staged
 
 #: Answers: no identity, no text, text too long / quota used up / model failed / fine.
 BAD, OVER, FAILED, FINE = 400, 429, 502, 200
@@ -69,13 +70,14 @@ def interpret(requests: DataFrame, model: Model | None, template: str, no_tags:
     Checks that cost little come first, in a stage of their own.  The quota sees what
     was stored, so a request whose reply fails uses none: replies are asked for
     all valid requests and the quota is judged over those with a good one; a
-    request over quota is answered as such and its reply thrown away.
+    request over quota is answered as such and its reply thrown away.  Replies are
+    written to the shared folder, so no prompt is sent twice.
     """
     if model is None:
         raise ValueError("a model is needed")
     rows = normalized(requests).withColumn("problem", validity(F.col("user_id"), F.col("dream_text")))
     valid = rows.filter("problem IS NULL").withColumn("prompt", prompt(template, text=F.col("dream_text"), tags=join_or(F.col("mood_tags"), no_tags)))
-    replied = asked(valid, model).withColumn("json", J.reply_json(F.col("reply")))
+    replied = staged(asked(valid, model), "replies").withColumn("json", J.reply_json(F.col("reply")))
     replied = replied.withColumn("good", F.coalesce(J.has_shape(F.try_parse_json("json")), F.lit(False)))
     good = admit(replied.filter("good"), "user_id", "request_ts", "id", limit, hours)
     judged = good.unionByName(replied.filter("NOT good").withColumn("admitted", F.lit(True)))
