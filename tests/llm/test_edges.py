@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import chat, packed
 from tidemark.llm.decontamination import find_contamination
 from tidemark.llm.language import fit_languages, identify_languages
+from tidemark.llm.licenses import RULES, TEXTS, known, scan_licenses
 from tidemark.llm.mixing import inverse_demand, mix_sources, source_targets
 from tidemark.llm.pii import Trees, find_pii, fit_trees, redact, span_text
 from tidemark.llm.repeats import intervals, remove_repeated_bytes
@@ -218,3 +219,26 @@ def test_candidates_are_learned(spark):
     assert trees.trees and trees.threshold < float("inf")
     new = spark.createDataFrame([(1, "version 1.300.2.9 of page 12345")], "doc_id long, text string")
     assert find_pii(new, trees).first()["spans"] == []
+
+
+def test_licenses(spark, docs, empty):
+    mit = ". ".join(TEXTS[k][0] for k in ("mit-grant", "mit-notice", "mit-as-is")) + "."
+    texts = {
+        1: f"MIT License\n\nCopyright (c) 2020 A\n\n{mit}".replace("files (the", "files\n(the"),
+        2: "some words\nLicensed under CC BY-NC 4.0.\nThis work is licensed under the GNU General Public Licence, version 3!",
+        3: "text.***\nReleased under the MIT License.",
+        4: "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0.",
+        5: "we licensed under no circumstances the mit license",
+        6: "SPDX-License-Identifier: Apache-2.0\n" + "x " * 50_000,
+        7: None,
+        8: "!" * 100_000,
+    }
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string").withColumn("licenses", F.lit(1)).withColumn("a.b", F.lit(2))
+    got = {r["doc_id"]: (r["sentence_ids"], r["licenses"], r["n_unmatched"]) for r in scan_licenses(frame).collect()}
+    assert got[1] == (["mit-grant", "mit-notice", "mit-as-is"], ["MIT"], 0)
+    assert got[2] == (["ref-cc-by-nc-4.0", "ref-gpl-3.0"], ["GPL-3.0", "CC-BY-NC-4.0"], 0)
+    assert got[3] == (["ref-mit"], ["MIT"], 0) and got[4] == (["apache-obtain"], [], 1)
+    assert got[6] == (["ref-apache-2.0"], ["Apache-2.0"], 0)
+    assert got[5] == got[7] == got[8] == ([], [], 0)
+    assert scan_licenses(docs).count() == 13 and scan_licenses(empty).count() == 0
+    assert {i for _, run in RULES for i in run} <= set(known().values())
