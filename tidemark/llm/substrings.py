@@ -304,7 +304,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     parts = partitions(docs.sparkSession)
     rows = packed.keyed(docs, id_col, text_col)
     known = written(rows.select("id", "hash").distinct(), "known")
-    heads = known.groupBy("hash").agg(F.min("id").alias("head")).withColumnRenamed("hash", "of")
+    heads = known.groupBy(F.col("hash").alias("of")).agg(F.min("id").alias("head"), F.count("*").alias("n"))
+    heads = written(heads.filter("n > 1"), "heads")  # apart from the grouping, so that the join can split a hash with many copies
     copies = written(known.join(heads, F.col("hash") == F.col("of")).filter("id <> head").select("id", "hash"), "copies")
 
     probes = packed.dealt(rows.mapInArrow(_probe_chunks(parts), packed.MESSAGE), parts)

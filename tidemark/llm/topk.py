@@ -180,7 +180,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
     groups = max(1, math.ceil(asked.count() / BLOCK_QUERIES))
     index = written(rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).groupBy("block").applyInPandas(build_block, _INDEX), "slices")
     batches = asked.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int").alias("group")).agg(F.collect_list(F.struct("vec_id", "q")).alias("asked"))
-    met = index.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).join(batches, "group")
+    met = index.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).repartition("block", "group").join(batches, "group")
 
     def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
