@@ -13,6 +13,7 @@ from tidemark.functions import times as D
 from tidemark.operators import admission, cards, draws, history
 from tidemark.plans import interpretation
 from tidemark.sources import entries as S
+from tidemark.streaming import stateful
 
 T0 = datetime(2024, 3, 1, 10)
 ENTRY = "id long, userId string, type string, createdAt timestamp_ntz"
@@ -139,3 +140,39 @@ def test_written_rows_have_the_whole_schema(spark, tmp_path):
     back = S.read_entries(spark, str(tmp_path / "e")).first()
     assert back["type"] == "TAROT" and len(back["id"]) == 36 and back["dreamText"] is None and made.count() == 1
     assert history.with_defaults(S.read_entries(spark, str(tmp_path / "e"))).first()["fortune"]["omen"] is None
+
+
+def test_random_draws_stay_in_range(spark):
+    rows = spark.range(20_000).select(cards.random_pick(78, 3).alias("n"), cards.random_chance(seed=4).alias("r"))
+    got = rows.agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.count_distinct("n").alias("k"), F.avg(F.col("r").cast("int")).alias("share")).first()
+    assert (got["lo"], got["hi"], got["k"]) == (0, 77, 78) and 0.33 < got["share"] < 0.37
+
+
+def test_requests_are_read_and_answered(spark, tmp_path):
+    (tmp_path / "r.json").write_text('{"user_id": "u", "request_ts": "2024-03-01T10:00:00", "raw_body": "{"}\n{"user_id": null, "more": 1}\n')
+    rows = S.read_requests(spark, str(tmp_path))
+    assert sorted((tuple(r) for r in rows.collect()), key=str) == [("u", T0, "{"), (None, None, None)]
+    assert sorted(r["response"] for r in S.responses(rows, "user_id", "raw_body").collect()) == ['{"user_id":"u","raw_body":"{"}', "{}"]
+
+
+@pytest.mark.parametrize(("advice", "kept"), [('"go"', "go"), ('""', None), ("0", None), ("false", None), ("3", "3"), ("null", None)])
+def test_advice_counts_if_it_is_true(spark, advice, kept):
+    said = F.try_parse_json(F.lit('{"advice": %s, "more": {"b": [], "a": 1}}' % advice))
+    assert one(spark, J.true_member(said, "advice")) == kept
+    assert one(spark, J.stored_member(said, "more")) == '{"a":1,"b":[]}' and one(spark, J.stored_member(said, "none")) is None
+
+
+def test_streams_agree_with_batches_over_several_batches(spark, tmp_path):
+    rows = [(f"u{k % 3}", k, T0 + timedelta(minutes=29 * k)) for k in range(90)]
+    frame = spark.createDataFrame(rows, "userId string, id long, createdAt timestamp_ntz")
+    for part in range(3):
+        frame.filter((F.col("id") >= 30 * part) & (F.col("id") < 30 * part + 30)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    out = {}
+    for name, run in (("admitted", stateful.admit_stream), ("first", stateful.first_draws_stream)):
+        made = run(spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")))
+        made.writeStream.format("parquet").option("path", str(tmp_path / name)).option("checkpointLocation", str(tmp_path / f"{name}-log")).trigger(availableNow=True).start().awaitTermination()
+        out[name] = spark.read.parquet(str(tmp_path / name)).collect()
+    expected = {r["id"]: r["admitted"] for r in admission.admit(frame).collect()}
+    assert not all(expected.values()) and {r["id"]: r["admitted"] for r in out["admitted"]} == expected
+    days = lambda rows: sorted((r["userId"], r["createdAt"].date()) for r in rows)
+    assert days(out["first"]) == days(draws.first_of_day(frame).collect())

@@ -96,6 +96,18 @@ def _truthy(value: Column) -> Column:
     )
 
 
+def true_member(value: Column, name: str) -> Column:
+    """A member as text if it is true, else null."""
+    member = _member(value, f"$.{name}")
+    return F.when(_truthy(member), F.try_variant_get(member, "$", "string"))
+
+
+def stored_member(value: Column, name: str) -> Column:
+    """A nested member as JSON text with all that it holds; null if it is missing or null."""
+    member = _member(value, f"$.{name}")
+    return F.when(_kind(member) != "VOID", F.to_json(member))
+
+
 def has_shape(value: Column, fields: Sequence[str] = TOP_FIELDS, fortune: Sequence[str] = FORTUNE_FIELDS) -> Column:
     """Whether a reply has all top fields, an array of symbols (which may be empty) and all fortune fields."""
     symbols = F.coalesce(F.try_variant_get(value, "$.symbols", "array<variant>").isNotNull() & _kind(_member(value, "$.symbols")).startswith("ARRAY"), F.lit(False))

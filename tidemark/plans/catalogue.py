@@ -312,6 +312,14 @@ def strict_json_parse(spark, sf_dir):
     return _entries(spark, sf_dir).select("id", J.reply_json(said).alias("json"))
 
 
+@query("""SELECT event_id AS id, CASE WHEN event_type NOT IN ('click', 'error') THEN '{"extra":[1,2],"omen":"' || event_type || '"}' END AS fortune, '[{"name":"a"}]' AS symbols FROM events""")
+def stored_members(spark, sf_dir):
+    kind = F.col("type")
+    fortune = F.when(kind == "click", '"fortune":null,').when(kind == "error", "").otherwise(F.concat(F.lit('"fortune":{"omen":"'), kind, F.lit('","extra":[1,2]},')))
+    said = F.try_parse_json(F.concat(F.lit("{"), fortune, F.lit('"symbols":[{"name":"a"}],"other":1}')))
+    return _entries(spark, sf_dir).select("id", J.stored_member(said, "fortune").alias("fortune"), J.stored_member(said, "symbols").alias("symbols"))
+
+
 @query("SELECT event_id AS id, CASE WHEN event_type = 'click' THEN 400 WHEN value < 20 THEN 429 WHEN event_type = 'view' THEN 502 ELSE 200 END::INT AS status FROM events")
 def status_chain(spark, sf_dir):
     kind = F.col("type")
@@ -340,6 +348,18 @@ def echo_model(prompts: list[str]) -> list[str | None]:
     return [None if len(p) % 7 == 0 else "Here: " + json.dumps(fields) for p in prompts]
 
 
+def advice_model(prompts: list[str]) -> list[str | None]:
+    """Stands in for a text model that reads cards: good advice, a number, what counts as none, and no answer."""
+    said = {"view": '{{"advice": "go {}"}}', "click": 'Well: {{"advice": 3}}', "purchase": '{{"advice": 0}}', "signup": '{{"other": "{}"}}'}
+    return [said[name].format(way) if name in said else None for name, way in (p.split() for p in prompts)]
+
+
+@query("SELECT event_id AS id, CASE event_type WHEN 'view' THEN 'go ' || CASE WHEN value > 50 THEN 'reversed' ELSE 'upright' END WHEN 'click' THEN '3' END AS advice FROM events")
+def draw_readings(spark, sf_dir):
+    rows = _entries(spark, sf_dir).select("id", F.col("type").alias("name"), history.orientation(F.col("value") > 50, "upright", "reversed").alias("orientation"), F.lit("").alias("meaning"))
+    return interpretation.read_draws(rows, advice_model, "{name} {orientation}{meaning}").select("id", F.col("tarotAdvice").alias("advice"))
+
+
 _PIPELINE = """
 WITH said AS (SELECT conv_id * 1000 + turn AS id, conv_id, turn, text, text = '' OR length(text) > 1000 AS bad, length('Read ' || text || ' with none') % 7 = 0 AS lost FROM conversations),
 judged AS (SELECT *, count(*) FILTER (NOT bad AND NOT lost) OVER (PARTITION BY conv_id ORDER BY turn) AS used FROM said)

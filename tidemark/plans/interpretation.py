@@ -94,5 +94,5 @@ def interpret(requests: DataFrame, model: Model | None, template: str, no_tags:
 def read_draws(draws: DataFrame, model: Model, template: str) -> DataFrame:
     """Draws (name, orientation, meaning) with the model's advice; rows whose advice is missing have null."""
     rows = draws.withColumn("prompt", prompt(template, name=F.col("name"), orientation=F.col("orientation"), meaning=F.col("meaning")))
-    reply = F.try_variant_get(F.try_parse_json(J.reply_json(F.col("reply"))), "$.advice", "string")
-    return asked(rows, model).withColumn("tarotAdvice", F.when(reply != "", reply)).drop("prompt", "reply")
+    advice = J.true_member(F.try_parse_json(J.reply_json(F.col("reply"))), "advice")
+    return asked(rows, model).withColumn("tarotAdvice", advice).drop("prompt", "reply")
