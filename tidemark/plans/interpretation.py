@@ -71,14 +71,15 @@ def interpret(requests: DataFrame, model: Model | None, template: str, no_tags:
     was stored, so a request whose reply fails uses none: replies are asked for
     all valid requests and the quota is judged over those with a good one; a
     request over quota is answered as such and its reply thrown away.  Replies are
-    written to the shared folder, so no prompt is sent twice.
+    judged and written to the shared folder, so no prompt is sent twice and no
+    reply is parsed twice.
     """
     if model is None:
         raise ValueError("a model is needed")
     rows = normalized(requests).withColumn("problem", validity(F.col("user_id"), F.col("dream_text")))
     valid = rows.filter("problem IS NULL").withColumn("prompt", prompt(template, text=F.col("dream_text"), tags=join_or(F.col("mood_tags"), no_tags)))
-    replied = staged(asked(valid, model), "replies").withColumn("json", J.reply_json(F.col("reply")))
-    replied = replied.withColumn("good", F.coalesce(J.has_shape(F.try_parse_json("json")), F.lit(False)))
+    replied = asked(valid, model).withColumn("json", J.reply_json(F.col("reply")))
+    replied = staged(replied.withColumn("good", F.coalesce(J.has_shape(F.try_parse_json("json")), F.lit(False))), "replies")
     good = admit(replied.filter("good"), "user_id", "request_ts", "id", limit, hours)
     judged = good.unionByName(replied.filter("NOT good").withColumn("admitted", F.lit(True)))
     fields = "title string, traditional string, psychological string, mood string, advice string, symbols {}, fortune {}".format(SYMBOLS.simpleString(), FORTUNE.simpleString())
