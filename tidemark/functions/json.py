@@ -15,6 +15,7 @@ from tidemark.functions.text import is_true, outer_braces
 #: Tags of a request that are kept.
 MAX_TAGS = 5
 
+# Names of a reply's fields.
 TOP_FIELDS = ("title", "traditional", "psychological", "mood", "advice")
 FORTUNE_FIELDS = ("wealth", "relationship", "love", "health", "omen")
 

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The characters that the web platform trims.
 WHITE = r"\t-\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 
+# What static files' paths begin with.
+STATIC = ("_next/static", "_next/image", "favicon.ico")
+
 #: Longest text that is let in, in UTF-16 units.
 MAX_UNITS = 1000
 
@@ -55,7 +60,7 @@ def entry_link(key: Column) -> Column:
 
 def is_page(path: Column) -> Column:
     """Whether a path is a page: not under the folders of static files, and not the icon."""
-    return path.rlike(r"^/(?!_next/static|_next/image|favicon\.ico).*$")
+    return path.startswith("/") & ~path.rlike("^/(?:" + "|".join(map(re.escape, STATIC)) + ")")
 
 
 def ensured_identity(cookie: Column) -> Column:
