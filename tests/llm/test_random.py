@@ -44,6 +44,21 @@ def test_repeats_of_few_words(spark, seed):
     assert got == expected and any(n for _, n, _ in expected.values())
 
 
+def test_equal_rows_of_several_partitions_are_one_document(spark):
+    one, two = (" ".join(f"{name}{k}" for k in range(30)) for name in "ab")
+    given = [(1, one), (2, two + " end"), (3, "c " + two), (None, one + " d")]
+    frame = spark.createDataFrame(spark.sparkContext.parallelize(given * 6, 12), "doc_id long, text string")
+    expected = {1: (30, 0, one), 2: (31, 0, two + " end"), 3: (31, 30, "c"), None: (31, 30, "d")}
+    # joined by broadcast, and by a shuffle
+    for limit in ("10MB", "-1"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        try:
+            rows = remove_repeats(frame).collect()
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        assert sorted((str(r["id"]), r["n_words"], r["n_removed"], r["kept"]) for r in rows) == sorted((str(k), *expected[k]) for k, _ in given * 6)
+
+
 @pytest.mark.parametrize("seed", [3, 4])
 def test_contamination_with_few_words(spark, seed):
     given, items = texts(seed, 150), {}

@@ -312,7 +312,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     hits = packed.gathered(probes.mapInArrow(_match, packed.ANSWER), _candidates)
     hits = written(hits, "hits").dropDuplicates(["id", "hash"]).join(copies, ["id", "hash"], "left_anti")
 
-    near = rows.join(hits, ["id", "hash"]).select("id", "hash", "starts", "ends", "text").sortWithinPartitions("id", "hash")
+    # dealt before the join, so that equal rows meet in one task whichever way Spark joins
+    near = rows.repartition("id", "hash").join(hits, ["id", "hash"]).select("id", "hash", "starts", "ends", "text").sortWithinPartitions("id", "hash")
     windows = packed.dealt(near.mapInArrow(_window_chunks(parts), packed.MESSAGE), parts)
     gone = written(packed.gathered(windows.mapInArrow(_later, packed.ANSWER), _covered), "gone")
     gone = gone.withColumn("copy", F.lit(False)).unionByName(copies.withColumn("copy", F.lit(True)), allowMissingColumns=True)
