@@ -242,3 +242,37 @@ def test_licenses(spark, docs, empty):
     assert got[5] == got[7] == got[8] == ([], [], 0)
     assert scan_licenses(docs).count() == 13 and scan_licenses(empty).count() == 0
     assert {i for _, run in RULES for i in run} <= set(known().values())
+
+
+def test_licenses_of_real_headers(spark):
+    gnu = "/* This {what} is free software{mark} you can redistribute it and/or modify\n * it under the terms of the GNU {name} as published by\n * the Free Software Foundation{version}.\n *\n * This {what} is distributed in the hope that it will be useful,\n * but WITHOUT ANY WARRANTY; without even the implied warranty of\n * MERCHANTABILITY. */\n"
+    later = "either version {} of the License, or\n * (at your option) any later version"
+    gpl, lesser, affero = "General Public License", "Lesser General Public License", "Affero General Public License"
+    made = lambda mark, name, version, what="program": gnu.format(what=what, mark=mark, name=name, version=version)
+    mpl = "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. {}. If a copy of the MPL was not distributed with this\n * file, You can obtain one at https://mozilla.org/MPL/{}/. */\n"
+    texts = {
+        "MPL-2.0": mpl.format("2.0", "2.0"),
+        "MPL": mpl.format("9.0", "9.0"),
+        "GPL-2.0-or-later": made(";", gpl, "; " + later.format(2)),
+        "GPL-3.0-or-later": made(";", gpl, "; " + later.format(3)),
+        "GPL-3.0-or-later ": made(":", gpl, ", " + later.format(3)),
+        "GPL-2.0-or-later ": made(";", gpl, "; either version 2, or (at your option)\n * any later version"),
+        "GPL-2.0-only": made(";", gpl, "; version 2 of the License"),
+        "GPL-2.0-only ": made(";", gpl + " version 2", ""),
+        "GPL": made(";", gpl, ""),
+        "LGPL-2.1-or-later": made(";", lesser, "; " + later.format("2.1"), "library"),
+        "LGPL-3.0-or-later": made(":", lesser, ", " + later.format(3)),
+        "LGPL-2.0-or-later": made(";", "Library General Public License", "; " + later.format(2), "library"),
+        "LGPL-2.1-only": made(";", lesser, "; version 2.1 of the License", "library"),
+        "AGPL-3.0-or-later": made(":", affero, ", " + later.format(3)),
+        "AGPL-3.0-or-later ": made(";", affero, "; " + later.format(3)),
+        "AGPL-3.0-or-later  ": made(":", affero, "; " + later.format(3)),
+    }
+    rows = scan_licenses(spark.createDataFrame(list(texts.items()), "name string, text string")).collect()
+    assert {r["name"]: (r["licenses"], r["n_unmatched"]) for r in rows} == {n: ([n.strip()], 0) for n in texts}
+
+
+def test_known_sentences_survive_the_cuts(spark, monkeypatch):
+    monkeypatch.setitem(TEXTS, "mpl-form", ("This is subject to the Mozilla Public License, v. 2.0",))
+    with pytest.raises(ValueError, match="cut within"):
+        scan_licenses(spark.createDataFrame([], "doc_id long, text string"))

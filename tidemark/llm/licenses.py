@@ -14,6 +14,7 @@ All of it is column expressions on the row; nothing is shuffled.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -46,7 +47,7 @@ NOTICES = ("Licensed under {}", "This work is licensed under {}", "This file is
 
 # Sentences of licence texts and headers.
 TEXTS = {
-    "apache-compliance": ('Licensed under the Apache License, Version 2.0 (the "License")', 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License'),
+    "apache-compliance": ('Licensed under the Apache License, Version 2.0 (the "License")', 'Licensed under the Apache License, Version 2.0 (the "License"), you may not use this file except in compliance with the License'),
     "apache-comply": ("you may not use this file except in compliance with the License",),
     "apache-obtain": ("You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "You may obtain a copy of the License at https://www.apache.org/licenses/LICENSE-2.0"),
     "apache-as-is": ('Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied',),
@@ -58,16 +59,54 @@ TEXTS = {
     "bsd-source": ("Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer",),
     "bsd-binary": ("Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution",),
     "bsd-endorse": ("Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",),
-    "gpl2-or-later": ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
-    "gpl2-version": ("either version 2 of the License, or (at your option) any later version",),
-    "gpl3-or-later": ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",),
-    "gpl-warranty": ("but WITHOUT ANY WARRANTY", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY"),
-    "mpl-form": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",),
+    "gpl-warranty": ("but WITHOUT ANY WARRANTY", *(f"This {what} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY" for what in ("program", "library", "file"))),
+    "mpl-form": ("This Source Code Form is subject to the terms of the Mozilla Public License, v.2.0",),
+    "mpl-form-cut": ("This Source Code Form is subject to the terms of the Mozilla Public License, v",),
+    "mpl-copy": tuple(f"If a copy of the MPL was not distributed with this file, You can obtain one at {at}mozilla.org/MPL/2.0/" for at in ("http://", "https://", "http://www.", "https://www.")),
     "isc-grant": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",),
     "public-domain": ("This is free and unencumbered software released into the public domain", "This work is in the public domain"),
     "all-rights": ("All rights reserved, no license is granted",),
 }
 
+# Licences of the Free Software Foundation, with the names in headers, and the versions that headers state.
+FAMILIES = {
+    "GPL": (("GNU General Public License",), ("2", "3")),
+    "LGPL": (("GNU Lesser General Public License", "GNU Library General Public License"), ("2", "2.1", "3")),
+    "AGPL": (("GNU Affero General Public License",), ("3",)),
+}
+
+
+def _headers() -> tuple[dict[str, tuple[str, ...]], list[tuple[str, tuple[str, ...]]]]:
+    """Sentences of the headers of ``FAMILIES``, and their rules.
+
+    After a semicolon the version is a sentence of its own, which says nothing of
+    the licence; after a comma it is part of the sentence with the licence's name.
+    """
+    subjects = ("", *(f"This {what} is free software: " for what in ("program", "library", "file")))
+    texts: dict[str, tuple[str, ...]] = {}
+    rules, bare = [], []
+    for family, (called, versions) in FAMILIES.items():
+        short = family.lower()
+        terms = f"{short}-terms"
+        starts = [(f"{who}you can redistribute it and/or modify it under the terms of ", name) for who in subjects for name in called]
+        end = " as published by the Free Software Foundation"
+        texts[terms] = tuple(f"{start}the {name}{end}" for start, name in starts)
+        for v in versions:
+            later = (f"either version {v} of the License, or (at your option) any later version", f"either version {v}, or (at your option) any later version")
+            only = f"version {v} of the License"
+            texts[f"gpl{v}-version"], texts[f"gpl{v}-only-version"] = later, (only,)
+            texts[f"{short}{v}-or-later"] = tuple(f"{start}the {name}{end}, {x}" for start, name in starts for x in later)
+            texts[f"{short}{v}-only"] = tuple(x for start, name in starts for x in (f"{start}the {name}{end}, {only}", f"{start}version {v} of the {name}{end}", f"{start}the {name} version {v}{end}", f"{start}the {name}, version {v},{end}"))
+            for kind, own in (("or-later", f"gpl{v}-version"), ("only", f"gpl{v}-only-version")):
+                for run in ((terms, own), (f"{short}{v}-{kind}",)):
+                    rules += [(f"{family}-{v if '.' in v else v + '.0'}-{kind}", x) for x in ((*run, "gpl-warranty"), run)]
+        bare += [(family, (terms, "gpl-warranty")), (family, (terms,))]
+    return texts, rules + bare
+
+
+_HEADER_TEXTS, _HEADER_RULES = _headers()
+TEXTS |= _HEADER_TEXTS
+
 # Rules in the order in which they are tried.
 RULES = (
     ("Apache-2.0", ("apache-compliance", "apache-comply", "apache-obtain", "apache-as-is", "apache-see")),
@@ -78,13 +117,11 @@ RULES = (
     ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse")),
     ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
     ("BSD", ("bsd-grant",)),
-    ("GPL-2.0-or-later", ("gpl2-or-later", "gpl2-version", "gpl-warranty")),
-    ("GPL-2.0-or-later", ("gpl2-or-later", "gpl2-version")),
-    ("GPL-2.0-or-later", ("gpl2-or-later", "gpl-warranty")),
-    ("GPL-2.0-or-later", ("gpl2-or-later",)),
-    ("GPL-3.0-or-later", ("gpl3-or-later", "gpl-warranty")),
-    ("GPL-3.0-or-later", ("gpl3-or-later",)),
+    *_HEADER_RULES,
+    ("MPL-2.0", ("mpl-form", "mpl-copy")),
     ("MPL-2.0", ("mpl-form",)),
+    ("MPL-2.0", ("mpl-form-cut", "mpl-copy")),
+    ("MPL", ("mpl-form-cut",)),
     ("ISC", ("isc-grant",)),
     ("public-domain", ("public-domain",)),
     ("all-rights-reserved", ("all-rights",)),
@@ -92,7 +129,7 @@ RULES = (
 )
 
 #: A word of which each known sentence holds one; other sentences are not looked up.
-GATE = "licens|copyright|warrant|redistribut|permission|public domain|released under|distributed under"
+GATE = "licens|copyright|warrant|redistribut|permission|public domain|released under|distributed under|any later version|copy of the mpl"
 
 _WHITE = r"[\x20\t\n\r]"
 _END = rf"[.!?;][^\p{{L}}\p{{N}}\x20\t\n\r]{{0,8}}{_WHITE}+|:{_WHITE}*\n{_WHITE}*"
@@ -106,13 +143,21 @@ def normalized(sentence: str) -> str:
     return " ".join("".join(c if c.isalnum() else " " for c in sentence.lower()).replace("licence", "license").split())
 
 
+def _spelled() -> list[tuple[str, str]]:
+    """The known sentences with their identifiers."""
+    out = [(s, key) for key, sentences in TEXTS.items() for s in sentences]
+    return out + [(form.format(c), f"ref-{name.lower()}") for name, called in NAMES.items() for form in NOTICES for c in called]
+
+
 def known() -> dict[str, str]:
     """Identifiers by normalised sentence."""
-    out = {normalized(s): key for key, sentences in TEXTS.items() for s in sentences}
-    for name, called in NAMES.items():
-        for form in NOTICES:
-            out |= {normalized(form.format(c)): f"ref-{name.lower()}" for c in called}
-    return out
+    return {normalized(s): key for s, key in _spelled()}
+
+
+def unreachable() -> list[str]:
+    """Known sentences that no cut leaves whole, so that they can't be found."""
+    cuts = [re.compile(cut.replace(r"[^\p{L}\p{N}\x20\t\n\r]", r"(?:_|[^\w\x20\t\n\r])")) for cut in CUTS]
+    return [s for s, _ in _spelled() if not any(normalized(s) in map(normalized, cut.split(s + ".\n")) for cut in cuts)]
 
 
 def _normal(sentence: Column) -> Column:
@@ -146,6 +191,8 @@ def scan_licenses(docs: DataFrame, text_col: str = "text") -> DataFrame:
     table = known()
     if strange := [s for s in table if not any(g in s for g in GATE.split("|"))]:
         raise ValueError(f"no gate word in {strange}")
+    if lost := unreachable():
+        raise ValueError(f"cut within {lost}")
     own = ("sentence_ids", "licenses", "n_unmatched")
     keep = without(docs, (*own, text_col, "__text", "__over", "__within"))
     text = F.col("__text")
@@ -156,18 +203,24 @@ def scan_licenses(docs: DataFrame, text_col: str = "text") -> DataFrame:
     def count(ids: Column) -> Column:
         return F.length(ids) - F.length(F.replace(ids, F.lit("<"), F.lit("")))
 
-    def matched(ids: Column) -> tuple[list[Column], Column]:
-        """The licence of each rule that matches, else null, and what is left."""
-        out, rest = [], ids
-        for name, run in RULES:
-            out.append(F.when(F.contains(rest, F.lit(_run(run))), name))
-            rest = F.replace(rest, F.lit(_run(run)), F.lit(""))
-        return out, rest
+    rules = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(_run(run)).alias("run")) for k, (_, run) in enumerate(RULES)])
+
+    def matched(ids: Column) -> Column:
+        """The places of the rules that match, and what is left."""
+
+        def step(acc: Column, rule: Column) -> Column:
+            held = F.contains(acc["rest"], rule["run"])
+            left = F.struct(F.replace(acc["rest"], rule["run"], F.lit("")).alias("rest"), F.array_append(acc["at"], rule["k"]).alias("at"))
+            return F.when(held, left).otherwise(acc)
+
+        start = F.struct(ids.alias("rest"), F.array().cast("array<int>").alias("at"))
+        return F.when(ids != "", F.aggregate(rules, start, step)).otherwise(start)
 
     rows = rows.withColumn("__ids", F.when(count(F.col("__within")) > count(F.col("__over")), F.col("__within")).otherwise(F.col("__over")))
-    (over, _), (within, _), (_, rest) = (matched(F.col(c)) for c in ("__over", "__within", "__ids"))
-    merged = F.array(*[F.coalesce(a, b) for a, b in zip(over, within, strict=True)])
-    found = F.array_distinct(F.filter(merged, lambda x: x.isNotNull()))
+    over, within, own_ids = (matched(F.col(c)) for c in ("__over", "__within", "__ids"))
+    rest = own_ids["rest"]
+    names = F.array(*[F.lit(name) for name, _ in RULES])
+    found = F.array_distinct(F.transform(F.array_sort(F.array_union(over["at"], within["at"])), lambda k: F.get(names, k)))
     none = F.array().cast("array<string>")
     ids = F.filter(F.split(F.translate("__ids", "<", ""), ">", -1), lambda i: i != "")
     some = F.col("__ids") != ""
