@@ -12,6 +12,7 @@ from tidemark.functions import text as X
 from tidemark.functions import times as D
 from tidemark.operators import admission, cards, draws, history
 from tidemark.plans import interpretation
+from tidemark.plans.catalogue import CATALOGUE
 from tidemark.sources import entries as S
 from tidemark.streaming import stateful
 
@@ -176,3 +177,10 @@ def test_streams_agree_with_batches_over_several_batches(spark, tmp_path):
     assert not all(expected.values()) and {r["id"]: r["admitted"] for r in out["admitted"]} == expected
     days = lambda rows: sorted((r["userId"], r["createdAt"].date()) for r in rows)
     assert days(out["first"]) == days(draws.first_of_day(frame).collect())
+
+
+def test_unpivot_reads_long_props(spark, tmp_path):
+    props = '{"a": "' + "x" * 2000 + '", "k": "v"}'
+    spark.createDataFrame([(1, 2, T0, "view", 3.0, props)], "event_id long, user_id long, ts timestamp_ntz, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    rows = CATALOGUE["ordered_unpivot"][0](spark, str(tmp_path)).collect()
+    assert sorted((r["id"], r["position"], r["key"], r["value"]) for r in rows) == [(1, 0, "z", "view"), (1, 1, "k", "v")]

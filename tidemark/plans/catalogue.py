@@ -286,7 +286,7 @@ def tag_normalize(spark, sf_dir):
 
 @query("SELECT event_id AS id, i::INT AS position, k AS key, CASE k WHEN 'z' THEN event_type ELSE v END AS value FROM (SELECT *, json_extract_string(props, '$.k') AS v FROM events), (SELECT unnest(['z', 'k']) AS k, unnest([0, 1]) AS i)")
 def ordered_unpivot(spark, sf_dir):
-    raw = F.concat(F.lit('{"a":"","z":"'), F.col("type"), F.lit('",'), F.substring("props", 2, 1000))
+    raw = F.concat(F.lit('{"a":"","z":"'), F.col("type"), F.lit('",'), F.expr("substring(props, 2)"))
     pairs = J.ordered_pairs(raw, ("a", "z", "missing", "k"))
     return _entries(spark, sf_dir).select("id", F.posexplode(pairs).alias("position", "p")).select("id", "position", "p.*")
 
