@@ -276,3 +276,18 @@ def test_known_sentences_survive_the_cuts(spark, monkeypatch):
     monkeypatch.setitem(TEXTS, "mpl-form", ("This is subject to the Mozilla Public License, v. 2.0",))
     with pytest.raises(ValueError, match="cut within"):
         scan_licenses(spark.createDataFrame([], "doc_id long, text string"))
+
+
+def test_large_components_are_not_clipped(spark):
+    vectors = {1: [1e7, 0.0], 2: [1.5e7, 0.0], 3: [-2e7, 1.0], 4: [1e9, -1e12], 5: [2e16, 0.0], 6: [-2e16, 0.0], 10: [1 / 256, 0.0], 20: [-1 / 256, 0.0]}
+    frame = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>")
+    q = {i: [int(256 * x) for x in v] for i, v in vectors.items()}
+    expected = set()
+    for a in (10, 20):
+        best = sorted((-sum(x * y for x, y in zip(q[a], v, strict=True)), i) for i, v in q.items() if i != a)
+        expected |= {(a, rank, i, -s) for rank, (s, i) in enumerate(best, 1)}
+    got = {tuple(r) for r in top_k(frame, frame.filter("vec_id IN (10, 20)"), 10).collect()}
+    assert got == expected
+    huge = spark.createDataFrame([(1, [1e10]), (2, [1e10])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="too large"):
+        top_k(huge, huge).collect()

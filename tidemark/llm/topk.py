@@ -26,8 +26,8 @@ from tidemark.llm.store import quoted, written
 BLOCK_ROWS = 32768
 BLOCK_QUERIES = 128
 
-#: Quantised components saturate here.
-LARGEST = (1 << 31) - 1
+#: Quantised components saturate here: the largest double that fits 64 bits.
+LARGEST = (1 << 63) - 1024
 
 _INDEX = "block int, n int, ids binary, floor binary, bits binary, slices binary"
 
@@ -55,7 +55,7 @@ def build_block(rows: pd.DataFrame) -> pd.DataFrame:
     x = _matrix(rows["q"].tolist())
     n = len(x)
     floor = x.min(axis=0) if x.size else np.zeros(x.shape[1], np.int64)
-    x = x - floor
+    x = x.astype(np.uint64) - floor.astype(np.uint64)  # a difference may take all 64 bits
     bits = np.array([int(m).bit_length() for m in (x.max(axis=0) if x.size else [])], np.int64)
     words = -(-n // 64)
     slices = np.zeros((int(bits.sum()), words * 8), np.uint8)
@@ -170,7 +170,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
     candidates than ``k``: all of them.  Vectors that are null or hold null
     or non-finite components, and rows with a null id, take no part; the empty
     vector scores 0.  Shorter vectors count as ending in zeros.  Quantised
-    components beyond ``LARGEST`` saturate.  A row that is repeated with equal
+    components beyond ``LARGEST``, of about 2^63, saturate; a score among a block's best that does not fit 64 bits
+    stops the query, as it does in SQL.  A row that is repeated with equal
     id and vector counts once.  Other columns are not looked at.  Empty tables give
     no rows.
     """
@@ -187,7 +188,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
             for r in frame.itertuples():
                 block = _Block(r.n, r.ids, r.floor, r.bits, r.slices)
                 found = [(q["vec_id"], i, s) for q in r.asked for i, s in block.top(q["vec_id"], [int(v) for v in q["q"]], k)]
-                yield pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
+                # raises where a score does not fit
+                yield pd.DataFrame(np.array(found, np.int64).reshape(-1, 3), columns=["query_id", "vec_id", "score"])
 
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
