@@ -135,6 +135,67 @@ def test_failed_replies_use_no_quota(spark):
         interpretation.interpret(requests, None, "{text}")
 
 
+def test_no_call_for_requests_over_quota(spark, tmp_path):
+    rows = [(k, "u", T0 + timedelta(minutes=k), '{"dreamText": "%s"}' % ("boom" if k in (1, 7) else f"good {k}")) for k in range(9)]
+    requests = spark.createDataFrame(rows, "id long, user_id string, request_ts timestamp_ntz, raw_body string")
+    stored = spark.createDataFrame([("u", "DREAM", T0 - timedelta(hours=2)), ("u", "DREAM", T0 - timedelta(hours=25)), ("u", "TAROT", T0)], "userId string, type string, createdAt timestamp_ntz")
+    calls = tmp_path / "calls"
+
+    def model(prompts):
+        from tidemark.plans.catalogue import echo_model
+
+        with open(calls, "a") as log:
+            log.writelines(f"{p}\n" for p in prompts)
+        if any("boom" in p for p in prompts):
+            raise RuntimeError("boom")
+        return echo_model(["abc"] * len(prompts))
+
+    out = interpretation.interpret(requests, model, "{text}", stored=stored)
+    assert {r["id"]: r["status"] for r in out.answers.collect()} == {0: 200, 1: 502, 2: 200, 3: 200, 4: 200, 5: 429, 6: 429, 7: 429, 8: 429}
+    assert sorted(calls.read_text().split("\n")) == sorted(["", "good 0", "boom", "good 2", "good 3", "good 4"])
+    assert [r["fortuneJson"] is None for r in out.entries.collect()] == [False] * 4
+
+
+def test_one_draw_a_day_and_failures_try_again(spark):
+    deck = spark.createDataFrame([(0, "Sun", "k", "up", "down")], "number long, name string, keyword string, uprightMeaning string, reversedMeaning string")
+    times = [T0, T0 + timedelta(minutes=1), T0 + timedelta(minutes=2), T0 + timedelta(days=1)]
+    requests = spark.createDataFrame([(k, who, t) for k, (who, t) in enumerate([(w, t) for w in ("a", "b", "") for t in times])], "id long, user_id string, request_ts timestamp_ntz")
+    stored = spark.createDataFrame([("x", "b", "TAROT", "Moon", "m", True, "wait", T0 - timedelta(hours=1))], "id string, userId string, type string, cardName string, cardKeyword string, reversed boolean, tarotAdvice string, createdAt timestamp_ntz")
+    out = interpretation.draw(requests, deck, 1, lambda prompts: ['{"advice": "go"}'], "{name}", stored=stored)
+    got = {r["id"]: (r["status"], r["draw_id"], r["alreadyDrawn"]) for r in out.answers.collect()}
+    assert [got[k] for k in range(4)] == [(200, "0", False), (200, "0", True), (200, "0", True), (200, "3", False)]
+    assert [got[k] for k in range(4, 8)] == [(200, "x", True)] * 3 + [(200, "7", False)]
+    assert {got[k] for k in range(8, 12)} == {(400, None, None)} and out.entries.count() == 3
+    failing = interpretation.draw(requests, deck, 1, lambda prompts: 1 / 0, "{name}")
+    assert {r["status"] for r in failing.answers.collect()} == {400, 502} and failing.entries.count() == 0
+    with pytest.raises(ValueError):
+        interpretation.draw(requests, deck, 1, None, "{name}")
+
+
+def test_shapes_are_told_alike_by_column_and_by_text(spark):
+    import json
+
+    whole = {f: "x" for f in J.TOP_FIELDS} | {"symbols": [], "fortune": {f: "y" for f in J.FORTUNE_FIELDS}}
+    odd = [whole, whole | {"title": 0}, whole | {"title": 3.5}, whole | {"title": []}, whole | {"title": False}, whole | {"mood": ""}, whole | {"symbols": {}}, whole | {"fortune": "abc"}, whole | {"fortune": None}, whole | {"fortune": {}}, [], "x", None, {}]
+    texts = [json.dumps(v) for v in odd]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k long, t string").select("k", J.has_shape(F.try_parse_json("t")).alias("s")).collect()
+    assert {r["k"]: r["s"] for r in rows} == {k: J.shape_of(t) for k, t in enumerate(texts)}
+
+
+def test_entries_keep_their_columns_with_a_card(spark):
+    deck = spark.createDataFrame([("Sun", "k", "1")], "name string, keyword string, image string")
+    rows = spark.createDataFrame([(1, "Sun", "mine", "w", "e", 2)], "id long, cardName string, name string, wanted string, entry string, card int")
+    got = cards.with_card(rows, deck).first()
+    assert got.asDict(True) == {"id": 1, "cardName": "Sun", "name": "mine", "wanted": "w", "entry": "e", "card": {"keyword": "k", "image": "1"}}
+
+
+def test_recent_rows_are_capped_by_user(spark):
+    rows = [(k, f"u{k % 3}", "DREAM", T0 + timedelta(minutes=k // 6)) for k in range(60)]
+    got = {(r["userId"], r["rank"]): r["id"] for r in history.recent_by_user(spark.createDataFrame(rows, ENTRY), 4).collect()}
+    expected = {(u, n): k for u in ("u0", "u1", "u2") for n, k in enumerate(sorted((k for k, w, _, _ in rows if w == u), key=lambda k: (k // 6, k), reverse=True)[:4], 1)}
+    assert got == expected
+
+
 def test_written_rows_have_the_whole_schema(spark, tmp_path):
     rows = spark.createDataFrame([("u", "Sun", "k", True, "go")], "userId string, cardName string, cardKeyword string, reversed boolean, tarotAdvice string")
     made = S.append(S.draw_rows(rows), str(tmp_path / "e"))

@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.text import is_true, outer_braces
+from tidemark.sources.schemas import FORTUNE
 
 #: Tags of a request that are kept.
 MAX_TAGS = 5
 
 # Names of a reply's fields.
 TOP_FIELDS = ("title", "traditional", "psychological", "mood", "advice")
-FORTUNE_FIELDS = ("wealth", "relationship", "love", "health", "omen")
+FORTUNE_FIELDS = tuple(FORTUNE.names)
 
 
 def body(raw: Column) -> Column:
@@ -57,6 +58,48 @@ def ordered_pairs(raw: Column, keys: Sequence[str]) -> Column:
     return F.filter(pairs, lambda p: is_true(p["value"]))
 
 
+def _refuse(name: str) -> None:
+    raise ValueError(name)
+
+
+def strictly(text: str | None) -> str | None:
+    """The text, written anew, if it is JSON to the letter; else null."""
+    try:
+        return _json.dumps(_json.loads(text, parse_constant=_refuse), ensure_ascii=False) if text else None
+    except (ValueError, RecursionError):
+        return None
+
+
+def parsed_reply(text: str | None) -> str | None:
+    """``reply_json`` of one text."""
+    if (whole := strictly(text)) is not None or not text:
+        return whole
+    start, end = text.find("{"), text.rfind("}")
+    return strictly(text[start : end + 1]) if 0 <= start < end else None
+
+
+def _true(value: object) -> bool:
+    """What a browser takes for true, of what JSON can hold."""
+    return value is not None and value is not False and value != "" and (isinstance(value, bool) or value != 0)
+
+
+def shape_of(json: str | None, fields: Sequence[str] = TOP_FIELDS, fortune: Sequence[str] = FORTUNE_FIELDS) -> bool:
+    """``has_shape`` of one text of JSON."""
+    reply = _json.loads(json) if json else None
+    if not isinstance(reply, dict) or not isinstance(reply.get("symbols"), list) or not isinstance(reply.get("fortune"), dict):
+        return False
+    return all(_true(reply.get(f)) for f in fields) and all(_true(reply["fortune"].get(f)) for f in fortune)
+
+
+def true_text(json: str | None, name: str) -> str | None:
+    """``true_member`` of one text of JSON."""
+    reply = _json.loads(json) if json else None
+    value = reply.get(name) if isinstance(reply, dict) else None
+    if not _true(value):
+        return None
+    return value if isinstance(value, str) else _json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+
+
 @F.pandas_udf(T.StringType())
 def strict_json(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """The text if it is JSON to the letter, else null.
@@ -64,18 +107,8 @@ def strict_json(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     Spark's parsers take more (single quotes, text after the end) and less
     (an object with a key twice), so this is left to Python, by Arrow batches.
     """
-
-    def one(text: str | None) -> str | None:
-        def refuse(name: str) -> None:
-            raise ValueError(name)
-
-        try:
-            return _json.dumps(_json.loads(text, parse_constant=refuse), ensure_ascii=False) if text else None
-        except (ValueError, RecursionError):
-            return None
-
     for series in texts:
-        yield series.map(one, na_action="ignore").astype(object).where(series.notna(), None)
+        yield series.map(strictly, na_action="ignore").astype(object).where(series.notna(), None)
 
 
 def reply_json(text: Column) -> Column:

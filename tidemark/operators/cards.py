@@ -17,10 +17,14 @@ def with_card(entries: DataFrame, deck: DataFrame, name_col: str = "cardName") -
 
     Of cards that share a name the first by keyword and image counts, so an entry stays one row.
     The deck's size is looked up; a small one is broadcast, a larger one is joined by a shuffle.
+    Entries keep their columns, whatever these are called; a column ``card`` is replaced.
     """
+    others = [c for c in entries.columns if c.lower() != "card"]
+    held = entries.select(F.col(name_col).alias("wanted"), F.struct(*[F.col(c) for c in others]).alias("entry"))
     cards = deck.filter(F.col("name") != "").groupBy("name").agg(F.min(F.struct("keyword", "image", *[c for c in deck.columns if c not in ("name", "keyword", "image")])).alias("card"))
     small = deck.limit(BROADCAST_CARDS + 1).count() <= BROADCAST_CARDS
-    return entries.join(F.broadcast(cards) if small else cards, F.col(name_col) == F.col("name"), "left")
+    found = held.join(F.broadcast(cards) if small else cards, F.col("wanted") == F.col("name"), "left")
+    return found.select(*[F.col("entry").getField(c).alias(c) for c in others], "card")
 
 
 def meaning(card: Column, reversed_: Column) -> Column:

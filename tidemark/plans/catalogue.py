@@ -27,7 +27,7 @@ from tidemark.streaming import stateful
 #: (query, SQL or None) by name.
 CATALOGUE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
-CAP = 20
+CAP = history.CAP
 AS_OF = "2024-01-20 12:00:00"
 
 
@@ -95,13 +95,13 @@ def headline_projection(spark, sf_dir):
     )
 
 
-@query("SELECT event_id AS id, CASE WHEN event_type = 'view' THEN 'untitled' WHEN event_type = 'click' THEN '' ELSE event_type END AS title, CASE WHEN event_type = 'view' THEN '' ELSE props END AS mood, CASE WHEN event_type = 'error' THEN '' ELSE 'x' END AS symbols, 0::BIGINT AS omens FROM events")
+@query("SELECT event_id AS id, CASE WHEN event_type = 'view' THEN 'untitled' WHEN event_type = 'click' THEN '' ELSE event_type END AS title, CASE WHEN event_type = 'view' THEN '' ELSE props END AS mood, CASE WHEN event_type = 'error' THEN '' ELSE 'x' END AS symbols, CASE WHEN event_type = 'purchase' THEN props END AS omen, TRUE AS filled FROM events")
 def null_defaults(spark, sf_dir):
     rows = _entries(spark, sf_dir)
     symbols = F.when(F.col("type") != "error", F.array(F.struct(F.lit("x").alias("name"), F.lit(None).cast("string").alias("meaning"))))
-    rows = rows.select("id", F.when(F.col("type") == "click", "").when(F.col("type") != "view", F.col("type")).alias("title"), F.when(F.col("type") != "view", F.col("props")).alias("mood"), symbols.alias("symbols"), F.lit(None).cast("struct<omen:string>").alias("fortune"))
+    rows = rows.select("id", F.when(F.col("type") == "click", "").when(F.col("type") != "view", F.col("type")).alias("title"), F.when(F.col("type") != "view", F.col("props")).alias("mood"), symbols.alias("symbols"), F.when(F.col("type") == "purchase", F.struct(F.col("props").alias("omen"))).alias("fortune"))
     out = history.with_defaults(rows)
-    return out.select("id", "title", "mood", F.array_join(F.transform("symbols", lambda s: s["name"]), ",").alias("symbols"), F.when(F.col("fortune.omen").isNull(), 0).otherwise(1).cast("long").alias("omens"))
+    return out.select("id", "title", "mood", F.array_join(F.transform("symbols", lambda s: s["name"]), ",").alias("symbols"), "fortune.omen", F.col("fortune").isNotNull().alias("filled"))
 
 
 @query("SELECT event_id AS id, i::INT AS position, CASE i WHEN 0 THEN event_type ELSE props END AS name, 'm' || i AS meaning FROM events, (SELECT unnest([0, 1]) AS i) WHERE event_type <> 'error'")
@@ -145,6 +145,9 @@ def rolling_admission_native(spark, sf_dir):
     return admission.admit_native(_entries(spark, sf_dir))
 
 
+_FIRST = "row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY ts, event_id)"
+
+
 def _streamed(spark: SparkSession, sf_dir: str, name: str, run: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Runs a stream over the events that are there and reads what it wrote."""
     rows = _entries(spark, sf_dir)
@@ -160,12 +163,9 @@ def rolling_admission_stream(spark, sf_dir):
     return _streamed(spark, sf_dir, "admission", stateful.admit_stream)
 
 
-@query("SELECT DISTINCT user_id AS \"userId\", strftime(ts, '%Y-%m-%d') AS day FROM events")
+@query(f"SELECT event_id AS id, user_id AS \"userId\", ts AS \"createdAt\" FROM events QUALIFY {_FIRST} = 1")
 def first_draw_stream(spark, sf_dir):
-    return _streamed(spark, sf_dir, "draws", lambda s: stateful.first_draws_stream(s).select("userId", D.day_label(F.col("createdAt")).alias("day")))
-
-
-_FIRST = "row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY ts, event_id)"
+    return _streamed(spark, sf_dir, "draws", lambda s: stateful.first_draws_stream(s.select("id", "userId", "createdAt")))
 
 
 @query(f"SELECT event_id AS id, user_id AS \"userId\", ts AS \"createdAt\" FROM events QUALIFY {_FIRST} = 1")
@@ -266,10 +266,19 @@ def url_matcher(spark, sf_dir):
     return _table(spark, sf_dir, "pages").select("page_id", path.alias("path"), X.is_page(path).alias("is_page"))
 
 
-@query("SELECT event_id AS id, 36::INT AS made FROM events")
+@query("SELECT event_id AS id, CASE WHEN event_type = 'click' THEN lpad(user_id::VARCHAR, 36, '0') END AS kept, event_type <> 'click' AS made FROM events")
 def ensured_identity(spark, sf_dir):
     cookie = F.when(F.col("type") == "view", "").when(F.col("type") == "click", F.lpad(F.col("userId").cast("string"), 36, "0"))
-    return _entries(spark, sf_dir).select("id", F.length(X.ensured_identity(cookie)).alias("made"))
+    rows = _entries(spark, sf_dir).select("id", cookie.alias("cookie"), X.ensured_identity(cookie).alias("identity"))
+    new = F.col("identity").rlike("^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$") & (F.col("identity") != F.coalesce("cookie", F.lit("")))
+    return rows.select("id", F.when(F.col("identity") == F.col("cookie"), F.col("identity")).alias("kept"), new.alias("made"))
+
+
+@query("SELECT event_id AS id, CASE WHEN event_type IN ('view', 'click') THEN 'no user' WHEN event_type = 'error' THEN 'no text' WHEN length(props) > 12 THEN 'too long' END AS problem FROM events")
+def identity_gate(spark, sf_dir):
+    kind = F.col("type")
+    user = F.when(kind == "view", "").when(kind != "click", "u")
+    return _entries(spark, sf_dir).select("id", interpretation.validity(user, F.when(kind != "error", F.col("props")), 12).alias("problem"))
 
 
 # --- JSON -------------------------------------------------------------------------
@@ -344,7 +353,7 @@ def draw_rows(spark, sf_dir):
 
 def echo_model(prompts: list[str]) -> list[str | None]:
     """Stands in for a text model: the same answer to the same prompt, and none to some."""
-    fields = {f: "x" for f in J.TOP_FIELDS} | {"symbols": [{"name": "n", "meaning": "m"}], "fortune": {f: "y" for f in J.FORTUNE_FIELDS}}
+    fields = {f: "x" for f in J.TOP_FIELDS} | {"symbols": [{"name": "n", "meaning": "m"}], "fortune": {f: "y" for f in J.FORTUNE_FIELDS} | {"more": "extra"}}
     return [None if len(p) % 7 == 0 else "Here: " + json.dumps(fields) for p in prompts]
 
 
@@ -362,8 +371,8 @@ def draw_readings(spark, sf_dir):
 
 _PIPELINE = """
 WITH said AS (SELECT conv_id * 1000 + turn AS id, conv_id, turn, text, text = '' OR length(text) > 1000 AS bad, length('Read ' || text || ' with none') % 7 = 0 AS lost FROM conversations),
-judged AS (SELECT *, count(*) FILTER (NOT bad AND NOT lost) OVER (PARTITION BY conv_id ORDER BY turn) AS used FROM said)
-SELECT id, CASE WHEN bad THEN 400 WHEN lost THEN 502 WHEN used > 5 THEN 429 ELSE 200 END::INT AS status FROM judged"""
+judged AS (SELECT *, count(*) FILTER (NOT bad AND NOT lost) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS used FROM said)
+SELECT id, conv_id, text, CASE WHEN bad THEN 400 WHEN used >= 5 THEN 429 WHEN lost THEN 502 ELSE 200 END::INT AS status FROM judged"""
 
 
 def _requests(spark, sf_dir):
@@ -371,12 +380,66 @@ def _requests(spark, sf_dir):
     return rows.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("conv_id").cast("string").alias("user_id"), (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(mins=F.col("turn").cast("int"))).alias("request_ts"), F.to_json(F.struct(F.concat(F.lit(" "), F.col("text")).alias("dreamText"), F.lit(1).alias("moodTags"))).alias("raw_body"))
 
 
-@query(_PIPELINE)
+@query(f"SELECT id, status, status <> 200 AS error FROM ({_PIPELINE})")
 def interpretation_pipeline(spark, sf_dir):
-    return interpretation.interpret(_requests(spark, sf_dir), echo_model, "Read {text} with {tags}").answers.select("id", "status")
+    answers = interpretation.interpret(_requests(spark, sf_dir), echo_model, "Read {text} with {tags}").answers
+    return answers.select("id", "status", F.get_json_object("body", "$.error").isNotNull().alias("error"))
 
 
-@query(f"WITH p AS ({_PIPELINE}) SELECT id, 'x' AS title, 'y' AS omen, 1::INT AS symbols FROM p WHERE status = 200")
+@query(f"""WITH p AS ({_PIPELINE}) SELECT id::VARCHAR AS id, conv_id::VARCHAR AS "userId", 'DREAM' AS type, text AS "dreamText", 'x' AS title, 'y' AS omen, 1::INT AS symbols, 'extra' AS more, NULL::VARCHAR AS "cardName" FROM p WHERE status = 200""")
 def interpretation_entries(spark, sf_dir):
-    rows = interpretation.interpret(_requests(spark, sf_dir), echo_model, "Read {text} with {tags}").entries
-    return rows.select("id", "title", F.col("fortune.omen").alias("omen"), F.size("symbols").alias("symbols"))
+    made = interpretation.interpret(_requests(spark, sf_dir), echo_model, "Read {text} with {tags}").entries
+    at = fresh_path(spark, "entries")
+    S.append(made, at)
+    rows = S.read_entries(spark, at)
+    return rows.select("id", "userId", "type", "dreamText", "title", F.col("fortune.omen").alias("omen"), F.size("symbols").alias("symbols"), F.get_json_object("fortuneJson", "$.more").alias("more"), "cardName")
+
+
+_DRAWN = f"""
+WITH r AS (SELECT event_id AS id, CASE WHEN event_type = 'error' THEN '' ELSE user_id::VARCHAR END AS who, ts, {_HASH.format('event_id::VARCHAR')} % 78 AS n, {_HASH.format("event_id || '/reversed'")}::DOUBLE / 4294967296 < 0.35 AS reversed FROM events),
+t AS (SELECT r.*, p_name, length('Read ' || coalesce(p_name, '') || ' ' || CASE WHEN reversed THEN 'reversed' ELSE 'upright' END || ' ' || coalesce(CASE WHEN reversed THEN p_type ELSE p_brand END, '')) % 7 <> 0 AS good FROM r LEFT JOIN part ON p_partkey = n),
+o AS (SELECT *, row_number() OVER (PARTITION BY who, ts::DATE ORDER BY ts, id) AS place FROM t WHERE who <> ''),
+f AS (SELECT *, min(place) FILTER (good) OVER (PARTITION BY who, ts::DATE) AS hit FROM o),
+d AS (SELECT *, first_value(id) OVER (PARTITION BY who, ts::DATE ORDER BY (place = hit) DESC NULLS LAST, place) AS first_id FROM f)"""
+
+
+def draw_model(prompts: list[str]) -> list[str | None]:
+    """Stands in for a text model that reads cards, and fails at some."""
+    if any(len(p) % 7 == 0 for p in prompts):
+        raise ValueError("no answer")
+    return ['So: {"advice": "go"}' for _ in prompts]
+
+
+def _draws(spark, sf_dir):
+    deck = _table(spark, sf_dir, "part").filter("p_partkey < 78").select(F.col("p_partkey").alias("number"), F.col("p_name").alias("name"), F.lit("").alias("keyword"), F.col("p_brand").alias("uprightMeaning"), F.col("p_type").alias("reversedMeaning"))
+    who = F.when(F.col("type") == "error", "").otherwise(F.col("userId").cast("string"))
+    requests = _entries(spark, sf_dir).select("id", who.alias("user_id"), F.col("createdAt").alias("request_ts"))
+    return interpretation.draw(requests, deck, 78, draw_model, "Read {name} {orientation} {meaning}")
+
+
+@query(f"""{_DRAWN} SELECT id, 400::INT AS status, NULL::VARCHAR AS draw_id, false AS "alreadyDrawn" FROM r WHERE who = ''
+UNION ALL SELECT id, CASE WHEN place >= hit THEN 200 ELSE 502 END::INT, CASE WHEN place >= hit THEN first_id::VARCHAR END, coalesce(place > hit, false) FROM d""")
+def draw_plan(spark, sf_dir):
+    return _draws(spark, sf_dir).answers.select("id", "status", "draw_id", F.coalesce("alreadyDrawn", F.lit(False)).alias("alreadyDrawn"))
+
+
+@query(f"""{_DRAWN} SELECT id::VARCHAR AS id, who AS "userId", 'TAROT' AS type, p_name AS "cardName", reversed, 'go' AS "tarotAdvice", date_trunc('millisecond', ts)::TIMESTAMP AS "createdAt" FROM d WHERE place = hit""")
+def draw_entries(spark, sf_dir):
+    return _draws(spark, sf_dir).entries.select("id", "userId", "type", "cardName", "reversed", "tarotAdvice", "createdAt")
+
+
+@query("SELECT user_id::VARCHAR AS \"userId\", event_type AS \"cardName\", count(*) AS n, TRUE AS same FROM events GROUP BY 1, 2")
+def appended_rows(spark, sf_dir):
+    """Ids and times that are made at writing are those that the caller gets."""
+    rows = _entries(spark, sf_dir).select("userId", F.col("type").alias("cardName"), F.lit("").alias("cardKeyword"), F.lit(True).alias("reversed"), F.lit("go").alias("tarotAdvice"))
+    at = fresh_path(spark, "rows")
+    made = S.append(S.draw_rows(rows), at).select("id", F.col("createdAt").alias("made_at"), F.col("userId").alias("made_for"))
+    both = S.read_entries(spark, at).join(made, "id", "full")
+    return both.groupBy("userId", "cardName").agg(F.count("*").alias("n"), F.bool_and((F.col("createdAt") == F.col("made_at")) & (F.col("userId") == F.col("made_for"))).alias("same"))
+
+
+@query("SELECT p_name AS name, p_brand AS keyword, p_type AS \"uprightMeaning\", NULL::VARCHAR AS arcana FROM part")
+def cards_read(spark, sf_dir):
+    at = fresh_path(spark, "deck")
+    _table(spark, sf_dir, "part").select(F.col("p_name").alias("name"), F.col("p_brand").alias("keyword"), F.col("p_type").alias("uprightMeaning")).write.parquet(at)
+    return S.read_cards(spark, at).select("name", "keyword", "uprightMeaning", "arcana")

@@ -6,18 +6,27 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions import json as J
 from tidemark.functions.text import MAX_UNITS, join_or, prompt, utf16_length, web_trim
-from tidemark.operators.admission import HOURS, LIMIT, admit
+from tidemark.functions.times import day_start
+from tidemark.operators import cards
+from tidemark.operators.admission import HOURS, LIMIT
+from tidemark.operators.history import orientation
+from tidemark.sources.entries import draw_rows, dream_rows
 from tidemark.sources.schemas import FORTUNE, SYMBOLS
 from tidemark.sources.staging import staged
 
 #: Answers: no identity, no text, text too long / quota used up / model failed / fine.
 BAD, OVER, FAILED, FINE = 400, 429, 502, 200
 
+#: What is said with an answer that is not fine.
+ERRORS = {"no user": "Who asks is not known.", "no text": "There is no text.", "too long": "The text is too long.", OVER: "No more requests today.", FAILED: "This went wrong. Try again later."}
+
 Model = Callable[[list[str]], list[str | None]]
 
 
@@ -41,59 +50,160 @@ def status(problem: Column, admitted: Column, replied: Column) -> Column:
     return F.when(problem.isNotNull(), BAD).when(~F.coalesce(admitted, F.lit(False)), OVER).when(~F.coalesce(replied, F.lit(False)), FAILED).otherwise(FINE)
 
 
-def asked(rows: DataFrame, model: Model, prompt_col: str = "prompt") -> DataFrame:
-    """``rows`` with the model's reply to each prompt, a batch at a time; null where it failed."""
+def ask(model: Model, said: str) -> str | None:
+    """The model's reply to one prompt; null if it fails.  Each prompt is asked alone, so one that fails takes no other with it."""
+    try:
+        (reply,) = model([said])
+    except Exception:  # noqa: BLE001  a model that fails is an answer too
+        return None
+    return reply
+
+
+def _wanted(model: Model | None) -> Model:
+    if model is None:
+        raise ValueError("a model is needed")
+    return model
+
+
+def asked(rows: DataFrame, model: Model | None, prompt_col: str = "prompt") -> DataFrame:
+    """``rows`` with the model's reply to each prompt; null where it failed."""
+    model = _wanted(model)
     schema = rows.withColumn("reply", F.lit(None).cast("string")).schema
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            try:
-                replies = model(frame[prompt_col].tolist())
-            except Exception:  # noqa: BLE001  a model that fails is an answer too
-                replies = [None] * len(frame)
-            yield frame.assign(reply=pd.Series(replies, index=frame.index, dtype=object))
+            yield frame.assign(reply=pd.Series([ask(model, p) for p in frame[prompt_col]], index=frame.index, dtype=object))
 
     return rows.mapInPandas(run, schema)
 
 
+def in_order(rows: DataFrame, group: list[str], order: list[str], start: object, step: Callable, read: list[str], made: T.StructType) -> DataFrame:
+    """``rows`` with the columns ``made``: ``step(state, *values of read)`` gives the next state and their values.
+
+    Rows are dealt by group, sorted, and read as a stream with one group's state in hand, so memory is
+    bounded by the state however many rows a group has.
+    """
+    schema = T.StructType([*rows.schema.fields, *made.fields])
+    at, by = [rows.columns.index(c) for c in read], [rows.columns.index(c) for c in group]
+    types = [{T.BooleanType(): pa.bool_(), T.LongType(): pa.int64()}.get(f.dataType, pa.string()) for f in made]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple | None = None
+        state = start
+        for batch in batches:
+            out = []
+            keys = zip(*[batch.column(k).to_pylist() for k in by], strict=True)
+            for key, values in zip(keys, zip(*[batch.column(k).to_pylist() for k in at], strict=True), strict=True):
+                if key != held:
+                    held, state = key, start
+                state, values = step(state, *values)
+                out.append(values)
+            columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * len(types), types, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=schema.names)
+
+    return rows.repartition(*[F.col(c) for c in group]).sortWithinPartitions(*group, *order).mapInArrow(run, schema)
+
+
 @dataclass(frozen=True)
 class Outcome:
-    """Accepted entries, and all requests with their status (and, where a reply was no good, the reply)."""
+    """The entries to be stored, and all requests with their status and the body of the answer (and, where a reply was no good, the reply)."""
 
     entries: DataFrame
     answers: DataFrame
 
 
-def interpret(requests: DataFrame, model: Model | None, template: str, no_tags: str = "none", limit: int = LIMIT, hours: int = HOURS) -> Outcome:
+def _error(problem: Column, code: Column) -> Column:
+    said = F.create_map(*[F.lit(x) for k, v in ERRORS.items() for x in (str(k), v)])
+    return F.to_json(F.struct(said[F.coalesce(problem, code.cast("string"))].alias("error")))
+
+
+def interpret(requests: DataFrame, model: Model | None, template: str, no_tags: str = "none", limit: int = LIMIT, hours: int = HOURS, stored: DataFrame | None = None) -> Outcome:
     """Runs requests (id, user_id, request_ts, raw_body) through all steps.
 
-    Checks that cost little come first, in a stage of their own.  The quota sees what
-    was stored, so a request whose reply fails uses none: replies are asked for
-    all valid requests and the quota is judged over those with a good one; a
-    request over quota is answered as such and its reply thrown away.  Replies are
-    judged and written to the shared folder, so no prompt is sent twice and no
-    reply is parsed twice.
+    Checks that cost little come first.  Then each user's requests are taken in order of time, then id:
+    one that finds ``limit`` entries since ``hours`` before it, of this run or of the table ``stored``, is over quota and the model is
+    not asked; else it is, and the entry counts only if the reply is good.  Judged requests are
+    written to the shared folder, so no prompt is sent twice unless a task is run again.
     """
-    if model is None:
-        raise ValueError("a model is needed")
+    model = _wanted(model)
+    window = hours * 3_600_000_000
     rows = normalized(requests).withColumn("problem", validity(F.col("user_id"), F.col("dream_text")))
-    valid = rows.filter("problem IS NULL").withColumn("prompt", prompt(template, text=F.col("dream_text"), tags=join_or(F.col("mood_tags"), no_tags)))
-    replied = asked(valid, model).withColumn("json", J.reply_json(F.col("reply")))
-    replied = staged(replied.withColumn("good", F.coalesce(J.has_shape(F.try_parse_json("json")), F.lit(False))), "replies")
-    good = admit(replied.filter("good"), "user_id", "request_ts", "id", limit, hours)
-    judged = good.unionByName(replied.filter("NOT good").withColumn("admitted", F.lit(True)))
+    said = prompt(template, text=F.col("dream_text"), tags=join_or(F.col("mood_tags"), no_tags))
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    valid = rows.filter("problem IS NULL").select("id", "user_id", "request_ts", "dream_text", said.alias("prompt"), micros("request_ts").alias("at"))
+    if stored is not None:
+        before = stored.filter("type = 'DREAM'").select(F.col("userId").cast(rows.schema["user_id"].dataType).alias("user_id"), micros("createdAt").alias("at"))
+        valid = valid.unionByName(before, allowMissingColumns=True)
+
+    def step(times: tuple, said: str | None, now: int) -> tuple[tuple, tuple]:
+        still = tuple(t for t in times if t >= now - window)
+        if said is None:  # a stored entry
+            return (*still, now), (None, None, None)
+        if len(still) >= limit:
+            return still, (False, None, None)
+        reply = ask(model, said)
+        json = J.parsed_reply(reply)
+        return ((*still, now), (True, None, json)) if J.shape_of(json) else (still, (True, reply, None))
+
+    made = T.StructType([T.StructField("admitted", T.BooleanType()), T.StructField("refused", T.StringType()), T.StructField("json", T.StringType())])
+    judged = staged(in_order(valid, ["user_id"], ["at", "id"], (), step, ["prompt", "at"], made).filter("prompt IS NOT NULL"), "judged")
     fields = "title string, traditional string, psychological string, mood string, advice string, symbols {}, fortune {}".format(SYMBOLS.simpleString(), FORTUNE.simpleString())
-    entries = judged.filter("good AND admitted").withColumn("r", F.from_json("json", fields)).select(
-        "id", F.col("user_id").alias("userId"), F.lit("DREAM").alias("type"), F.col("dream_text").alias("dreamText"), "r.*", F.col("request_ts").alias("createdAt")
-    )
-    done = judged.select("id", "user_id", "problem", "admitted", "good", F.when(~F.col("good"), F.col("reply")).alias("refused"))
+    whole = F.try_parse_json("json")
+    good = judged.filter("json IS NOT NULL").withColumns({"r": F.from_json("json", fields), "symbolsJson": J.stored_member(whole, "symbols"), "fortuneJson": J.stored_member(whole, "fortune")})
+    entries = dream_rows(good.select(F.col("id"), F.col("user_id").alias("userId"), F.col("dream_text").alias("dreamText"), "r.*", "symbolsJson", "fortuneJson", "request_ts"), F.col("id"), F.col("request_ts"))
     early = rows.filter("problem IS NOT NULL").select("id", "user_id", "problem")
+    done = judged.select("id", "user_id", "admitted", F.col("json").isNotNull().alias("good"), "refused", F.struct(F.col("id"), "user_id", F.from_json("json", fields).alias("reading")).alias("entry"))
     answers = done.unionByName(early, allowMissingColumns=True).withColumn("status", status(F.col("problem"), F.col("admitted"), F.col("good")))
-    return Outcome(entries, answers.drop("admitted", "good"))
+    body = F.when(F.col("status") == FINE, F.to_json(F.struct("entry"))).otherwise(_error(F.col("problem"), F.col("status")))
+    return Outcome(entries, answers.select("id", "user_id", "problem", "refused", "status", body.alias("body")))
 
 
-def read_draws(draws: DataFrame, model: Model, template: str) -> DataFrame:
-    """Draws (name, orientation, meaning) with the model's advice; rows whose advice is missing have null."""
+def read_draws(draws: DataFrame, model: Model | None, template: str) -> DataFrame:
+    """Draws (name, orientation, meaning) with the model's advice and a status: where it is missing, null and that of a failure."""
     rows = draws.withColumn("prompt", prompt(template, name=F.col("name"), orientation=F.col("orientation"), meaning=F.col("meaning")))
     advice = J.true_member(F.try_parse_json(J.reply_json(F.col("reply"))), "advice")
-    return asked(rows, model).withColumn("tarotAdvice", advice).drop("prompt", "reply")
+    out = asked(rows, model).withColumn("tarotAdvice", advice).drop("prompt", "reply")
+    return out.withColumn("status", F.when(F.col("tarotAdvice").isNull(), FAILED).otherwise(FINE))
+
+
+def draw(requests: DataFrame, deck: DataFrame, number_of_cards: int, model: Model | None, template: str, stored: DataFrame | None = None, turned: tuple[str, str] = ("upright", "reversed")) -> Outcome:
+    """One draw a user and UTC day, from requests (id, user_id, request_ts) and a deck (number from 0, name, keyword, uprightMeaning, reversedMeaning).
+
+    A request without a user is refused.  Each user's requests of a day are taken in order of time, then id: if
+    the day has a draw, of this run or of the table ``stored``, it is answered with that; else a card is picked by hash of the
+    request's id, read by the model, and stored.  A failed reading is no draw, so the next request tries again.
+    ``answers`` are (id, user_id, status, draw_id, alreadyDrawn, body).
+    """
+    model = _wanted(model)
+    problem = F.when(F.col("user_id").isNull() | (F.col("user_id") == ""), "no user")
+    rows = requests.select("id", "user_id", "request_ts", problem.alias("problem"))
+    named = deck.select("number", F.struct("name", "keyword", "uprightMeaning", "reversedMeaning").alias("card"))
+    picked = cards.drawn(rows.filter("problem IS NULL").withColumn("draw_key", F.col("id")), named, number_of_cards)
+    said = prompt(template, name=F.col("card.name"), orientation=orientation(F.col("reversed"), *turned), meaning=cards.meaning(F.col("card"), F.col("reversed")))
+    entry = F.struct("id", F.col("card.name").alias("cardName"), F.col("card.keyword").alias("cardKeyword"), "reversed", F.col("request_ts").alias("createdAt"))
+    valid = picked.select("id", "user_id", "request_ts", day_start(F.col("request_ts")).alias("day"), said.alias("prompt"), F.to_json(entry).alias("entry"), F.col("id").cast("string").alias("own"), F.col("card.name").alias("cardName"), F.col("card.keyword").alias("cardKeyword"), "reversed")
+    if stored is not None:
+        held = F.to_json(F.struct("id", "cardName", "cardKeyword", "reversed", "createdAt"))
+        before = stored.filter("type = 'TAROT'").select(F.col("userId").cast(rows.schema["user_id"].dataType).alias("user_id"), F.col("createdAt").alias("request_ts"), day_start(F.col("createdAt")).alias("day"), held.alias("entry"), F.col("id").cast("string").alias("own"), F.col("tarotAdvice").alias("before"))
+        valid = valid.unionByName(before, allowMissingColumns=True)
+    else:
+        valid = valid.withColumn("before", F.lit(None).cast("string"))
+
+    def step(drawn: tuple | None, said: str | None, own: str, entry: str, before: str | None) -> tuple[tuple | None, tuple]:
+        if said is None:  # a stored draw
+            return (own, entry, before), (None, None, None, None)
+        if drawn is not None:
+            return drawn, (*drawn, True)
+        advice = J.true_text(J.parsed_reply(ask(model, said)), "advice")
+        return (None, (None, None, None, False)) if advice is None else ((own, entry, advice), (own, entry, advice, False))
+
+    made = T.StructType([*(T.StructField(n, T.StringType()) for n in ("draw_id", "drawn", "tarotAdvice")), T.StructField("alreadyDrawn", T.BooleanType())])
+    done = in_order(valid, ["user_id", "day"], ["request_ts", "id"], None, step, ["prompt", "own", "entry", "before"], made)
+    done = staged(done.filter("prompt IS NOT NULL"), "draws")
+    new = done.filter("NOT alreadyDrawn AND draw_id IS NOT NULL").withColumn("userId", F.col("user_id"))
+    entries = draw_rows(new, F.col("id"), F.col("request_ts"))
+    answers = done.select("id", "user_id", "draw_id", "drawn", "tarotAdvice", "alreadyDrawn").unionByName(rows.filter("problem IS NOT NULL").select("id", "user_id", "problem"), allowMissingColumns=True)
+    answers = answers.withColumn("status", status(F.col("problem"), F.lit(True), F.col("draw_id").isNotNull()))
+    fine = F.to_json(F.struct(F.try_parse_json("drawn").alias("entry"), "tarotAdvice", "alreadyDrawn"))
+    body = F.when(F.col("status") == FINE, fine).otherwise(_error(F.col("problem"), F.col("status")))
+    return Outcome(entries, answers.select("id", "user_id", "status", "draw_id", "alreadyDrawn", body.alias("body")))

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from tidemark.functions.times import milliseconds
 from tidemark.sources.schemas import CARD, DREAM, ENTRY, KINDS, REQUEST, TAROT
+from tidemark.sources.staging import staged
 
 
 def session(name: str = "tidemark") -> SparkSession:
@@ -52,7 +53,8 @@ def _row(rows: DataFrame, kind: str, values: dict[str, Column], key: Column | No
 def dream_rows(rows: DataFrame, key: Column | None = None, now: Column | None = None) -> DataFrame:
     """Entries of accepted readings; columns of the other kind are null.  Id and time are made where they are not given."""
     names = ("userId", "dreamText", "mood", "advice", "title", "traditional", "psychological", "symbols", "fortune")
-    return _row(rows, DREAM, {n: F.col(n) for n in names}, key, now)
+    more = [n for n in ("symbolsJson", "fortuneJson") if n in rows.columns]
+    return _row(rows, DREAM, {n: F.col(n) for n in (*names, *more)}, key, now)
 
 
 def draw_rows(rows: DataFrame, key: Column | None = None, now: Column | None = None) -> DataFrame:
@@ -62,9 +64,10 @@ def draw_rows(rows: DataFrame, key: Column | None = None, now: Column | None = N
 
 
 def append(rows: DataFrame, path: str) -> DataFrame:
-    """Appends rows and returns them as they were written."""
-    rows.write.mode("append").parquet(path)
-    return rows
+    """Appends rows and returns them as they were written: ids and times that are made on the way are made once."""
+    made = staged(rows, "rows")
+    made.write.mode("append").parquet(path)
+    return made
 
 
 def responses(rows: DataFrame, *columns: str) -> DataFrame:

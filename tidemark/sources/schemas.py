@@ -2,6 +2,7 @@
 
 from pyspark.sql import types as T
 
+# Names and kinds of the columns of the data model.
 SYMBOLS = T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("meaning", T.StringType())]))
 FORTUNE = T.StructType([T.StructField(n, T.StringType()) for n in ("wealth", "relationship", "love", "health", "omen")])
 
@@ -20,12 +21,11 @@ ENTRY = T.StructType(
         *(T.StructField(n, T.StringType()) for n in ("cardName", "cardKeyword", "tarotAdvice")),
         T.StructField("reversed", T.BooleanType()),
         T.StructField("createdAt", T.TimestampNTZType(), False),
+        # nested members as they came, with what the columns above don't hold
+        *(T.StructField(n, T.StringType()) for n in ("symbolsJson", "fortuneJson")),
     ]
 )
 
-#: Columns that came later; files from before don't have them.
-ADDED = ("traditional", "psychological", "fortune")
-
 CARD = T.StructType([T.StructField(n, T.StringType()) for n in ("name", "keyword", "uprightMeaning", "reversedMeaning", "arcana", "suit", "image")])
 
 REQUEST = T.StructType([T.StructField("user_id", T.StringType()), T.StructField("request_ts", T.TimestampNTZType()), T.StructField("raw_body", T.StringType())])

@@ -6,13 +6,16 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no shared folder, as in tests.
+#: Used only where the session names no shared folder, and only on one machine, as in tests.
 LOCAL_FOLDER = "/tmp/checkpoints"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_FOLDER).rstrip("/")
+    """The folder that the cluster names in spark.checkpoint.dir; a cluster that names none is refused."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return (named or LOCAL_FOLDER).rstrip("/")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

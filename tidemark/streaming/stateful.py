@@ -35,6 +35,26 @@ def admit_stream(requests: DataFrame, limit: int = LIMIT, window: int = WINDOW_M
 
 
 def first_draws_stream(requests: DataFrame, late: str = "24 hours") -> DataFrame:
-    """The first request to arrive of each user and UTC day; the state of a day goes once the watermark has passed it."""
+    """The first request to arrive of each user and UTC day, of those that arrive in one batch the first by time, then id.
+
+    The state is that a day has a draw; it goes once the watermark has passed the day.
+    """
+    columns = requests.columns
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        first = None
+        for frame in frames:
+            some = frame if first is None else pd.concat([first, frame])
+            first = some.sort_values(["createdAt", "id"]).head(1)
+        if first is None or state.exists:
+            return
+        state.update((True,))
+        state.setTimeoutTimestamp(int((key[1] + pd.Timedelta(days=1)).timestamp() * 1000))
+        yield first[columns]
+
     stamped = requests.withColumn("at", F.col("createdAt").cast("timestamp")).withWatermark("at", late)
-    return stamped.withColumn("day", day_start(F.col("createdAt")).cast("timestamp")).dropDuplicatesWithinWatermark(["userId", "day"]).drop("at")
+    days = stamped.withColumn("day", day_start(F.col("createdAt")).cast("timestamp"))
+    return days.groupBy("userId", "day").applyInPandasWithState(run, requests.schema, "drawn boolean", "append", GroupStateTimeout.EventTimeTimeout)
