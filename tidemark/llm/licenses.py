@@ -20,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.store import quoted, without
+from tidemark.llm.store import apart, as_one, quoted, without
 
 # Short names of licences, with the names under which notices refer to them.
 NAMES = {
@@ -186,7 +186,7 @@ def scan_licenses(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     Null, blank and unlicensed texts have empty arrays and 0; texts are scanned
     as a whole.  Repeated rows get equal answers.  Input columns with the name
-    of a computed one are dropped.  An empty table gives no rows.
+    of a computed one are dropped, all others stay whatever they are called.  An empty table gives no rows.
     """
     table = known()
     if strange := [s for s in table if not any(g in s for g in GATE.split("|"))]:
@@ -194,11 +194,11 @@ def scan_licenses(docs: DataFrame, text_col: str = "text") -> DataFrame:
     if lost := unreachable():
         raise ValueError(f"cut within {lost}")
     own = ("sentence_ids", "licenses", "n_unmatched")
-    keep = without(docs, (*own, text_col, "__text", "__over", "__within"))
-    text = F.col("__text")
-    rows = docs.select(*[F.col(quoted(c)) for c in keep], F.col(quoted(text_col)).alias("__text"))
+    keep = without(docs, (*own, text_col))
+    text = F.col("text")
     likely = text.rlike(f"(?i){GATE.replace('licens', 'licen[sc]').replace(' ', '[^a-z]+')}")
-    rows = rows.select(*[F.col(quoted(c)) for c in keep], *[F.when(likely, _identified(text, cut, table)).otherwise("").alias(name) for name, cut in zip(("__over", "__within"), CUTS, strict=True)])
+    rows = docs.select(as_one(keep), F.col(quoted(text_col)).alias("text"))
+    rows = rows.select("kept", *[F.when(likely, _identified(text, cut, table)).otherwise("").alias(name) for name, cut in zip(("over", "within"), CUTS, strict=True)])
 
     def count(ids: Column) -> Column:
         return F.length(ids) - F.length(F.replace(ids, F.lit("<"), F.lit("")))
@@ -216,17 +216,13 @@ def scan_licenses(docs: DataFrame, text_col: str = "text") -> DataFrame:
         start = F.struct(ids.alias("rest"), F.array().cast("array<int>").alias("at"))
         return F.when(ids != "", F.aggregate(rules, start, step)).otherwise(start)
 
-    rows = rows.withColumn("__ids", F.when(count(F.col("__within")) > count(F.col("__over")), F.col("__within")).otherwise(F.col("__over")))
-    over, within, own_ids = (matched(F.col(c)) for c in ("__over", "__within", "__ids"))
+    rows = rows.withColumn("ids", F.when(count(F.col("within")) > count(F.col("over")), F.col("within")).otherwise(F.col("over")))
+    over, within, own_ids = (matched(F.col(c)) for c in ("over", "within", "ids"))
     rest = own_ids["rest"]
     names = F.array(*[F.lit(name) for name, _ in RULES])
     found = F.array_distinct(F.transform(F.array_sort(F.array_union(over["at"], within["at"])), lambda k: F.get(names, k)))
     none = F.array().cast("array<string>")
-    ids = F.filter(F.split(F.translate("__ids", "<", ""), ">", -1), lambda i: i != "")
-    some = F.col("__ids") != ""
-    return rows.select(
-        *[F.col(quoted(c)) for c in keep],
-        F.when(some, ids).otherwise(none).alias("sentence_ids"),
-        F.when(some, found).otherwise(none).alias("licenses"),
-        F.when(some, count(rest)).otherwise(0).cast("long").alias("n_unmatched"),
-    )
+    ids = F.filter(F.split(F.translate("ids", "<", ""), ">", -1), lambda i: i != "")
+    some = F.col("ids") != ""
+    found_columns = F.when(some, ids).otherwise(none), F.when(some, found).otherwise(none), F.when(some, count(rest)).otherwise(0).cast("long")
+    return rows.select("kept", *[c.alias(n) for c, n in zip(found_columns, own, strict=True)]).select(*apart(keep), *own)

@@ -407,7 +407,7 @@ def find_pii(docs: DataFrame, trees: Trees, text_col: str = "text", keep_text: b
 
         def judged(f: Column) -> Column:
             kind = F.when(c["kind"] == "address", "email").when(c["kind"] == "dotted", "ip").when(c["kind"] == "secret", "secret").when(f[digits] >= 13, "card").otherwise("phone")
-            passed = trees.passes(c["kind"], trees.margin(f))
+            passed = _let(trees.margin(f), lambda m: trees.passes(c["kind"], m))
             return F.struct(c["start"].alias("start"), c["end"].alias("end"), F.when(passed, kind).alias("kind"), c["kind"].alias("by")).cast(_CHOSEN)
 
         return _let(F.struct(*_features(c)), judged)
@@ -425,7 +425,7 @@ def find_pii(docs: DataFrame, trees: Trees, text_col: str = "text", keep_text: b
     rank = F.array(*map(F.lit, ALL_KINDS))
     keyed = F.transform(added(F.col("base_spans"), list(GENERATORS)), lambda s: F.struct(F.array_position(rank, s["kind"]).alias("k"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
     spans = F.when(F.size("chosen") > 0, _plain(F.array_sort(keyed))).otherwise(F.col("base_spans"))
-    return rows.select(*apart(keep), "base_spans", spans.alias("spans"))
+    return rows.select("kept", "base_spans", spans.alias("spans")).select(*apart(keep), "base_spans", "spans")
 
 
 def redact(docs: DataFrame, trees: Trees, text_col: str = "text") -> DataFrame:

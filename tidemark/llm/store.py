@@ -2,31 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder, as in tests.
-LOCAL_FOLDER = "/tmp/checkpoints"
+from tidemark.sources.staging import staged as written
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_FOLDER).rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read again.
-
-    The lineage ends there: a lost executor costs no more than the tasks that
-    read the table, and what was costly is computed once.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["apart", "as_one", "partitions", "quoted", "without", "written"]
 
 
 def without(df: DataFrame, names: Iterable[str]) -> list[str]:
