@@ -5,6 +5,10 @@ together, deals the rest of the chunk's keys out by hash and sends each part as
 row of arrays; a key costs a few bytes, not a row.  However often a key
 occurs, a chunk sends it once, so no part grows with the copies of one passage.
 Answers go back to the chunk, which knows its documents.
+
+The number of parts follows from the bytes of the input, so a part stays about as large however
+large the input is; several share a partition, which Spark sorts by part (and spills),
+so a task holds one part at a time.
 """
 
 from __future__ import annotations
@@ -24,9 +28,31 @@ from tidemark.llm.words import runs
 #: Part of the row that stays with the chunk.
 LOCAL = -1
 
-#: Rows that travel: the partition they go to, the chunk, the part of the keys (or LOCAL), and arrays.
-MESSAGE = "target int, chunk long, part int, a binary, b binary, c binary, d binary"
-MESSAGE_ARROW = pa.schema([("target", pa.int32()), ("chunk", pa.int64()), ("part", pa.int32()), *((n, pa.binary()) for n in "abcd")])
+#: Bytes of text whose keys make one part, about.
+PART_BYTES = 32 << 20
+
+
+def parts_of(size: int, partitions: int, part_bytes: int = PART_BYTES) -> int:
+    """Parts for texts of ``size`` bytes: a multiple of the partitions."""
+    return partitions * max(1, -(-size // (partitions * part_bytes)))
+
+
+def alike(keys: np.ndarray, more: np.ndarray, *ties: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order by (keys, more, ties), and which of it equal the one before in both halves of the hash."""
+    for halves in ((keys,), (more, keys)):  # equal first halves with unequal second ones are next to impossible
+        order = np.lexsort((*reversed(ties), *halves))
+        one, two = keys[order], more[order]
+        same = np.zeros(len(keys), bool)
+        same[1:] = one[1:] == one[:-1]
+        differ = same[1:] & (two[1:] != two[:-1])
+        if not differ.any():
+            break
+        same[1:] &= ~differ
+    return order, same
+
+#: Rows that travel: what they are dealt by, the chunk, the part of the keys (or LOCAL), and arrays.
+MESSAGE = "target long, chunk long, part int, a binary, b binary, c binary, d binary"
+MESSAGE_ARROW = pa.schema([("target", pa.int64()), ("chunk", pa.int64()), ("part", pa.int32()), *((n, pa.binary()) for n in "abcd")])
 
 #: What an answer holds: places in a chunk.
 ANSWER = "chunk long, part int, a binary, b binary, c binary, d binary"
@@ -109,8 +135,8 @@ def by_part(part: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
         yield int(held[s]), order[s:e]
 
 
-def message(target: int, chunk: int, part: int, a: bytes = b"", b: bytes = b"", c: bytes = b"", d: bytes = b"") -> tuple:
-    return target, chunk, part, a, b, c, d
+def message(chunk: int, part: int, a: bytes = b"", b: bytes = b"", c: bytes = b"", d: bytes = b"") -> tuple:
+    return chunk if part == LOCAL else part, chunk, part, a, b, c, d
 
 
 def batches(rows: Iterable[tuple], schema: pa.Schema, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
@@ -138,9 +164,25 @@ def rows_of(frames: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
             yield tuple(c[k].as_py() for c in columns)
 
 
-def dealt(messages: DataFrame, parts: int) -> DataFrame:
-    """Messages at the partition they are for."""
-    return messages.repartitionById(parts, F.col("target"))
+def dealt(messages: DataFrame, partitions: int) -> DataFrame:
+    """Messages at the partition they are for, part after part."""
+    return messages.repartitionById(partitions, F.pmod("target", F.lit(partitions)).cast("int")).sortWithinPartitions("part")
+
+
+def by_turns(frames: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
+    """Each part of a partition with its rows, one part in hand; each row that stays with its chunk alone."""
+    part, held = LOCAL, []
+    for row in rows_of(frames):
+        if row[2] == LOCAL:
+            yield LOCAL, [row]
+            continue
+        if held and row[2] != part:
+            yield part, held
+            held = []
+        part = row[2]
+        held.append(row)
+    if held:
+        yield part, held
 
 
 def gathered(answers: DataFrame, gather) -> DataFrame:

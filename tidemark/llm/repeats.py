@@ -14,12 +14,13 @@ the anchors are held against each other: where they differ at once the repeat is
 maximal as it stands, where they agree it goes on to the left.  So every
 occurrence, not just neighbours, learns how far it is repeated to either side.
 
-A group with very many occurrences is not gathered: its windows are counted
-one by one, dealt out by their own hashes, which is exact too.
+A group with very many occurrences can't be gathered in one task: its windows are counted
+one by one, dealt out by their own 128-bit hashes, which is the exact way for these.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -110,7 +111,7 @@ def _offer(keys: np.ndarray, at: np.ndarray, docs: packed.Docs, chunk: int, part
     other = np.ones(len(keys), bool)
     other[new] = False
     pairs = np.stack((at[np.repeat(first, count)[other]], at[order[other]]))
-    yield packed.message(chunk % parts, chunk, packed.LOCAL, *docs.packed(), pairs.tobytes())
+    yield packed.message(chunk, packed.LOCAL, *docs.packed(), pairs.tobytes())
     by_place = np.argsort(first, kind="stable")
     first, count = first[by_place], count[by_place]
     part = (keys[first] % np.uint64(parts)).astype(np.int64)
@@ -118,7 +119,7 @@ def _offer(keys: np.ndarray, at: np.ndarray, docs: packed.Docs, chunk: int, part
     for p, members in packed.by_part(part, parts):
         many = np.flatnonzero(count[members] > 1)
         sparse = np.stack((many, count[members][many])).astype(np.uint32)
-        yield packed.message(p, chunk, p, short[members].tobytes(), packed.planes(at[first[members]]), sparse.tobytes())
+        yield packed.message(chunk, p, short[members].tobytes(), packed.planes(at[first[members]]), sparse.tobytes())
 
 
 def _offer_chunks(parts: int):
@@ -170,14 +171,11 @@ def _occurs_again(crowd: int):
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def answers() -> Iterator[tuple]:
-            held: dict[int, list[tuple]] = {}
-            for _, chunk, part, a, b, c, d in packed.rows_of(frames):
+            for part, rows in packed.by_turns(frames):
                 if part == packed.LOCAL:
-                    yield chunk, part, a, b, c, d
-                else:
-                    held.setdefault(part, []).append((chunk, a, b, c))
-            while held:
-                rows = held.popitem()[1]
+                    yield rows[0][1:]
+                    continue
+                rows = [(chunk, a, b, c) for _, chunk, _, a, b, c, _ in rows]
                 keys = np.concatenate([np.frombuffer(a, np.uint32) for _, a, _, _ in rows])
                 count = np.ones(len(keys), np.int64)
                 at, sizes = 0, []
@@ -301,9 +299,7 @@ class _Held:
         out: list[tuple] = []
         if self.windows:
             keys, more, at = (np.concatenate(x) for x in zip(*self.windows, strict=True))
-            order = np.lexsort((at, keys))
-            equal = np.zeros(len(keys), bool)
-            equal[1:] = keys[order[1:]] == keys[order[:-1]]
+            order, equal = packed.alike(keys, more, at)
             fresh = np.ones(len(keys), bool)
             fresh[order[equal]] = False
             again = equal.copy()
@@ -311,9 +307,10 @@ class _Held:
             covered = at[order[again]]
             twice = np.zeros(len(keys), bool)
             twice[order[again]] = True
-            keys, at, twice, part = keys[fresh], at[fresh], twice[fresh], (more[fresh] % np.uint64(parts)).astype(np.int64)
-            out += [packed.message(p, chunk, parts + p, keys[m].tobytes(), packed.planes(at[m]), np.packbits(twice[m]).tobytes()) for p, m in packed.by_part(part, parts)]
-        yield packed.message(chunk % parts, chunk, packed.LOCAL, *docs.packed(), np.int64([same.shape[1]]).tobytes() + same.tobytes() + covered.tobytes())
+            keys, more, at, twice = keys[fresh], more[fresh], at[fresh], twice[fresh]
+            part = (more % np.uint64(parts)).astype(np.int64)
+            out += [packed.message(chunk, parts + p, keys[m].tobytes() + more[m].tobytes(), packed.planes(at[m]), np.packbits(twice[m]).tobytes()) for p, m in packed.by_part(part, parts)]
+        yield packed.message(chunk, packed.LOCAL, *docs.packed(), np.int64([same.shape[1]]).tobytes() + same.tobytes() + covered.tobytes())
         by_part: dict[int, list[tuple[int, int, bytes, int]]] = {}
         for (around, left), at in self.slices.items():
             key = xxhash.xxh64_intdigest(around[left : left + GRAM])
@@ -321,7 +318,7 @@ class _Held:
         for p, rows in sorted(by_part.items()):
             rows.sort()
             shape = np.array([(left, n) for _, left, _, n in rows], np.uint16)
-            out.append(packed.message(p, chunk, p, b"".join(r[2] for r in rows), packed.planes(np.array([r[0] for r in rows])), shape.tobytes()))
+            out.append(packed.message(chunk, p, b"".join(r[2] for r in rows), packed.planes(np.array([r[0] for r in rows])), shape.tobytes()))
         yield from out
 
 
@@ -348,32 +345,51 @@ def intervals(prefixes: list[int]) -> Iterator[tuple[int, int, int]]:
             stack.append((length, first))
 
 
+def maximal_repeats(group: list[tuple[bytes, bytes]], window: int = WINDOW) -> Iterator[tuple[int, int, list[int]]]:
+    """The maximal repeats through an anchor: (bytes to its left, bytes from it on, all members of the group that share them).
+
+    ``group`` are the distinct (left text reversed, text from the anchor on).  Common-prefix intervals of
+    the sorted suffixes say how far members agree to the right; within one, the intervals of the left texts say
+    how far they agree to the left.  A repeat is maximal if its members differ on both sides: on the left they do as
+    an interval ends there, on the right if not all of them lie in one interval further down.
+    """
+    array = sorted(range(len(group)), key=lambda k: group[k][1])
+    prefixes = [_agree(group[a][1], group[b][1]) for a, b in zip(array, array[1:], strict=False)]
+    for length, first, last in intervals(prefixes):
+        if length + _LEFT < window:
+            continue
+        places = range(first, last + 1)
+        if last - first > 1:
+            places = sorted(places, key=lambda p: group[array[p]][0])
+        shared = [_agree(group[array[p]][0], group[array[q]][0]) for p, q in zip(places, places[1:], strict=False)]
+        ends = [p for p in range(first, last) if prefixes[p] == length]
+        found = list(intervals(shared))
+        if min(shared) == 0:
+            found.append((0, 0, len(shared)))
+        for left, a, b in found:
+            if left + length < window:
+                continue
+            members = places[a : b + 1]
+            low, high = min(members), max(members)
+            at = bisect_left(ends, low)
+            if at < len(ends) and ends[at] < high:
+                yield left, length, [array[p] for p in members]
+
+
 def reach(group: list[tuple[bytes, bytes, bool]]) -> list[tuple[int, int] | None]:
     """For each (left text reversed, text from the anchor on, whether it is there twice) how far it is repeated: (to the left, to the right).
 
     Bytes from ``left`` before the anchor to ``right`` after its start are under
     strings of ``WINDOW`` bytes that another member of the group shares, at the same
-    place from the anchor.
+    place from the anchor: those of all maximal repeats that the member occurs in.
     """
     out: list[tuple[int, int] | None] = [
         (len(left), len(right)) if twice and len(left) + len(right) >= WINDOW else None for left, right, twice in group
     ]
-    array = sorted(range(len(group)), key=lambda k: group[k][1])
-    prefixes = [_agree(group[a][1], group[b][1]) for a, b in zip(array, array[1:], strict=False)]
-    for length, first, last in intervals(prefixes):
-        need = WINDOW - length
-        if need > _LEFT:
-            continue
-        members = array[first : last + 1]
-        if len(members) > 2:
-            members = sorted(members, key=lambda k: group[k][0])
-        # left extensions: neighbours in the order of the reversed texts share the most
-        shared = [_agree(group[a][0], group[b][0]) for a, b in zip(members, members[1:], strict=False)]
-        for place, k in enumerate(members):
-            best = max(shared[place - 1] if place else -1, shared[place] if place < len(shared) else -1)
-            if best >= need:
-                left, right = out[k] or (0, 0)
-                out[k] = max(left, best), max(right, length)
+    for left, right, members in maximal_repeats([(a, b) for a, b, _ in group]):
+        for k in members:
+            far = out[k] or (0, 0)
+            out[k] = max(far[0], left), max(far[1], right)
     return out
 
 
@@ -382,17 +398,11 @@ def _extend(parts: int):
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def answers() -> Iterator[tuple]:
-            slices: dict[int, list[tuple]] = {}
-            windows: dict[int, list[tuple]] = {}
-            for _, chunk, part, a, b, c, d in packed.rows_of(frames):
+            for part, rows in packed.by_turns(frames):
                 if part == packed.LOCAL:
-                    yield chunk, part, a, b, c, d
+                    yield rows[0][1:]
                 else:
-                    (slices if part < parts else windows).setdefault(part, []).append((chunk, a, b, c))
-            while slices:
-                yield from _stretches(slices.popitem()[1])
-            while windows:
-                yield from _counted(windows.popitem()[1])
+                    yield from (_stretches if part < parts else _counted)([(chunk, a, b, c) for _, chunk, _, a, b, c, _ in rows])
 
         yield from packed.batches(answers(), packed.ANSWER_ARROW)
 
@@ -424,11 +434,9 @@ def _stretches(rows: list[tuple]) -> Iterator[tuple]:
 
 
 def _counted(rows: list[tuple]) -> Iterator[tuple]:
-    keys = np.concatenate([np.frombuffer(a, np.uint64) for _, a, _, _ in rows])
+    keys, more = (np.concatenate(x) for x in zip(*(np.frombuffer(a, np.uint64).reshape(2, -1) for _, a, _, _ in rows), strict=True))
     places = [packed.from_planes(b) for _, _, b, _ in rows]
-    order = np.argsort(keys, kind="stable")
-    equal = np.zeros(len(keys), bool)
-    equal[1:] = keys[order[1:]] == keys[order[:-1]]
+    order, equal = packed.alike(keys, more)
     equal[:-1] |= equal[1:]
     again = np.zeros(len(keys), bool)
     again[order] = equal
@@ -493,7 +501,7 @@ def _cut(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from packed.batches(rows(), _CUT)
 
 
-def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD) -> DataFrame:
+def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD, part_bytes: int = packed.PART_BYTES) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept): each document without the bytes under a ``WINDOW``-byte string that starts anywhere else too.
 
     Elsewhere is another document or another place of the same one; overlapping
@@ -504,22 +512,23 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Null text is empty; texts shorter than ``WINDOW`` stay.  Copies of a text, repeated
     rows among them, are repeats of each other as a whole; one of them stands for all against other texts.  A null id
     stays null.  Other columns are not looked at.  Texts around anchors are compared byte by
-    byte; windows of anchors that occur more than ``crowd`` times by hashes of more than 64
+    byte; windows of anchors that occur more than ``crowd`` times by hashes of 128
     bits.  An empty table gives no rows.
     """
-    parts = partitions(docs.sparkSession)
+    spread = partitions(docs.sparkSession)
     rows = packed.keyed(docs, id_col, text_col)
-    known = written(rows.groupBy("id", "hash").agg(F.count("*").alias("rows")), "known")
+    known = written(rows.groupBy("id", "hash").agg(F.count("*").alias("rows"), F.first(F.octet_length("text")).alias("bytes")), "known")
+    parts = packed.parts_of(known.agg(F.sum("bytes")).first()[0] or 0, spread, part_bytes)
     heads = known.groupBy(F.col("hash").alias("of")).agg(F.min("id").alias("head"), F.sum("rows").alias("n"))
     heads = written(heads.filter("n > 1"), "heads")  # apart from the grouping, so that the join can split a hash with many copies
     copies = written(known.join(heads, F.col("hash") == F.col("of")).select("id", "hash", (F.col("id") == F.col("head")).alias("stands")), "copies")
 
-    offers = packed.dealt(rows.mapInArrow(_offer_chunks(parts), packed.MESSAGE), parts)
+    offers = packed.dealt(rows.mapInArrow(_offer_chunks(parts), packed.MESSAGE), spread)
     hits = offers.mapInArrow(_occurs_again(crowd), packed.ANSWER).groupBy("chunk").applyInArrow(_anchored, _ANCHORED)
     hits = written(hits, "anchors").dropDuplicates(["id", "hash"]).join(copies.filter(~F.col("stands")), ["id", "hash"], "left_anti")
 
     near = rows.join(hits, ["id", "hash"]).select("id", "hash", "anchors", "crowded", "text").sortWithinPartitions("id", "hash")
-    around = packed.dealt(near.mapInArrow(_surroundings(parts), packed.MESSAGE), parts)
+    around = packed.dealt(near.mapInArrow(_surroundings(parts), packed.MESSAGE), spread)
     gone = written(packed.gathered(around.mapInArrow(_extend(parts), packed.ANSWER), _repeated), "gone")
     gone = gone.join(copies, ["id", "hash"], "left_anti").withColumn("copy", F.lit(False)).unionByName(copies.select("id", "hash", F.lit(True).alias("copy")), allowMissingColumns=True)
     cut = rows.join(gone, ["id", "hash"], "left").select("id", "starts", "ends", F.coalesce("copy", F.lit(False)).alias("copy"), "text")

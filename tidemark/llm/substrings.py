@@ -3,9 +3,9 @@
 Every document is cut into blocks of ``BLOCK`` words that don't overlap; these
 are the index.  Every rolling window of ``BLOCK`` words of every document
 probes it.  A passage of ``WINDOW`` words is at least twice a block less one word long,
-so wherever it occurs it holds a whole block: no repeat is missed.  Around the hits, the
-windows of ``WINDOW`` words are compared whole, which extends hits to the maximal exact
-repeats; a word goes if a window that covers it has started earlier.
+so wherever it occurs it holds a whole block: no repeat is missed.  Hits are extended by comparing all
+windows of ``WINDOW`` words that hold one, whole, by 128-bit hashes: windows that have started earlier and overlap make up
+the maximal exact repeats.  Extending pairs of places word by word gives the same, but a passage in a thousand documents has a million pairs.
 
 Texts move twice, to be joined with the places of hits and with what is to be removed; keys move
 packed (see ``packed``), once a chunk however often they occur in it.
@@ -64,14 +64,14 @@ def _probes(h: np.ndarray, docs: packed.Docs, chunk: int, parts: int) -> Iterato
     others = repeated & ~anchored[group]
     others[new] = False
     pairs = np.stack((at[first[group[others]]], at[order[others]]))
-    yield packed.message(chunk % parts, chunk, packed.LOCAL, *docs.packed(), np.int64([len(hit)]).tobytes() + hit.tobytes() + pairs.tobytes())
+    yield packed.message(chunk, packed.LOCAL, *docs.packed(), np.int64([len(hit)]).tobytes() + hit.tobytes() + pairs.tobytes())
     by_place = np.argsort(first, kind="stable")
     first, anchored = first[by_place], anchored[by_place]
     keys = keys[first]
     short = (keys >> np.uint64(33)).astype(np.uint32) * np.uint32(2) + anchored
     part = (keys % np.uint64(parts)).astype(np.int64)
     for p, members in packed.by_part(part, parts):
-        yield packed.message(p, chunk, p, short[members].tobytes(), packed.planes(at[first[members]]))
+        yield packed.message(chunk, p, short[members].tobytes(), packed.planes(at[first[members]]))
 
 
 def _probe_chunks(parts: int):
@@ -107,14 +107,11 @@ def _match(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Joins blocks and windows of a partition's parts: a key that is a block somewhere and occurs twice is hit everywhere."""
 
     def answers() -> Iterator[tuple]:
-        held: dict[int, list[tuple]] = {}
-        for _, chunk, part, a, b, c, d in packed.rows_of(frames):
+        for part, rows in packed.by_turns(frames):
             if part == packed.LOCAL:
-                yield chunk, part, a, b, c, d
-            else:
-                held.setdefault(part, []).append((chunk, a, b))
-        while held:
-            rows = held.popitem()[1]
+                yield rows[0][1:]
+                continue
+            rows = [(chunk, a, b) for _, chunk, _, a, b, _, _ in rows]
             keys = np.concatenate([np.frombuffer(a, np.uint32) for _, a, _ in rows])
             sizes = [len(a) // 4 for _, a, _ in rows]
             order = np.argsort(keys >> np.uint32(1), kind="stable")
@@ -172,7 +169,7 @@ class _Digests(dict):
 
 
 def _window_chunks(parts: int):
-    """Messages of a chunk of candidate windows: a 64-bit hash and, by which part it is in, more bits of another; where each is first."""
+    """Messages of a chunk of candidate windows: both halves of a 128-bit hash; where each is first."""
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def messages() -> Iterator[tuple]:
@@ -183,17 +180,18 @@ def _window_chunks(parts: int):
             def flush() -> Iterator[tuple]:
                 chunk, docs = next(numbers), packed.Docs(np.array(ids, np.int64), list(hashes), np.array(border))
                 keys, more, at = (np.concatenate(x) for x in zip(*held, strict=True))
-                order = np.lexsort((at, keys))
+                order, same = packed.alike(keys, more, at)
                 fresh = np.ones(len(keys), bool)
-                fresh[order[1:]] = keys[order[1:]] != keys[order[:-1]]
-                yield packed.message(chunk % parts, chunk, packed.LOCAL, *docs.packed(), at[~fresh].tobytes())
-                keys, at, part = keys[fresh], at[fresh], (more[fresh] % np.uint64(parts)).astype(np.int64)
+                fresh[order] = ~same
+                yield packed.message(chunk, packed.LOCAL, *docs.packed(), at[~fresh].tobytes())
+                keys, more, at = keys[fresh], more[fresh], at[fresh]
+                part = (more % np.uint64(parts)).astype(np.int64)
                 tie = np.array([int.from_bytes(h[:4], "big") for h in docs.hashes], np.uint32)
                 for p, members in packed.by_part(part, parts):
                     place = at[members]
                     doc, count = np.unique(np.searchsorted(docs.border, place, side="right") - 1, return_counts=True)
                     order = docs.ids[doc].tobytes() + tie[doc].tobytes() + count.astype(np.uint32).tobytes()
-                    yield packed.message(p, chunk, p, keys[members].tobytes(), packed.planes(place), order)
+                    yield packed.message(chunk, p, keys[members].tobytes() + more[members].tobytes(), packed.planes(place), order)
 
             for id_, hash_, starts, ends, text in _read(frames, 4):  # equal rows stand together
                 if (id_, hash_) == before:
@@ -222,15 +220,12 @@ def _later(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of equal windows of a partition's parts, all but the first: by id, hash of the text, place."""
 
     def answers() -> Iterator[tuple]:
-        held: dict[int, list[tuple]] = {}
-        for _, chunk, part, a, b, c, d in packed.rows_of(frames):
+        for part, rows in packed.by_turns(frames):
             if part == packed.LOCAL:
-                yield chunk, part, a, b, c, d
-            else:
-                held.setdefault(part, []).append((chunk, a, b, c))
-        while held:
-            rows = held.popitem()[1]
-            keys = np.concatenate([np.frombuffer(a, np.uint64) for _, a, _, _ in rows])
+                yield rows[0][1:]
+                continue
+            rows = [(chunk, a, b, c) for _, chunk, _, a, b, c, _ in rows]
+            keys, more = (np.concatenate(x) for x in zip(*(np.frombuffer(a, np.uint64).reshape(2, -1) for _, a, _, _ in rows), strict=True))
             places = [packed.from_planes(b) for _, _, b, _ in rows]
             ids, ties = [], []
             for *_, c in rows:
@@ -238,9 +233,9 @@ def _later(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 count = np.frombuffer(c, np.uint32, n, 12 * n)
                 ids.append(np.repeat(np.frombuffer(c, np.int64, n), count))
                 ties.append(np.repeat(np.frombuffer(c, np.uint32, n, 8 * n), count))
-            order = np.lexsort((np.concatenate(places), np.concatenate(ties), np.concatenate(ids), keys))
+            order, same = packed.alike(keys, more, np.concatenate(ids), np.concatenate(ties), np.concatenate(places))
             late = np.zeros(len(keys), bool)
-            late[order[1:]] = keys[order[1:]] == keys[order[:-1]]
+            late[order] = same
             at = 0
             for (chunk, *_), own in zip(rows, places, strict=True):
                 mine = own[late[at : at + len(own)]]
@@ -286,7 +281,7 @@ def _cut(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from packed.batches(rows(), _CUT)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = packed.PART_BYTES) -> DataFrame:
     """(id, n_words, n_removed, kept): each document without the words that a window that started earlier covers.
 
     A window is ``WINDOW`` consecutive words of one document; it starts earlier in
@@ -298,23 +293,24 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     result.  Documents with the same id and different texts stand in the order of
     the texts' MD5; rows equal in id and text are one document and get equal
     answers.  A copy of a document with a smaller id has nothing new, so all its
-    words go.  Equality of windows is that of hashes of more than 64 bits.  Other columns are not
+    words go.  Equality of windows is that of hashes of 128 bits.  Other columns are not
     looked at.  An empty table gives no rows.
     """
-    parts = partitions(docs.sparkSession)
+    spread = partitions(docs.sparkSession)
     rows = packed.keyed(docs, id_col, text_col)
-    known = written(rows.select("id", "hash").distinct(), "known")
+    known = written(rows.select("id", "hash", F.octet_length("text").alias("bytes")).distinct(), "known")
+    parts = packed.parts_of(known.agg(F.sum("bytes")).first()[0] or 0, spread, part_bytes)
     heads = known.groupBy(F.col("hash").alias("of")).agg(F.min("id").alias("head"), F.count("*").alias("n"))
     heads = written(heads.filter("n > 1"), "heads")  # apart from the grouping, so that the join can split a hash with many copies
     copies = written(known.join(heads, F.col("hash") == F.col("of")).filter("id <> head").select("id", "hash"), "copies")
 
-    probes = packed.dealt(rows.mapInArrow(_probe_chunks(parts), packed.MESSAGE), parts)
+    probes = packed.dealt(rows.mapInArrow(_probe_chunks(parts), packed.MESSAGE), spread)
     hits = packed.gathered(probes.mapInArrow(_match, packed.ANSWER), _candidates)
     hits = written(hits, "hits").dropDuplicates(["id", "hash"]).join(copies, ["id", "hash"], "left_anti")
 
     # dealt before the join, so that equal rows meet in one task whichever way Spark joins
     near = rows.repartition("id", "hash").join(hits, ["id", "hash"]).select("id", "hash", "starts", "ends", "text").sortWithinPartitions("id", "hash")
-    windows = packed.dealt(near.mapInArrow(_window_chunks(parts), packed.MESSAGE), parts)
+    windows = packed.dealt(near.mapInArrow(_window_chunks(parts), packed.MESSAGE), spread)
     gone = written(packed.gathered(windows.mapInArrow(_later, packed.ANSWER), _covered), "gone")
     gone = gone.withColumn("copy", F.lit(False)).unionByName(copies.withColumn("copy", F.lit(True)), allowMissingColumns=True)
     cut = rows.join(gone, ["id", "hash"], "left").select("id", "starts", "ends", F.coalesce("copy", F.lit(False)).alias("copy"), "text")
