@@ -7,7 +7,9 @@ query; it is added up with bitmap arithmetic (carry-save adders) and is bit-slic
 again.  The top rows are selected from its most significant slice downward;
 rows that tie at the boundary are resolved exactly, by the smaller id.
 
-Blocks of rows meet blocks of queries, and only each block's top rows go on.
+Blocks of rows meet batches of queries, a stated set, and only each block's top rows go on. Both are
+tables in the shared folder that are read where they meet, so what is shuffled is
+the rows once, the queries once, and the best rows of each block.
 """
 
 from __future__ import annotations
@@ -179,9 +181,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
     rows, asked = written(fit(vectors), "vectors"), written(fit(queries), "queries")
     blocks = max(1, math.ceil(rows.count() / BLOCK_ROWS))
     groups = max(1, math.ceil(asked.count() / BLOCK_QUERIES))
-    index = written(rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).groupBy("block").applyInPandas(build_block, _INDEX), "slices")
+    index = written(rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).repartition(blocks, "block").groupBy("block").applyInPandas(build_block, _INDEX), "slices")
     batches = asked.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int").alias("group")).agg(F.collect_list(F.struct("vec_id", "q")).alias("asked"))
-    met = index.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).repartition("block", "group").join(batches, "group")
+    batches = written(batches.repartition(groups, "group").select("asked"), "queries")
+    # every block meets every batch where it is read: neither is shuffled for it
+    met = index.hint("shuffle_replicate_nl").crossJoin(batches)
 
     def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
