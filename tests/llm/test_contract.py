@@ -36,6 +36,28 @@ def test_languages_are_told_on_held_out_rows(spark, sf_dir, documents):
     assert all(0 <= r["score"] <= 1 for r in rows)
 
 
+def test_languages_match_sizes_recomputed_from_the_dictionaries(spark, sf_dir, documents):
+    import regex
+    import zstandard
+
+    from tidemark.llm.language import fit_languages, identify_languages
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = fit_languages(docs)
+    coders = lambda c: zstandard.ZstdCompressor(level=model.level, dict_data=zstandard.ZstdCompressionDict(c, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_checksum=False, write_content_size=False, write_dict_id=False)
+    table = [(coders(large), [coders(c) for c in small]) for large, small in zip(model.large, model.small, strict=True)]
+    for r in identify_languages(docs.select("doc_id", "text"), model).collect():
+        text = documents[r["doc_id"]]["text"]
+        if text is None or not regex.search(r"\p{L}", text):
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        data = " ".join(regex.findall(r"[\p{L}\p{M}]+", text.lower())).encode()
+        blocks = [data[k : k + model.block] for k in range(0, len(data), model.block)]
+        sizes = [sum(len(small) * len(large.compress(b)) + sum(len(c.compress(b[: model.head])) for c in small) for b in blocks) for large, small in table]
+        first, second = sorted(sizes)[:2]
+        assert r["lang_pred"] == model.languages[sizes.index(first)] and r["score"] == (second - first) / second
+
+
 def fingerprint(text: str, k: int = 3) -> int:
     lowered = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     words = re.findall(r"[^\x20\x09-\x0D]+", lowered)

@@ -187,7 +187,7 @@ def test_decontamination(spark, docs, empty):
     assert (rows[7]["n_hit"], rows[7]["items"], rows[7]["contaminated"]) == (34, ["1"], True)
     assert (rows[6]["n_words"], rows[6]["n_hit"]) == (31, 17) and rows[8]["items"] == ["2"] and rows[None]["items"] == ["2"]
     assert (rows[1]["n_words"], rows[1]["n_hit"], rows[1]["contaminated"]) == (0, 0, False) and rows[5]["n_hit"] == 0
-    parts = {r["doc_id"]: r.asDict() for r in find_contamination(docs, bench, part_bytes=100).collect()}
+    parts = {r["doc_id"]: r.asDict() for r in find_contamination(docs, bench, task_bytes=100).collect()}
     assert parts == {k: v.asDict() for k, v in rows.items()}
     assert find_contamination(empty, bench).count() == 0
     assert {r["n_hit"] for r in find_contamination(docs, bench.filter("false")).collect()} == {0}
@@ -269,6 +269,34 @@ def test_known_sentences_survive_the_cuts(spark, monkeypatch):
         scan_licenses(spark.createDataFrame([], "doc_id long, text string"))
 
 
+INTERNAL = "kept int, text_ int, id int, hash long, fp long, of long, head long, head_hash long, n int, __n int, __text_hash long, __head int, __hash int, __ids int, __text int, __over int, __within int, __c int, __chosen int, __row int, over string, within string, ids string, chosen string, root int, component int, found_in int, places int, `x.y` int"
+
+
+def test_extra_columns_of_any_name_stay(spark):
+    names = [c.strip().rsplit(" ", 1) for c in INTERNAL.split(",")]
+    plain = spark.createDataFrame([(1, "Released under the MIT License. a.b@c.de and words"), (2, "one two three four five")], "doc_id long, text string")
+    frame = plain.select("*", *[F.lit(str(70 + k)).cast(kind).alias(name.strip("`")) for k, (name, kind) in enumerate(names)])
+    bench = spark.createDataFrame([(1, "one two")], "item_id long, text string")
+    every = Trees((1.0,), (1.0,), dict.fromkeys(GENERATORS, 0.5))
+    results = [
+        drop_near_duplicates(frame.unionByName(frame.withColumn("__n", F.lit(78)))),
+        simhash_groups(frame),
+        scan_licenses(frame),
+        find_pii(frame, every),
+        redact(frame, every),
+        identify_languages(frame, fit_languages(frame.withColumn("lang", F.lit("en")))),
+        find_contamination(frame, bench),
+        find_contamination(frame, bench, task_bytes=1),
+    ]
+    for out in results:
+        rows = out.collect()
+        assert len(rows) == 2 and {r["doc_id"] for r in rows} == {1, 2}
+        for k, (name, kind) in enumerate(names):
+            if name.strip("`") in ("fp",) and "fp" not in out.columns:
+                continue
+            assert {str(r[name.strip("`")]) for r in rows} <= {str(70 + k)} or name == "__n"
+
+
 def test_large_components_are_not_clipped(spark):
     vectors = {1: [1e7, 0.0], 2: [1.5e7, 0.0], 3: [-2e7, 1.0], 4: [1e9, -1e12], 5: [2e16, 0.0], 6: [-2e16, 0.0], 10: [1 / 256, 0.0], 20: [-1 / 256, 0.0]}
     frame = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>")

@@ -5,8 +5,11 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from tests.llm.test_contract import repeated_bytes
 from tidemark.llm.decontamination import find_contamination
+from tidemark.llm.repeats import maximal_repeats, remove_repeated_bytes
 from tidemark.llm.substrings import remove_repeats
 
 
@@ -40,8 +43,10 @@ def test_repeats_of_few_words(spark, seed):
             seen.add(window)
         expected[k] = (len(words), sum(gone), " ".join(w for w, g in zip(words, gone, strict=True) if not g))
     frame = spark.createDataFrame(list(given.items()), "doc_id long, text string").repartition(5)
-    got = {r["id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in remove_repeats(frame).collect()}
-    assert got == expected and any(n for _, n, _ in expected.values())
+    size = sum(map(len, given.values()))
+    for part_bytes in (size, size // 2000):
+        got = {r["id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in remove_repeats(frame, part_bytes=part_bytes).collect()}
+        assert got == expected and any(n for _, n, _ in expected.values())
 
 
 def test_equal_rows_of_several_partitions_are_one_document(spark):
@@ -82,6 +87,55 @@ def test_contamination_with_few_words(spark, seed):
         expected[d] = (len(words), sum(hit), sorted(found), sum(hit) > 0 and 20 * sum(hit) >= len(words))
     docs = spark.createDataFrame(list(given.items()), "doc_id long, text string").repartition(5)
     bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
-    for part_bytes in (16 << 20, 2000):
-        rows = find_contamination(docs, bench, part_bytes=part_bytes).collect()
+    for task_bytes in (16 << 20, 2000):
+        rows = find_contamination(docs, bench, task_bytes=task_bytes).collect()
         assert {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"], r["contaminated"]) for r in rows} == expected
+
+
+def test_one_fingerprint_in_very_many_items(spark):
+    shared = " ".join(f"s{k}" for k in range(8))
+    items = {k: f"a{k} b{k} c{k} {shared} d{k % 7} e{k % 7} f{k % 7} g{k}" for k in range(10_000)}
+    given = {1: items[5], 2: f"x {shared} y", 3: f"{items[9]} and {items[9]}", 4: f"{shared} d3 e3 f3", 5: f"q {shared} d3 e3 f3 g10 r"}
+    docs = spark.createDataFrame(list(given.items()), "doc_id long, text string")
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    windows = {}
+    for k, item in items.items():
+        words = item.split()
+        for i in range(len(words) - 12):
+            windows.setdefault(tuple(words[i : i + 13]), set()).add(str(k))
+    expected = {}
+    for d, text in given.items():
+        words = text.split()
+        places = [i for i in range(len(words) - 12) if tuple(words[i : i + 13]) in windows]
+        expected[d] = len({i + j for i in places for j in range(13)}), sorted({n for i in places for n in windows[tuple(words[i : i + 13])]})
+    for task_bytes in (16 << 20, 2000):
+        rows = find_contamination(docs, bench, task_bytes=task_bytes).collect()
+        assert {r["doc_id"]: (r["n_hit"], r["items"]) for r in rows} == expected
+
+
+def test_maximal_repeats_match_all_pairs():
+    rnd = random.Random(6)
+    for n, letters in ((2, b"ab"), (30, b"ab"), (60, b"abc"), (25, b"a")):
+        group = list({(bytes(rnd.choices(letters, k=rnd.randrange(8))), b"anchor" + bytes(rnd.choices(letters, k=rnd.randrange(8)))) for _ in range(n)})
+        agree = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+        for window in (7, 9, 12):
+            expected = set()
+            for a in range(len(group)):
+                for b in range(a + 1, len(group)):
+                    left, right = agree(group[a][0], group[b][0]), agree(group[a][1], group[b][1])
+                    if left + right >= window:
+                        expected.add((left, right, frozenset(k for k in range(len(group)) if agree(group[k][0], group[a][0]) >= left and agree(group[k][1], group[a][1]) >= right)))
+            got = [(left, right, frozenset(members)) for left, right, members in maximal_repeats(group, window)]
+            assert set(got) == expected and len(got) == len(expected)
+
+
+def test_repeated_bytes_in_two_and_in_very_many_parts(spark):
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(5))
+    passage = " ".join(word() for _ in range(80))
+    given = {k: " ".join(word() for _ in range(30)) + passage[: rnd.randrange(150, 400)] + " ".join(word() for _ in range(30)) for k in range(40)}
+    frame = spark.createDataFrame(list(given.items()), "doc_id long, text string").repartition(3)
+    size = sum(map(len, given.values()))
+    for crowd, part_bytes in ((4096, size), (4096, size // 2000), (3, size // 2000)):
+        rows = remove_repeated_bytes(frame, crowd=crowd, part_bytes=part_bytes).withColumn("d", F.sha2("kept", 256)).collect()
+        assert {r["id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["d"]) for r in rows} == repeated_bytes(given)

@@ -7,9 +7,9 @@ of every language, and the language with the smallest sum over all blocks is
 chosen.  If the runner-up is nearly as small, the document can be rejected.
 
 Blocks keep the dictionary in play over the whole of a long text, which would
-otherwise become its own model after some kilobytes.  A short text is held
-against several small dictionaries a language instead of one large one: the sum
-over them resolves what one size in whole bytes can't.  Case, digits and
+otherwise become its own model after some kilobytes.  The head of each block is
+held against several small dictionaries a language too: in a short text the mean
+over them resolves what one size in whole bytes can't.  One formula holds for texts of every length.  Case, digits and
 punctuation carry no language and are taken away first.
 """
 
@@ -52,7 +52,7 @@ class LanguageModel:
     small: tuple[tuple[bytes, ...], ...]
     level: int = 6
     block: int = 8192
-    short: int = 200
+    head: int = 200
 
 
 def fit_languages(
@@ -64,7 +64,7 @@ def fit_languages(
     parts: int = 12,
     level: int = 6,
     block: int = 8192,
-    short: int = 200,
+    head: int = 200,
 ) -> LanguageModel:
     """Dictionaries from at most ``sample`` slices of ``slice_chars`` characters a language.
 
@@ -73,15 +73,16 @@ def fit_languages(
     smallest by hash, of each of ``sample`` hash ranges, so reruns agree and
     copies of a text count once; partial aggregation leaves at most ``sample``
     texts a language and task to shuffle.  Half of the slices make the large
-    dictionary, all of them are dealt to ``parts`` small ones, for texts of
-    ``short`` bytes or less.  Rows with null text or language, and texts without
+    dictionary, all of them are dealt to ``parts`` small ones, for the first
+    ``head`` bytes of each block.  A slice stands anywhere in its text, by hash.  Rows with null text or language, and texts without
     letters, are left out.
     """
     text, lang = F.col(quoted(text_col)), F.col(quoted(lang_col)).cast("string")
+    at = F.pmod(F.xxhash64("text", F.lit("slice")), F.greatest(F.length("text") - slice_chars + 1, F.lit(1))).cast("int") + 1
     drawn = (
         labelled.select(lang.alias("lang"), text.alias("text"))
         .filter(F.col("lang").isNotNull() & F.col("text").rlike(LETTER))
-        .select("lang", F.xxhash64("text").alias("h"), F.substring("text", 1, slice_chars).alias("slice"))
+        .select("lang", F.xxhash64("text").alias("h"), F.substring("text", at, F.lit(slice_chars)).alias("slice"))
         .groupBy("lang", F.pmod("h", F.lit(sample)).alias("range"))
         .agg(F.min_by("slice", "h").alias("slice"), F.count("*").alias("n"))
     )
@@ -98,7 +99,7 @@ def fit_languages(
         small.append(tuple(_content(ordered[k::parts]) for k in range(parts) if k < len(ordered)))
     most = max(map(len, small), default=0)
     small = [(own * most)[:most] for own in small]  # a language with few texts repeats them, so that sums compare
-    return LanguageModel(languages, tuple(large), tuple(small), level, block, short)
+    return LanguageModel(languages, tuple(large), tuple(small), level, block, head)
 
 
 def _content(slices: list[str]) -> bytes:
@@ -111,7 +112,7 @@ class _Scorer:
 
     def __init__(self, model: LanguageModel) -> None:
         self.model = model
-        self.large = [[self._compressor(c)] for c in model.large]
+        self.large = [self._compressor(c) for c in model.large]
         self.small = [[self._compressor(c) for c in own] for own in model.small]
 
     def _compressor(self, content: bytes) -> zstandard.ZstdCompressor:
@@ -120,11 +121,12 @@ class _Scorer:
         return zstandard.ZstdCompressor(level=self.model.level, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False)
 
     def sizes(self, text: str) -> list[int]:
-        """Bytes over all blocks of the text, by language."""
+        """Bytes over all blocks of the text, by language: with the large dictionary, and the mean over the small ones for the heads of blocks, times the number of these."""
         data, step = letters_only(text).encode(), self.model.block
         blocks = [data[i : i + step] for i in range(0, len(data), step)]
-        by_language = self.small if len(data) <= self.model.short else self.large
-        return [sum(len(c.compress(b)) for c in own for b in blocks) for own in by_language]
+        heads = [b[: self.model.head] for b in blocks]
+        parts = max(map(len, self.small), default=1)
+        return [parts * sum(len(large.compress(b)) for b in blocks) + sum(len(c.compress(b)) for c in small for b in heads) for large, small in zip(self.large, self.small, strict=True)]
 
     def judge(self, text: str) -> tuple[str, float]:
         """The language and the margin to the runner-up, 0 to 1.
