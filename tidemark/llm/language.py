@@ -61,7 +61,7 @@ def fit_languages(
     lang_col: str = "lang",
     sample: int = 384,
     slice_chars: int = 512,
-    parts: int = 12,
+    parts: int = 6,
     level: int = 6,
     block: int = 8192,
     head: int = 200,
