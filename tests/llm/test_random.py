@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.test_contract import repeated_bytes
+from tidemark.llm import simhash
 from tidemark.llm.decontamination import find_contamination
 from tidemark.llm.repeats import maximal_repeats, remove_repeated_bytes
 from tidemark.llm.substrings import remove_repeats
@@ -29,6 +30,15 @@ def texts(seed: int, n: int) -> dict[int, str]:
     return {k: " ".join(words) for k, words in enumerate(out)}
 
 
+def test_fingerprints_of_texts_in_pieces(monkeypatch):
+    given = [t.encode() for t in texts(3, 80).values()] + [b"", b" \n", b"x" * 90, b"A\x0bb\x1cc  d e", b"a b " * 700]
+    whole = {k: simhash.fingerprints(given, k).tolist() for k in (1, 3, 5)}
+    for piece, held in ((1, 1), (4, 7), (50, 100)):
+        monkeypatch.setattr(simhash, "PIECE", piece)
+        monkeypatch.setattr(simhash, "HELD", held)
+        assert {k: simhash.fingerprints(given, k).tolist() for k in whole} == whole
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_repeats_of_few_words(spark, seed):
     given = texts(seed, 150)
