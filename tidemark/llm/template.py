@@ -3,7 +3,8 @@
 A template is parsed into a syntax tree, constants in the tree are folded, and
 the tree becomes nested Python closures.  Nothing is evaluated from text, names
 reach only what the caller passes in, and attributes are keys of mappings, so
-a template can't touch Python objects.
+a template can't touch Python objects.  A variable can gather texts, but not
+double them turn by turn.
 
     {{ expression }}                                prints
     {% for x in xs %} .. {% endfor %}               loops; loop.index, loop.index0, loop.first, loop.last
@@ -28,6 +29,11 @@ class TemplateError(ValueError):
     """What is wrong with a template, and where."""
 
 
+#: Characters that a variable may hold in any case, and times the given texts by which it may outgrow the longest text at hand.
+FREE = 1 << 16
+GROWTH = 4
+
+
 # --- syntax tree -----------------------------------------------------------------
 
 
@@ -360,6 +366,20 @@ def _value(tree: Any, filters: Mapping[str, Callable[[Any], Any]]) -> Callable[[
     return lambda env, op=tree.op: _numbers_only(op, left(env), right(env))
 
 
+def _grown(name: str, value: Any, env: Env) -> Any:
+    """A value to be kept under a name, refused if it outgrows what there is.
+
+    A text may be longer than all texts at hand by some times what the caller
+    gave, so variables can gather texts turn by turn but not double.
+    """
+    if isinstance(value, str) and len(value) > FREE:
+        longest = max((len(v) for v in env.values() if isinstance(v, str)), default=0)
+        given = sum(len(t) for v in env.values() if isinstance(v, Mapping) for t in v.values() if isinstance(t, str))
+        if len(value) > FREE + longest + GROWTH * given:
+            raise TemplateError(f"{name} grows too fast")
+    return value
+
+
 def _statement(node: Any, filters: Mapping[str, Callable[[Any], Any]], marked: bool) -> Callable[[Env], Pieces]:
     """The closure of a statement; it yields pieces of text, and whether each is under a generation marker."""
     if isinstance(node, Print):
@@ -380,7 +400,7 @@ def _statement(node: Any, filters: Mapping[str, Callable[[Any], Any]], marked: b
         value = _value(node.what, filters)
 
         def assign(env: Env) -> Pieces:
-            env[node.name] = value(env)
+            env[node.name] = _grown(node.name, value(env), env)
             yield from ()
 
         return assign
