@@ -99,6 +99,13 @@ def test_templates():
     assert render("{{ a.__class__ }}", a="text") == ""
     with pytest.raises(TemplateError):
         render("{{ 'x' * 9 }}")
+    # texts are gathered in a variable turn by turn, but not doubled
+    turns = [{"text": "x" * 1000}] * 300
+    gathered = "{% set a = '' %}{% for m in messages %}{% set a = a ~ m.text %}{% if loop.last %}{{ a }}{% endif %}{% endfor %}"
+    assert len(render(gathered, messages=turns)) == 300_000
+    for doubled in ("{% set a = a ~ a %}", "{% set b = a ~ a %}{% set a = b %}", "{% set a = a ~ b %}{% set b = b ~ a %}"):
+        with pytest.raises(TemplateError, match="grows too fast"):
+            render("{% for m in messages %}" + doubled + "{% endfor %}", a="xy", b="z", messages=turns)
     t = Template("", ("<s>", "aa"))
     for text in ("<s>", "\\<s>", "aaa", "\\", "<\\s>", ""):
         assert t.unescape(t.escape(text)) == text and not any(c in t.escape(text) for c in t.controls)
@@ -263,6 +270,153 @@ def test_licenses_of_real_headers(spark):
     assert {r["name"]: (r["licenses"], r["n_unmatched"]) for r in rows} == {n: ([n.strip()], 0) for n in texts}
 
 
+# How the texts of licences stand in files, shortened where nothing is recognised.
+BODIES = {
+    "GPL-3.0": """                    GNU GENERAL PUBLIC LICENSE
+                       Version 3, 29 June 2007
+
+ Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>
+
+                            Preamble
+
+  The GNU General Public License is a free, copyleft license for
+software and other kinds of works.
+
+    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.
+""",
+    "GPL-2.0": """                    GNU GENERAL PUBLIC LICENSE
+                       Version 2, June 1991
+
+  0. This License applies to any program or other work which contains
+a notice placed by the copyright holder saying it may be distributed
+under the terms of this General Public License.  The "Program", below,
+
+    This program is free software; you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation; either version 2 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+""",
+    "LGPL-2.1": """                  GNU LESSER GENERAL PUBLIC LICENSE
+                       Version 2.1, February 1999
+
+  0. This License Agreement applies to any software library or other
+program which contains a notice placed by the copyright holder or
+other authorized party saying it may be distributed under the terms of
+this Lesser General Public License (also called "this License").
+Each licensee is addressed as "you".
+""",
+    "LGPL-3.0": """                   GNU LESSER GENERAL PUBLIC LICENSE
+                       Version 3, 29 June 2007
+
+  This version of the GNU Lesser General Public License incorporates
+the terms and conditions of version 3 of the GNU General Public
+License, supplemented by the additional permissions listed below.
+""",
+    "AGPL-3.0": """                    GNU AFFERO GENERAL PUBLIC LICENSE
+                       Version 3, 19 November 2007
+
+  The GNU Affero General Public License is a free, copyleft license for
+software and other kinds of works, specifically designed to ensure
+cooperation with the community in the case of network server software.
+""",
+    "Apache-2.0": """                                 Apache License
+                           Version 2.0, January 2004
+                        http://www.apache.org/licenses/
+
+   2. Grant of Copyright License. Subject to the terms and conditions of
+      this License, each Contributor hereby grants to You a perpetual,
+      worldwide, non-exclusive, no-charge, royalty-free, irrevocable
+      copyright license to reproduce, prepare Derivative Works of,
+      publicly display, publicly perform, sublicense, and distribute the
+      Work and such Derivative Works in Source or Object form.
+""",
+    "MPL-2.0": """Mozilla Public License Version 2.0
+==================================
+
+2.1. Grants
+
+Each Contributor hereby grants You a world-wide, royalty-free,
+non-exclusive license:
+
+(a) under intellectual property rights
+""",
+    "CC-BY-SA-4.0": """Creative Commons Attribution-ShareAlike 4.0 International Public
+License
+
+By exercising the Licensed Rights (defined below), You accept and agree
+to be bound by the terms and conditions of this Creative Commons
+Attribution-ShareAlike 4.0 International Public License ("Public
+License"). To the extent this Public License may be interpreted
+""",
+    "BSL-1.0": """Boost Software License - Version 1.0 - August 17th, 2003
+
+Permission is hereby granted, free of charge, to any person or organization
+obtaining a copy of the software and accompanying documentation covered by
+this license (the "Software") to use, reproduce, display, distribute,
+execute, and transmit the Software, and to prepare derivative works of the
+Software, and to permit third-parties to whom the Software is furnished to
+do so, all subject to the following:
+
+The copyright notices in the Software
+""",
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE
+""",
+    "Zlib": """This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented
+""",
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES
+WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR
+""",
+}
+
+
+def test_texts_of_licences(spark):
+    texts = {**BODIES, **{f"{n} ": f"// words before it\n\n{t}\nand after it\n" for n, t in BODIES.items()}}
+    # a text whose title is lost is told by its sentence
+    texts |= {f"{n}  ": t[t.index("\n\n") :] for n, t in BODIES.items() if n not in ("BSD-3-Clause", "GPL-2.0", "GPL-3.0", "ISC", "Zlib")}
+    rows = scan_licenses(spark.createDataFrame(list(texts.items()), "name string, text string")).collect()
+    assert {r["name"]: (r["licenses"], r["n_unmatched"]) for r in rows} == {n: ([n.strip()], 0) for n in texts}
+
+
 def test_known_sentences_survive_the_cuts(spark, monkeypatch):
     monkeypatch.setitem(TEXTS, "mpl-form", ("This is subject to the Mozilla Public License, v. 2.0",))
     with pytest.raises(ValueError, match="cut within"):

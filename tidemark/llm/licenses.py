@@ -58,12 +58,17 @@ TEXTS = {
     "bsd-grant": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",),
     "bsd-source": ("Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer",),
     "bsd-binary": ("Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution",),
-    "bsd-endorse": ("Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",),
+    "bsd-endorse": tuple(f"Neither the name of the {who} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission" for who in ("copyright holder", "copyright holders", "copyright owner", "author")),
+    "bsd-as-is": tuple(f'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT {who} AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED' for who in ("HOLDERS", "HOLDER", "OWNERS")),
     "gpl-warranty": ("but WITHOUT ANY WARRANTY", *(f"This {what} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY" for what in ("program", "library", "file"))),
     "mpl-form": ("This Source Code Form is subject to the terms of the Mozilla Public License, v.2.0",),
     "mpl-form-cut": ("This Source Code Form is subject to the terms of the Mozilla Public License, v",),
     "mpl-copy": tuple(f"If a copy of the MPL was not distributed with this file, You can obtain one at {at}mozilla.org/MPL/2.0/" for at in ("http://", "https://", "http://www.", "https://www.")),
     "isc-grant": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",),
+    "isc-as-is": tuple(f'THE SOFTWARE IS PROVIDED "AS IS" AND {who} DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS' for who in ("THE AUTHOR", "ISC")),
+    "0bsd-grant": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",),
+    "zlib-as-is": ("This software is provided 'as-is', without any express or implied warranty",),
+    "zlib-grant": ("Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions",),
     "public-domain": ("This is free and unencumbered software released into the public domain", "This work is in the public domain"),
     "all-rights": ("All rights reserved, no license is granted",),
 }
@@ -76,6 +81,47 @@ FAMILIES = {
 }
 
 
+# The titles that open the texts of long licences, and a sentence of each that no other has.
+BODIES = {
+    "GPL-2.0": (("GNU GENERAL PUBLIC LICENSE Version 2, June 1991",), "This License applies to any program or other work which contains a notice placed by the copyright holder saying it may be distributed under the terms of this General Public License"),
+    "GPL-3.0": (("GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",), "The GNU General Public License is a free, copyleft license for software and other kinds of works"),
+    "LGPL-2.0": (("GNU LIBRARY GENERAL PUBLIC LICENSE Version 2, June 1991",), 'This License Agreement applies to any software library which contains a notice placed by the copyright holder or other authorized party saying it may be distributed under the terms of this Library General Public License (also called "this License")'),
+    "LGPL-2.1": (("GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999",), 'This License Agreement applies to any software library or other program which contains a notice placed by the copyright holder or other authorized party saying it may be distributed under the terms of this Lesser General Public License (also called "this License")'),
+    "LGPL-3.0": (("GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",), "This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented by the additional permissions listed below"),
+    "AGPL-3.0": (("GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",), "The GNU Affero General Public License is a free, copyleft license for software and other kinds of works, specifically designed to ensure cooperation with the community in the case of network server software"),
+    "Apache-2.0": (("Apache License Version 2.0, January 2004", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/", "Apache License Version 2.0, January 2004 https://www.apache.org/licenses/"), "Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form"),
+    "MPL-2.0": (("Mozilla Public License Version 2.0", "Mozilla Public License, Version 2.0"), "Each Contributor hereby grants You a world-wide, royalty-free, non-exclusive license"),
+    "BSL-1.0": (("Boost Software License - Version 1.0 - August 17th, 2003",), 'Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following'),
+    "Artistic-2.0": (("The Artistic License 2.0",), "This license establishes the terms under which a given free software Package may be copied, modified, distributed, and/or redistributed"),
+    "CC0-1.0": ((), 'The laws of most jurisdictions throughout the world automatically confer exclusive Copyright and Related Rights (defined below) upon the creator and subsequent owner(s) (each and all, an "owner") of an original work of authorship and/or a database (each, a "Work")'),
+}
+# Creative Commons licences, by the part of the title that tells them apart.
+COMMONS = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial", "BY-ND": "Attribution-NoDerivatives", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
+for _key, _what in COMMONS.items():
+    _title = f"Creative Commons {_what} 4.0 International Public License"
+    BODIES[f"CC-{_key}-4.0"] = ((_title,), f'By exercising the Licensed Rights (defined below), You accept and agree to be bound by the terms and conditions of this {_title} ("Public License")')
+
+
+def _bodies() -> tuple[dict[str, tuple[str, ...]], list[tuple[str, tuple[str, ...]]]]:
+    """Sentences of the texts of ``BODIES``, and their rules; a text of the GNU licences ends with a header to copy, which belongs to it."""
+    texts: dict[str, tuple[str, ...]] = {}
+    rules = []
+    for name, (titles, body) in BODIES.items():
+        short = name.lower()
+        texts[f"{short}-body"] = (body,)
+        runs = [(f"{short}-body",)]
+        if titles:
+            texts[f"{short}-title"] = titles
+            runs = [(f"{short}-title", f"{short}-body"), (f"{short}-title",), *runs]
+        family, _, version = name.partition("-")
+        if family in FAMILIES and name != "LGPL-3.0":
+            v = version.removesuffix(".0")
+            headers = ((f"{family.lower()}-terms", f"gpl{v}-version", "gpl-warranty"), (f"{family.lower()}{v}-or-later", "gpl-warranty"))
+            runs = [(*runs[0], *header) for header in headers] + runs
+        rules += [(name, run) for run in runs]
+    return texts, rules
+
+
 def _headers() -> tuple[dict[str, tuple[str, ...]], list[tuple[str, tuple[str, ...]]]]:
     """Sentences of the headers of ``FAMILIES``, and their rules.
 
@@ -105,7 +151,8 @@ def _headers() -> tuple[dict[str, tuple[str, ...]], list[tuple[str, tuple[str, .
 
 
 _HEADER_TEXTS, _HEADER_RULES = _headers()
-TEXTS |= _HEADER_TEXTS
+_BODY_TEXTS, _BODY_RULES = _bodies()
+TEXTS |= _HEADER_TEXTS | _BODY_TEXTS
 
 # Rules in the order in which they are tried.
 RULES = (
@@ -114,15 +161,23 @@ RULES = (
     ("Apache-2.0", ("apache-compliance",)),
     ("MIT", ("mit-grant", "mit-notice", "mit-as-is")),
     ("MIT", ("mit-grant", "mit-notice")),
+    ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse", "bsd-as-is")),
     ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse")),
+    ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-as-is")),
     ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
     ("BSD", ("bsd-grant",)),
+    *_BODY_RULES,
     *_HEADER_RULES,
     ("MPL-2.0", ("mpl-form", "mpl-copy")),
     ("MPL-2.0", ("mpl-form",)),
     ("MPL-2.0", ("mpl-form-cut", "mpl-copy")),
     ("MPL", ("mpl-form-cut",)),
+    ("ISC", ("isc-grant", "isc-as-is")),
     ("ISC", ("isc-grant",)),
+    ("0BSD", ("0bsd-grant", "isc-as-is")),
+    ("0BSD", ("0bsd-grant",)),
+    ("Zlib", ("zlib-as-is", "zlib-grant")),
+    ("Zlib", ("zlib-grant",)),
     ("public-domain", ("public-domain",)),
     ("all-rights-reserved", ("all-rights",)),
     *((name, (f"ref-{name.lower()}",)) for name in NAMES),
