@@ -32,6 +32,15 @@ def test_admission_at_the_edge_of_the_window(spark):
     assert got == {0: True, 1: True, 2: True, 3: True, 4: True, 5: False, 6: True}
 
 
+def test_admission_by_stretches_agrees(spark):
+    hours = [0, 0, 1, 2, 3, 4, 24, 25, 49, 50, 74, 74, 99, 100, 124, 148, 172, 500, 500, 501, 501, 502, 503, 526]
+    rows = [(k, u, "DREAM", T0 + timedelta(hours=h)) for k, (u, h) in enumerate((u, h) for u in ("a", "b", None) for h in hours)]
+    frame = spark.createDataFrame(rows, ENTRY)
+    expected = {r["id"]: r["admitted"] for r in admission.admit(frame, limit=2).collect()}
+    assert {r["id"]: r["admitted"] for r in admission.admit_native(frame, limit=2).collect()} == expected
+    assert len(expected) == len(rows) and len(set(expected.values())) == 2
+
+
 def test_rejected_requests_use_no_quota_and_users_are_apart(spark):
     rows = [(k, "a", "DREAM", T0 + timedelta(hours=k)) for k in range(12)] + [(99, None, "DREAM", T0), (100, "b", "DREAM", T0)]
     got = {r["id"]: r["admitted"] for r in admission.admit(spark.createDataFrame(rows, ENTRY)).collect()}

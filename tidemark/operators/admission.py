@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -59,15 +59,24 @@ def admit(requests: DataFrame, user_col: str = "userId", time_col: str = "create
 
 
 def admit_native(requests: DataFrame, user_col: str = "userId", time_col: str = "createdAt", id_col: str = "id", limit: int = LIMIT, hours: int = HOURS) -> DataFrame:
-    """(user, id, admitted) by a fold in SQL functions: for users whose requests fit one row."""
-    listed = F.array_sort(F.collect_list(F.struct(F.unix_micros(F.col(time_col).cast("timestamp")).alias("t"), F.col(id_col).alias("id"))))
+    """(user, id, admitted) by a fold in SQL functions.
+
+    Nothing counts after a pause of over ``hours``, so each stretch between pauses is folded on its own, in one row.
+    A fold takes the square of its stretch's length: for requests without pause ``admit`` is the way.
+    """
+    window = hours * 3_600_000_000
+    rows = requests.select(F.col(user_col), F.unix_micros(F.col(time_col).cast("timestamp")).alias("t"), F.col(id_col).cast("long").alias("id"))
+    order = Window.partitionBy(user_col).orderBy("t", "id")
+    paused = F.coalesce(F.col("t") - F.lag("t").over(order) > window, F.lit(False))
+    stretched = rows.withColumn("paused", paused.cast("int")).withColumn("stretch", F.sum("paused").over(order))
+    listed = F.array_sort(F.collect_list(F.struct("t", "id")))
     start = F.struct(F.array().cast("array<bigint>").alias("held"), F.array().cast("array<struct<id:bigint,admitted:boolean>>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
-        still = F.filter(acc["held"], lambda t: t >= x["t"] - hours * 3_600_000_000)
+        still = F.filter(acc["held"], lambda t: t >= x["t"] - window)
         ok = F.size(still) < limit
-        one = F.array(F.struct(x["id"].cast("long").alias("id"), ok.alias("admitted")))
+        one = F.array(F.struct(x["id"].alias("id"), ok.alias("admitted")))
         return F.struct(F.when(ok, F.array_append(still, x["t"])).otherwise(still).alias("held"), F.concat(acc["out"], one).alias("out"))
 
-    folded = requests.groupBy(user_col).agg(listed.alias("rows")).select(user_col, F.aggregate("rows", start, step, lambda a: a["out"]).alias("out"))
+    folded = stretched.groupBy(user_col, "stretch").agg(listed.alias("rows")).select(user_col, F.aggregate("rows", start, step, lambda a: a["out"]).alias("out"))
     return folded.select(user_col, F.inline("out"))
