@@ -90,31 +90,28 @@ FROM worded w LEFT JOIN kept k USING (doc_id)"""
 
 
 def _op4() -> str:
-    """The licence scan; its tables of sentences and rules are those of the operator."""
+    """The licence scan; its tables of sentences and rules are those of the operator.
+
+    Rules take their runs out of the distinct sequences one after the other, a rule a step.
+    """
     quote = lambda x: "'" + x.replace("'", "''") + "'"
     sentences = ", ".join(f"({quote(s)}, {quote(i)})" for s, i in _licenses.known().items())
     cuts = ", ".join(f"({k}, {quote(cut)})" for k, cut in enumerate(_licenses.CUTS))
-
-    def matched(ids: str) -> tuple[list[str], str]:
-        out, rest = [], ids
-        for name, run in _licenses.RULES:
-            held = quote("".join(f"<{i}>" for i in run))
-            out.append(f"CASE WHEN contains({rest}, {held}) THEN {quote(name)} END")
-            rest = f"replace({rest}, {held}, '')"
-        return out, rest
-
-    (over, _), (within, _), (_, rest) = matched("over_ids"), matched("within_ids"), matched("ids")
+    rules = ", ".join(f"({k}, {quote(name)}, {quote(''.join(f'<{i}>' for i in run))})" for k, (name, run) in enumerate(_licenses.RULES))
     names = list(dict.fromkeys(name for name, _ in _licenses.RULES))
-    found = ", ".join(f"coalesce({a}, {b})" for a, b in zip(over, within, strict=True))
     return rf"""
-WITH known(s, i) AS (VALUES {sentences}), cuts(cut, how) AS (VALUES {cuts}),
+WITH RECURSIVE known(s, i) AS (VALUES {sentences}), cuts(cut, how) AS (VALUES {cuts}), rules(k, name, run) AS (VALUES {rules}),
 units AS (SELECT doc_id, cut, unnest(parts) AS part, generate_subscripts(parts, 1) AS k
  FROM (SELECT doc_id, cut, CASE cut WHEN 0 THEN regexp_split_to_array(text, {quote(_licenses.CUTS[0])}) ELSE regexp_split_to_array(text, {quote(_licenses.CUTS[1])}) END AS parts FROM documents, cuts)),
 normal AS (SELECT doc_id, cut, k, replace(trim(regexp_replace(lower(part), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), 'licence', 'license') AS s FROM units),
 ids AS (SELECT doc_id, coalesce(string_agg('<' || i || '>', '' ORDER BY k) FILTER (cut = 0), '') AS over_ids, coalesce(string_agg('<' || i || '>', '' ORDER BY k) FILTER (cut = 1), '') AS within_ids
  FROM normal JOIN known USING (s) GROUP BY doc_id),
 best AS (SELECT *, CASE WHEN length(within_ids) - length(replace(within_ids, '<', '')) > length(over_ids) - length(replace(over_ids, '<', '')) THEN within_ids ELSE over_ids END AS ids FROM ids),
-named AS (SELECT doc_id, ids, list_filter([{found}], lambda x: x IS NOT NULL) AS held, {rest} AS rest FROM best)
+steps AS (SELECT ids, 0 AS k, ids AS rest, []::VARCHAR[] AS held FROM (SELECT over_ids AS ids FROM best UNION SELECT within_ids FROM best)
+ UNION ALL SELECT s.ids, s.k + 1, replace(s.rest, r.run, ''), CASE WHEN contains(s.rest, r.run) THEN list_append(s.held, r.name) ELSE s.held END FROM steps s JOIN rules r USING (k)),
+matched AS (SELECT ids, rest, held FROM steps WHERE k = {len(_licenses.RULES)}),
+named AS (SELECT b.doc_id, b.ids, list_concat(o.held, w.held) AS held, m.rest
+ FROM best b JOIN matched o ON o.ids = b.over_ids JOIN matched w ON w.ids = b.within_ids JOIN matched m ON m.ids = b.ids)
 SELECT d.doc_id, coalesce(replace(replace(replace(ids, '><', ','), '<', ''), '>', ''), '') AS sentence_ids,
  coalesce(array_to_string(list_filter([{", ".join(map(quote, names))}], lambda n: list_contains(held, n)), ','), '') AS licenses,
  coalesce(length(rest) - length(replace(rest, '<', '')), 0)::BIGINT AS n_unmatched
