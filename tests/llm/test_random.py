@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.test_contract import repeated_bytes
-from tidemark.llm import simhash
+from tidemark.llm import mixing, simhash
 from tidemark.llm.decontamination import find_contamination
 from tidemark.llm.repeats import maximal_repeats, remove_repeated_bytes
 from tidemark.llm.substrings import remove_repeats
@@ -149,3 +150,26 @@ def test_repeated_bytes_in_two_and_in_very_many_parts(spark):
     for crowd, part_bytes in ((4096, size), (4096, size // 2000), (3, size // 2000)):
         rows = remove_repeated_bytes(frame, crowd=crowd, part_bytes=part_bytes).withColumn("d", F.sha2("kept", 256)).collect()
         assert {r["id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["d"]) for r in rows} == repeated_bytes(given)
+
+
+def test_mix_of_rows_that_share_an_id(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "RANGE_DOCS", 4)
+    monkeypatch.setattr(mixing, "CROWDED", 2)
+    monkeypatch.setattr(mixing, "COPIES", 8)
+    rng = random.Random(5)
+    text = lambda: " ".join(str(rng.randrange(99)) for _ in range(rng.randrange(9)))
+    rows = [(None, text(), "a") for _ in range(150)] + [(7, text(), rng.choice("ab")) for _ in range(150)] + [(8, "x y z", "b")] * 50 + [(None, None, None)] * 20 + [(100 + k, text(), rng.choice(["a", "b", None])) for k in range(130)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix_sources(frame.repartition(7)).collect()
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mix_sources(frame.repartition(3)).collect()))
+    ties = frame.withColumn("tie", F.xxhash64("text", "doc_id")).collect()
+    quota = {r["source"]: int(r["target"] + 1e-9) for r in got}
+    expected = []
+    for source in ("a", "b", None):
+        stream = sorted((hashlib.md5(b"" if r["doc_id"] is None else str(r["doc_id"]).encode()).hexdigest(), r["tie"], r["doc_id"] or -1, len((r["text"] or "").split())) for r in ties if r["source"] == source)
+        whole, at = sum(s for *_, s in stream), 0
+        rounds, rest = divmod(quota[source], whole) if whole else (0, 0)
+        for _, _, id_, size in stream:
+            expected.append((id_, size, whole, size * rounds + max(0, min(size, rest - at))))
+            at += size
+    assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["size"], r["source_size"], r["taken"]) for r in got) == sorted(expected)

@@ -8,7 +8,9 @@ position between 0 and 1; the result is range-sorted by position.
 
 All of it is DataFrame operations.  Running sums over a source are taken in
 two levels (over hash ranges, then within one), so that a source with a third
-of all rows is spread over as many tasks as its size asks for.
+of all rows is spread over as many tasks as its size asks for.  Rows equal in
+all are grouped first, and a range that is crowded, as one id may be that of
+very many rows, is split again by the hash of text and id.
 """
 
 from __future__ import annotations
@@ -35,9 +37,15 @@ SCHEDULES = (
     ((0.0, 0.5), (0.5, 1.0), (1.0, 2.0)),
 )
 
-#: Mean number of documents in a hash range of the first level.
+#: Mean number of documents in a hash range of the first level; the square root of all documents, where that is more.
 RANGE_DOCS = 500
 
+#: A range with this many times the mean is split again.
+CROWDED = 8
+
+#: Copies of a row that are made at once.
+COPIES = 1 << 16
+
 _BIG = "decimal(38,0)"
 
 
@@ -120,7 +128,7 @@ def mix_sources(
 ) -> DataFrame:
     """One row per document: the columns of ``docs`` but for the text, then size, source, source_size, target, taken, position, last_position.
 
-    A source's documents stand in the order of the MD5 of their id and are
+    A source's documents stand in the order of the MD5 of their id (of one id, by a hash of text and id) and are
     read round and round; the mix takes the first ``quota`` words of that
     stream.  So ``taken`` is the size times the full rounds, and a part of the
     size for one document of each source at most.  ``position`` is the
@@ -142,29 +150,40 @@ def mix_sources(
         F.md5(F.coalesce(F.col(quoted(id_col)).cast("string"), F.lit("")).cast("binary")).alias("key"),
         F.xxhash64(F.col(quoted(text_col)), F.col(quoted(id_col))).alias("tie"),
     )
-    sized = written(sized, "mix-sizes")
-    totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("source_docs"))
+    # rows equal in all are interchangeable, so one stands for them until the end
+    same = sized.withColumn("json", F.to_json("kept")).groupBy("source", "key", "tie", "json", "size")
+    sized = written(same.agg(F.first("kept").alias("kept"), F.count("*").alias("copies")).withColumn("words", F.col("size") * F.col("copies")), "mix-sizes")
+    totals = sized.groupBy("source").agg(F.sum("words").alias("source_size"), F.sum("copies").alias("source_docs"))
     rows = totals.agg(F.sum("source_docs")).first()[0] or 0
-    ranges = max(1, math.ceil(rows / RANGE_DOCS))
+    mean = max(RANGE_DOCS, math.isqrt(rows))
+    ranges = max(1, math.ceil(rows / mean))
     sized = sized.withColumn("range", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * F.lit(ranges) / F.lit(1 << 32)))
-    earlier = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    crowded = written(sized.groupBy(F.col("source").alias("of"), F.col("range").alias("in")).count().filter(F.col("count") > mean * CROWDED), "mix-crowded")
+    if crowded.isEmpty():
+        sized = sized.withColumns({"sub": F.lit(""), "bucket": F.lit(0).cast("long")})
+    else:
+        split = F.col("in").isNotNull()
+        sized = sized.join(crowded, F.col("source").eqNullSafe(F.col("of")) & (F.col("range") == F.col("in")), "left")
+        sized = sized.withColumns({"sub": F.when(split, F.col("key")).otherwise(""), "bucket": F.when(split, F.shiftright("tie", 52)).otherwise(0)})
+    cell = ("range", "sub", "bucket")
+    earlier = Window.partitionBy("source").orderBy(*cell).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        sized.groupBy("source", "range")
-        .agg(F.sum("size").alias("words"))
-        .select("source", "range", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("offset"))
-        .join(source_targets(totals.select("source", "source_size"), weights, share, cap).withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")))
-        .drop("of")
-        .withColumnsRenamed({"source": "of", "range": "in"})
-    )
-    within = (
-        Window.partitionBy("source", "range")
-        .orderBy("key", F.to_json("kept"), "size", "tie")
-        .rowsBetween(Window.unboundedPreceding, -1)
+        sized.groupBy("source", *cell)
+        .agg(F.sum("words").alias("words"))
+        .select("source", *cell, F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("offset"))
+        .join(source_targets(totals.select("source", "source_size"), weights, share, cap).withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
+        .drop("s")
+        .withColumnsRenamed({c: f"of_{c}" for c in ("source", *cell)})
     )
+    within = Window.partitionBy("source", *cell).orderBy("key", "tie", "json", "size").rowsBetween(Window.unboundedPreceding, -1)
+    block = F.explode(F.sequence(F.lit(0), F.shiftright(F.col("copies") - 1, COPIES.bit_length() - 1)))
+    copy = F.explode(F.sequence(F.col("block") * COPIES, F.least(F.col("copies"), (F.col("block") + 1) * COPIES) - 1))
     placed = (
-        sized.withColumn("inner", F.coalesce(F.sum("size").over(within), F.lit(0)))
-        .join(offsets, F.col("source").eqNullSafe(F.col("of")) & (F.col("range") == F.col("in")))
-        .withColumn("start", F.col("offset") + F.col("inner"))
+        sized.withColumn("inner", F.coalesce(F.sum("words").over(within), F.lit(0)))
+        .join(offsets, F.col("source").eqNullSafe(F.col("of_source")) & (F.col("range") == F.col("of_range")) & (F.col("sub") == F.col("of_sub")) & (F.col("bucket") == F.col("of_bucket")))
+        .withColumn("block", block)
+        .withColumn("copy", copy)
+        .withColumn("start", F.col("offset") + F.col("inner") + F.col("copy") * F.col("size"))
         .withColumn("rounds", F.coalesce(F.try_divide(F.col("quota"), F.col("source_size")).cast("long"), F.lit(0)))
         .withColumn("part", F.greatest(F.lit(0), F.least("size", F.col("quota") - F.col("rounds") * F.col("source_size") - F.col("start"))))
         .withColumn("taken", F.col("size") * F.col("rounds") + F.col("part"))
