@@ -64,13 +64,13 @@ STRETCHES_ARROW = pa.schema([("id", pa.int64()), ("hash", pa.binary()), ("starts
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, hash, text): null ids as the largest, null texts as empty, and the MD5 of the text.
+    """(id, hash, text, own): null ids as the largest, null texts as empty, the MD5 of the text, and the id as it was.
 
     Id and hash are what documents are known by; equal pairs are equal rows.
     """
     text = F.coalesce(F.col(quoted(text_col)), F.lit(""))
-    whole: Column = F.coalesce(F.col(quoted(id_col)).cast("long"), F.lit((1 << 63) - 1))
-    return docs.select(whole.alias("id"), F.unhex(F.md5(text.cast("binary"))).alias("hash"), text.alias("text"))
+    own: Column = F.col(quoted(id_col)).cast("long")
+    return docs.select(F.coalesce(own, F.lit((1 << 63) - 1)).alias("id"), F.unhex(F.md5(text.cast("binary"))).alias("hash"), text.alias("text"), own.alias("own"))
 
 
 @dataclass

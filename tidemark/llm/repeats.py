@@ -531,6 +531,5 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
     around = packed.dealt(near.mapInArrow(_surroundings(parts), packed.MESSAGE), spread)
     gone = written(packed.gathered(around.mapInArrow(_extend(parts), packed.ANSWER), _repeated), "gone")
     gone = gone.join(copies, ["id", "hash"], "left_anti").withColumn("copy", F.lit(False)).unionByName(copies.select("id", "hash", F.lit(True).alias("copy")), allowMissingColumns=True)
-    cut = rows.join(gone, ["id", "hash"], "left").select("id", "starts", "ends", F.coalesce("copy", F.lit(False)).alias("copy"), "text")
-    out = cut.mapInArrow(_cut, "id long, n_bytes long, n_removed long, n_spans long, kept binary")
-    return out.withColumn("id", F.when(F.col("id") < (1 << 63) - 1, F.col("id")))
+    cut = rows.join(gone, ["id", "hash"], "left").select(F.col("own").alias("id"), "starts", "ends", F.coalesce("copy", F.lit(False)).alias("copy"), "text")
+    return cut.mapInArrow(_cut, "id long, n_bytes long, n_removed long, n_spans long, kept binary")

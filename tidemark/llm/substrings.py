@@ -289,7 +289,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     judged on the input.  ``kept`` are the words left, joined by one space.
 
     Null and blank texts have no words; documents with fewer words than a window keep
-    all.  A null id counts as larger than any other, and stays null in the
+    all.  A null id counts as the largest there is, 2^63 - 1, and stays null in the
     result.  Documents with the same id and different texts stand in the order of
     the texts' MD5; rows equal in id and text are one document and get equal
     answers.  A copy of a document with a smaller id has nothing new, so all its
@@ -313,6 +313,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     windows = packed.dealt(near.mapInArrow(_window_chunks(parts), packed.MESSAGE), spread)
     gone = written(packed.gathered(windows.mapInArrow(_later, packed.ANSWER), _covered), "gone")
     gone = gone.withColumn("copy", F.lit(False)).unionByName(copies.withColumn("copy", F.lit(True)), allowMissingColumns=True)
-    cut = rows.join(gone, ["id", "hash"], "left").select("id", "starts", "ends", F.coalesce("copy", F.lit(False)).alias("copy"), "text")
-    out = cut.mapInArrow(_cut, "id long, n_words long, n_removed long, kept string")
-    return out.withColumn("id", F.when(F.col("id") < (1 << 63) - 1, F.col("id")))
+    cut = rows.join(gone, ["id", "hash"], "left").select(F.col("own").alias("id"), "starts", "ends", F.coalesce("copy", F.lit(False)).alias("copy"), "text")
+    return cut.mapInArrow(_cut, "id long, n_words long, n_removed long, kept string")
