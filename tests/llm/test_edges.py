@@ -178,6 +178,18 @@ def test_repeated_bytes(docs, empty):
     assert packed.from_planes(packed.planes(values)).tolist() == values.tolist()
 
 
+def test_the_largest_id_is_not_null(spark):
+    frame = spark.createDataFrame([((1 << 63) - 1, "a b"), (None, "c"), (-(1 << 63), "d")], "doc_id long, text string")
+    for found in (remove_repeats(frame), remove_repeated_bytes(frame)):
+        assert {(r["id"], bytes(r["kept"], "utf-8") if isinstance(r["kept"], str) else bytes(r["kept"])) for r in found.collect()} == {((1 << 63) - 1, b"a b"), (None, b"c"), (-(1 << 63), b"d")}
+
+
+def test_queries_of_one_id_have_one_ranking(spark):
+    frame = spark.createDataFrame([(0, [1.0]), (0, [2.0]), (1, [1.0]), (2, [-1.0])], "vec_id long, embedding array<float>")
+    got = [tuple(r) for r in top_k(frame, frame.filter("vec_id = 0"), k=3).orderBy("query_id", "rank").collect()]
+    assert got == [(0, 1, 1, 131072), (0, 2, 1, 65536), (0, 3, 2, -65536)]
+
+
 def test_top_k(spark):
     rows = [(0, [0.5, 0.5]), (1, [0.5, 0.5]), (2, [0.5, 0.5]), (3, None), (4, [None, 1.0]), (5, [float("nan"), 1.0]), (6, [float("inf"), 1.0]), (7, []), (8, [-1.0]), (50, [-0.5, 0.25, 0.1]), (1, [0.5, 0.5]), (None, [1.0, 1.0])]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("q", F.lit(1))

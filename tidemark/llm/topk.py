@@ -174,7 +174,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
     vector scores 0.  Shorter vectors count as ending in zeros.  Quantised
     components beyond ``LARGEST``, of about 2^63, saturate; a score among a block's best that does not fit 64 bits
     stops the query, as it does in SQL.  A row that is repeated with equal
-    id and vector counts once.  Other columns are not looked at.  Empty tables give
+    id and vector counts once.  Rows of one id and different vectors are candidates each; as queries they
+    have one ranking, of the scores of them all.  Other columns are not looked at.  Empty tables give
     no rows.
     """
     fit = lambda df: df.select(F.col(quoted(id_col)).cast("long").alias("vec_id"), quantised(F.col(quoted(vector_col)), scale).alias("q")).filter("vec_id IS NOT NULL AND q IS NOT NULL").distinct()
