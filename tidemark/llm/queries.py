@@ -1,4 +1,4 @@
-"""The contract queries of the ten operators: thin digests of what the operators return."""
+"""The contract queries of the operators: thin digests of what the operators return."""
 
 from __future__ import annotations
 
@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 from tidemark.llm import oracles
 from tidemark.llm.chat import format_conversations, read_back
 from tidemark.llm.decontamination import find_contamination
+from tidemark.llm.divergence import audit_sources
 from tidemark.llm.language import fit_languages, identify_languages
 from tidemark.llm.licenses import scan_licenses
+from tidemark.llm.lines import dedup_lines
 from tidemark.llm.mixing import mix_sources
+from tidemark.llm.negatives import mine_negatives
 from tidemark.llm.pii import KINDS, count_of, find_pii, fit_trees, span_text
 from tidemark.llm.repeats import remove_repeated_bytes
 from tidemark.llm.simhash import simhash_groups
@@ -80,9 +83,24 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(span_text(F.col("base_spans")), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", label.alias("label"))
+    return mine_negatives(rows, F.col("vec_id") % 50 == 0)
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_sources(table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_chat_format, op3_simhash, op4_license_scan, op5_source_mixing, op6_substring_dedup, op7_exact_top_k, op8_decontamination, op9_suffix_dedup, op10_personal_data)}
+    return {f.__name__: f for f in (op1_language_id, op2_chat_format, op3_simhash, op4_license_scan, op5_source_mixing, op6_substring_dedup, op7_exact_top_k, op8_decontamination, op9_suffix_dedup, op10_personal_data, op11_line_dedup, op12_hard_negatives, op13_source_divergence)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": oracles.OP2, "op4_license_scan": oracles.OP4, "op5_source_mixing": oracles.OP5, "op6_substring_dedup": oracles.OP6, "op7_exact_top_k": oracles.OP7, "op8_decontamination": oracles.OP8}
+    return {"op2_chat_format": oracles.OP2, "op4_license_scan": oracles.OP4, "op5_source_mixing": oracles.OP5, "op6_substring_dedup": oracles.OP6, "op7_exact_top_k": oracles.OP7, "op8_decontamination": oracles.OP8, "op11_line_dedup": oracles.OP11, "op12_hard_negatives": oracles.OP12, "op13_source_divergence": oracles.OP13}
