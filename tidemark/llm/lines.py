@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.store import apart, as_one, partitions, quoted, without, written
+from tidemark.llm.store import as_one, partitions, quoted, without, written
 from tidemark.sources.staging import fresh_path
 
 #: Keys that are sent to every task are at most so many: 16 bytes each.
@@ -126,13 +126,14 @@ class LineRuns:
         """The index with a batch of (hi, lo) more, a row for each document and key; compacted where a level is full."""
         spark = keys.sparkSession
         held = keys.groupBy("hi", "lo").agg(F.count("*").alias("n"))
+        if self.buckets != partitions(spark):  # else they are dealt like the runs already
+            held = held.repartition(self.buckets, "hi", "lo")
         for k, path in enumerate(self.runs):
             run = self._read(spark, path).withColumnRenamed("n", f"n{k}")
             held = held.join(run.hint("merge"), ["hi", "lo"], "left")
         before = [F.coalesce(f"n{k}", F.lit(0)) for k in range(len(self.runs))]
         so_far = F.greatest(*before) if len(before) > 1 else before[0] if before else F.lit(0)
-        new = self._write(held.select("hi", "lo", (F.col("n") + so_far).alias("n")))
-        return self._filled(spark, new, 0)
+        return self._filled(spark, self._write(held.select("hi", "lo", (F.col("n") + so_far).alias("n"))), 0)
 
     def _filled(self, spark: SparkSession, run: str, level: int) -> LineRuns:
         """With a run more on a level, the newest there."""
@@ -213,7 +214,8 @@ def drop_common_lines(docs: DataFrame, keys: DataFrame, runs: LineRuns, least: i
             made = [pa.array(texts, pa.string()), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())]
             yield pa.RecordBatch.from_arrays([frame.column(0), *made], names=schema.names)
 
-    return rows.mapInArrow(run, schema).select(*apart(names), F.col("text").alias(text_col), "n_lines", "n_dropped")
+    own = [F.col("text").alias(c) if c.lower() == text_col.lower() else F.col("kept").getField(c).alias(c) for c in without(docs, ("n_lines", "n_dropped"))]
+    return rows.mapInArrow(run, schema).select(*own, "n_lines", "n_dropped")
 
 
 def dedup_lines(docs: DataFrame, least: int = 10, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 1, batches: int = BATCHES) -> DataFrame:
