@@ -100,6 +100,11 @@ def true_text(json: str | None, name: str) -> str | None:
     return value if isinstance(value, str) else _json.dumps(value, ensure_ascii=False, separators=(",", ":"))
 
 
+def with_member(json: str, name: str, value: str) -> str:
+    """A text of JSON with a member of its object set."""
+    return _json.dumps(_json.loads(json) | {name: value}, ensure_ascii=False, separators=(",", ":"))
+
+
 @F.pandas_udf(T.StringType())
 def strict_json(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """The text if it is JSON to the letter, else null.

@@ -18,6 +18,11 @@ HOURS = 24
 WINDOW_MICROS = HOURS * 3600 * 1_000_000
 
 
+def micros(time: Column) -> Column:
+    """Microseconds of a time without zone."""
+    return F.unix_micros(time.cast("timestamp"))
+
+
 def snapshot(entries: DataFrame, as_of: Column, kind: str, limit: int = LIMIT, hours: int = HOURS) -> DataFrame:
     """Per user the stored entries of a kind since ``hours`` before ``as_of``, that instant included and no end set, and whether that blocks."""
     since = as_of - F.expr(f"INTERVAL {hours} HOURS")
@@ -36,7 +41,7 @@ def admit(requests: DataFrame, user_col: str = "userId", time_col: str = "create
 
     Rows are dealt by user, sorted, and read as a stream with the last accepted times of
     one user in hand, so memory is bounded however many requests a user has.
-    Null users are one user.
+    Null users are one user.  A request without a time is refused, and counts for no other.
     """
     schema = T.StructType([*requests.schema.fields, T.StructField("admitted", T.BooleanType(), False)])
     window = hours * 3600 * 1_000_000
@@ -50,7 +55,7 @@ def admit(requests: DataFrame, user_col: str = "userId", time_col: str = "create
             for who, now in zip(batch.column(user_at).to_pylist(), micros, strict=True):
                 if who != user or not begun:
                     user, times, begun = who, [], True
-                ok, times = judge(times, now, limit, window)
+                ok, times = (False, times) if now is None else judge(times, now, limit, window)
                 flags.append(ok)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(flags)], names=schema.names)
 
@@ -62,10 +67,11 @@ def admit_native(requests: DataFrame, user_col: str = "userId", time_col: str =
     """(user, id, admitted) by a fold in SQL functions.
 
     Nothing counts after a pause of over ``hours``, so each stretch between pauses is folded on its own, in one row.
-    A fold takes the square of its stretch's length: for requests without pause ``admit`` is the way.
+    A fold takes the square of its stretch's length: for requests without pause ``admit`` is the way.  A request without a time is refused.
     """
     window = hours * 3_600_000_000
-    rows = requests.select(F.col(user_col), F.unix_micros(F.col(time_col).cast("timestamp")).alias("t"), F.col(id_col).cast("long").alias("id"))
+    all_rows = requests.select(F.col(user_col), micros(F.col(time_col)).alias("t"), F.col(id_col).cast("long").alias("id"))
+    rows = all_rows.filter("t IS NOT NULL")
     order = Window.partitionBy(user_col).orderBy("t", "id")
     paused = F.coalesce(F.col("t") - F.lag("t").over(order) > window, F.lit(False))
     stretched = rows.withColumn("paused", paused.cast("int")).withColumn("stretch", F.sum("paused").over(order))
@@ -79,4 +85,5 @@ def admit_native(requests: DataFrame, user_col: str = "userId", time_col: str =
         return F.struct(F.when(ok, F.array_append(still, x["t"])).otherwise(still).alias("held"), F.concat(acc["out"], one).alias("out"))
 
     folded = stretched.groupBy(user_col, "stretch").agg(listed.alias("rows")).select(user_col, F.aggregate("rows", start, step, lambda a: a["out"]).alias("out"))
-    return folded.select(user_col, F.inline("out"))
+    refused = all_rows.filter("t IS NULL").select(user_col, "id", F.lit(False).alias("admitted"))
+    return folded.select(user_col, F.inline("out")).unionByName(refused)

@@ -9,6 +9,7 @@ both sides.
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,9 +20,10 @@ from tidemark.functions import json as J
 from tidemark.functions import text as X
 from tidemark.functions import times as D
 from tidemark.operators import admission, cards, draws, history
-from tidemark.plans import interpretation
+from tidemark.plans import interpretation, runs
 from tidemark.sources import entries as S
-from tidemark.sources.staging import fresh_path
+from tidemark.sources.commits import CommitLog
+from tidemark.sources.staging import fresh_path, staged
 from tidemark.streaming import stateful
 
 #: (query, SQL or None) by name.
@@ -395,9 +397,94 @@ def interpretation_entries(spark, sf_dir):
     return rows.select("id", "userId", "type", "dreamText", "title", F.col("fortune.omen").alias("omen"), F.size("symbols").alias("symbols"), F.get_json_object("fortuneJson", "$.more").alias("more"), "cardName")
 
 
+# --- runs that hand on what they leave ---------------------------------------------------
+
+#: Events as requests on many days: no user, no text, replies that fail, and a window that slides.
+_SLIDING = """
+WITH RECURSIVE q AS (SELECT event_id AS id, CASE WHEN event_type = 'error' THEN '' ELSE user_id::VARCHAR END AS who, ts, CASE WHEN value < 3 THEN '' ELSE event_type || ' ' || props END AS text, length('Read ' || event_type || ' ' || props) % 7 = 0 AS lost FROM events),
+o AS (SELECT *, row_number() OVER (PARTITION BY who ORDER BY ts, id) AS n FROM q WHERE who <> '' AND text <> ''),
+r AS (
+ SELECT who, n, id, ts, text, true AS asked, lost, CASE WHEN lost THEN [] ELSE [ts] END AS held FROM o WHERE n = 1
+ UNION ALL
+ SELECT who, n, id, ts, text, len(still) < 5, lost, CASE WHEN len(still) < 5 AND NOT lost THEN list_append(still, ts) ELSE still END
+ FROM (SELECT o.*, list_filter(r.held, lambda t: t >= o.ts - INTERVAL 24 HOURS) AS still FROM r JOIN o ON o.who = r.who AND o.n = r.n + 1)),
+judged AS (SELECT id, NULL::VARCHAR AS who, NULL::VARCHAR AS text, NULL::TIMESTAMP AS ts, 400 AS status FROM q WHERE who = '' OR text = ''
+ UNION ALL SELECT id, who, text, ts, CASE WHEN NOT asked THEN 429 WHEN lost THEN 502 ELSE 200 END FROM r),
+told AS (SELECT id, status::INT AS status, CASE WHEN status = 200 THEN who END AS "userId", CASE WHEN status = 200 THEN text END AS "dreamText", CASE WHEN status = 200 THEN 'extra' END AS more, CASE WHEN status = 200 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' END AS "createdAt", CASE WHEN status = 502 THEN 'refused' END AS failed FROM judged)
+SELECT id, status, "userId", "dreamText", more, "createdAt", failed FROM told"""
+
+#: Times at which a run ends and the next one begins.
+_RUNS = ("2024-01-08 07:00:00", "2024-01-19 21:30:00")
+
+
+def sliding_model(prompts: list[str]) -> list[str | None]:
+    """Stands in for a text model: replies that are no good where the prompt's length is a multiple of seven."""
+    return ["nothing" if len(p) % 7 == 0 else echo_model(["abc"])[0] for p in prompts]
+
+
+def _sliding_requests(spark, sf_dir):
+    kind = F.col("type")
+    said = F.when(F.col("value") < 3, "").otherwise(F.concat_ws(" ", kind, "props"))
+    who = F.when(kind == "error", "").otherwise(F.col("userId").cast("string"))
+    return _entries(spark, sf_dir).select("id", who.alias("user_id"), F.col("createdAt").alias("request_ts"), F.to_json(F.struct(said.alias("dreamText"))).alias("raw_body"))
+
+
+def _told(answers: DataFrame) -> DataFrame:
+    """Answers with what stands in them."""
+    told = lambda path: F.get_json_object("body", f"$.entry.{path}")
+    return answers.select("id", "status", told("userId").alias("userId"), told("dreamText").alias("dreamText"), told("fortune.more").alias("more"), told("createdAt").alias("createdAt"), F.when(F.col("refused").isNotNull(), "refused").alias("failed"))
+
+
+def _in_runs(requests: DataFrame) -> list[DataFrame]:
+    """Requests of each run, by time."""
+    first, second = (F.lit(t).cast("timestamp_ntz") for t in _RUNS)
+    at = F.col("request_ts")
+    return [requests.filter(at < first), requests.filter((at >= first) & (at < second)), requests.filter(at >= second)]
+
+
+@query(_SLIDING)
+def interpretation_runs(spark, sf_dir):
+    """Three runs, each given the quota that the one before has left: no run reads an entry."""
+    state, answers = None, None
+    for requests in _in_runs(_sliding_requests(spark, sf_dir)):
+        made = interpretation.interpret(requests, sliding_model, "Read {text}", state=state)
+        state = staged(made.state, "quota")
+        answers = made.answers if answers is None else answers.unionByName(made.answers)
+    return _told(answers)
+
+
+@query(f"SELECT * FROM ({_SLIDING}) SEMI JOIN (SELECT event_id AS id FROM events WHERE ts >= TIMESTAMP '{_RUNS[1]}') USING (id)")
+def interpretation_stored(spark, sf_dir):
+    """The last run alone, with the entries of those before: only a day of them is read."""
+    before, middle, last = _in_runs(_sliding_requests(spark, sf_dir))
+    at = fresh_path(spark, "entries")
+    S.append(interpretation.interpret(before.unionByName(middle), sliding_model, "Read {text}").entries, at)
+    return _told(interpretation.interpret(last, sliding_model, "Read {text}", stored=S.read_entries(spark, at)).answers)
+
+
+def _batches(spark: SparkSession, parts: list[DataFrame], name: str) -> DataFrame:
+    """A stream that brings each part as a batch."""
+    at = fresh_path(spark, name)
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(at)
+    return spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(at)
+
+
+@query(_SLIDING)
+def interpretation_stream(spark, sf_dir):
+    """The runs as batches of a stream; entries, answers and quota are committed once a batch."""
+    log = CommitLog(spark, fresh_path(spark, "log"))
+    requests = _batches(spark, _in_runs(_sliding_requests(spark, sf_dir)), "requests")
+    writer = runs.interpret_stream(requests, log, f"dreams-{uuid.uuid4().hex[:8]}", sliding_model, "Read {text}")
+    writer.option("checkpointLocation", fresh_path(spark, "stream")).trigger(availableNow=True).start().awaitTermination()
+    kept = log.table("entries").select("id", F.col("title").isNotNull().alias("stored"))
+    answers = log.table("answers").withColumn("key", F.col("id").cast("string")).join(kept.withColumnRenamed("id", "key"), "key", "left")
+    return _told(answers.withColumn("body", F.when(F.coalesce("stored", F.lit(False)) == (F.col("status") == 200), F.col("body"))))
+
+
 _DRAWN = f"""
 WITH r AS (SELECT event_id AS id, CASE WHEN event_type = 'error' THEN '' ELSE user_id::VARCHAR END AS who, ts, {_HASH.format('event_id::VARCHAR')} % 78 AS n, {_HASH.format("event_id || '/reversed'")}::DOUBLE / 4294967296 < 0.35 AS reversed FROM events),
-t AS (SELECT r.*, p_name, length('Read ' || coalesce(p_name, '') || ' ' || CASE WHEN reversed THEN 'reversed' ELSE 'upright' END || ' ' || coalesce(CASE WHEN reversed THEN p_type ELSE p_brand END, '')) % 7 <> 0 AS good FROM r LEFT JOIN part ON p_partkey = n),
+t AS (SELECT r.*, p_name, length('Read ' || coalesce(p_name, '') || ' ' || CASE WHEN reversed THEN 'reversed' ELSE 'upright' END || ' ' || coalesce(CASE WHEN reversed THEN p_type ELSE p_brand END, '')) % 7 <> 0 AND p_name IS NOT NULL AS good FROM r LEFT JOIN part ON p_partkey = n),
 o AS (SELECT *, row_number() OVER (PARTITION BY who, ts::DATE ORDER BY ts, id) AS place FROM t WHERE who <> ''),
 f AS (SELECT *, min(place) FILTER (good) OVER (PARTITION BY who, ts::DATE) AS hit FROM o),
 d AS (SELECT *, first_value(id) OVER (PARTITION BY who, ts::DATE ORDER BY (place = hit) DESC NULLS LAST, place) AS first_id FROM f)"""
@@ -410,11 +497,17 @@ def draw_model(prompts: list[str]) -> list[str | None]:
     return ['So: {"advice": "go"}' for _ in prompts]
 
 
-def _draws(spark, sf_dir):
-    deck = _table(spark, sf_dir, "part").filter("p_partkey < 78").select(F.col("p_partkey").alias("number"), F.col("p_name").alias("name"), F.lit("").alias("keyword"), F.col("p_brand").alias("uprightMeaning"), F.col("p_type").alias("reversedMeaning"))
+def _draw_deck(spark, sf_dir):
+    return _table(spark, sf_dir, "part").filter("p_partkey < 78").select(F.col("p_partkey").alias("number"), F.col("p_name").alias("name"), F.lit("").alias("keyword"), F.col("p_brand").alias("uprightMeaning"), F.col("p_type").alias("reversedMeaning"))
+
+
+def _draw_requests(spark, sf_dir):
     who = F.when(F.col("type") == "error", "").otherwise(F.col("userId").cast("string"))
-    requests = _entries(spark, sf_dir).select("id", who.alias("user_id"), F.col("createdAt").alias("request_ts"))
-    return interpretation.draw(requests, deck, 78, draw_model, "Read {name} {orientation} {meaning}")
+    return _entries(spark, sf_dir).select("id", who.alias("user_id"), F.col("createdAt").alias("request_ts"))
+
+
+def _draws(spark, sf_dir):
+    return interpretation.draw(_draw_requests(spark, sf_dir), _draw_deck(spark, sf_dir), 78, draw_model, "Read {name} {orientation} {meaning}")
 
 
 @query(f"""{_DRAWN} SELECT id, 400::INT AS status, NULL::VARCHAR AS draw_id, false AS "alreadyDrawn" FROM r WHERE who = ''
@@ -428,6 +521,17 @@ def draw_entries(spark, sf_dir):
     return _draws(spark, sf_dir).entries.select("id", "userId", "type", "cardName", "reversed", "tarotAdvice", "createdAt")
 
 
+@query(f"""{_DRAWN} SELECT id, 400::INT AS status, NULL::VARCHAR AS draw_id, false AS "alreadyDrawn", NULL::VARCHAR AS card, NULL::VARCHAR AS advice FROM r WHERE who = ''
+UNION ALL SELECT d.id, CASE WHEN place >= hit THEN 200 ELSE 502 END::INT, CASE WHEN place >= hit THEN first_id::VARCHAR END, coalesce(place > hit, false), CASE WHEN place >= hit THEN f.p_name END, CASE WHEN place >= hit THEN 'go' END FROM d LEFT JOIN t f ON f.id = d.first_id""")
+def draw_runs(spark, sf_dir):
+    """Three runs, whose borders lie within days, each given the draws that the one before has left."""
+    log = CommitLog(spark, fresh_path(spark, "log"))
+    for k, requests in enumerate(_in_runs(_draw_requests(spark, sf_dir))):
+        runs.draw_run(log, f"draws-{k}", requests, _draw_deck(spark, sf_dir), 78, draw_model, "Read {name} {orientation} {meaning}")
+    told = lambda path: F.get_json_object("body", f"$.entry.{path}")
+    return log.table("answers").select("id", "status", "draw_id", F.coalesce("alreadyDrawn", F.lit(False)).alias("alreadyDrawn"), told("cardName").alias("card"), told("tarotAdvice").alias("advice"))
+
+
 @query("SELECT user_id::VARCHAR AS \"userId\", event_type AS \"cardName\", count(*) AS n, TRUE AS same FROM events GROUP BY 1, 2")
 def appended_rows(spark, sf_dir):
     """Ids and times that are made at writing are those that the caller gets."""

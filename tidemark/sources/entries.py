@@ -43,24 +43,37 @@ def union_cards(*lists: DataFrame) -> DataFrame:
     return out
 
 
-def _row(rows: DataFrame, kind: str, values: dict[str, Column], key: Column | None, now: Column | None) -> DataFrame:
+def _row(rows: DataFrame, kind: str, values: dict[str, Column], key: Column | None, now: Column | None, keep: tuple[str, ...] = ()) -> DataFrame:
     if kind not in KINDS:
         raise ValueError(f"no such kind of entry: {kind}")
     made = {"id": F.uuid() if key is None else key, "type": F.lit(kind), "createdAt": milliseconds(F.current_timestamp().cast("timestamp_ntz") if now is None else now), **values}
-    return rows.select(*[(made[f.name] if f.name in made else F.lit(None)).cast(f.dataType).alias(f.name) for f in ENTRY])
+    columns = [(made[f.name] if f.name in made else F.lit(None)).cast(f.dataType).alias(f.name) for f in ENTRY if f.name not in keep]
+    return rows.select(*columns, *keep)
 
 
-def dream_rows(rows: DataFrame, key: Column | None = None, now: Column | None = None) -> DataFrame:
-    """Entries of accepted readings; columns of the other kind are null.  Id and time are made where they are not given."""
+def dream_rows(rows: DataFrame, key: Column | None = None, now: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Entries of accepted readings; columns of the other kind are null.  Id and time are made where they are not given.  Columns to ``keep`` stay as they are."""
     names = ("userId", "dreamText", "mood", "advice", "title", "traditional", "psychological", "symbols", "fortune")
     more = [n for n in ("symbolsJson", "fortuneJson") if n in rows.columns]
-    return _row(rows, DREAM, {n: F.col(n) for n in (*names, *more)}, key, now)
+    return _row(rows, DREAM, {n: F.col(n) for n in (*names, *more)}, key, now, keep)
 
 
-def draw_rows(rows: DataFrame, key: Column | None = None, now: Column | None = None) -> DataFrame:
+def draw_rows(rows: DataFrame, key: Column | None = None, now: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """Entries of draws."""
     names = ("userId", "cardName", "cardKeyword", "reversed", "tarotAdvice")
-    return _row(rows, TAROT, {n: F.col(n) for n in names}, key, now)
+    return _row(rows, TAROT, {n: F.col(n) for n in names}, key, now, keep)
+
+
+def entry_object() -> Column:
+    """A stored row as the JSON object that answers hold: all columns, nulls too, nested members as they came, the time in UTC to the millisecond."""
+    nested = {"symbols": "symbolsJson", "fortune": "fortuneJson"}
+
+    def column(name: str) -> Column:
+        if name in nested:
+            return F.coalesce(F.try_parse_json(nested[name]), F.try_parse_json(F.to_json(name)))
+        return F.date_format(name, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'") if name == "createdAt" else F.col(name)
+
+    return F.to_json(F.struct(*[column(f.name).alias(f.name) for f in ENTRY if f.name not in nested.values()]), {"ignoreNullFields": "false"})
 
 
 def append(rows: DataFrame, path: str) -> DataFrame:
