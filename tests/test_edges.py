@@ -195,6 +195,8 @@ def test_entries_keep_their_columns_with_a_card(spark):
     deck = spark.createDataFrame([("Sun", "k", "1")], "name string, keyword string, image string")
     rows = spark.createDataFrame([(1, "Sun", "mine", "w", "e", 2)], "id long, cardName string, name string, wanted string, entry string, card int")
     got = cards.with_card(rows, deck).first()
+    dotted = rows.withColumnRenamed("wanted", "a.b").withColumnRenamed("cardName", "card`name")
+    assert cards.with_card(dotted, deck.withColumn("x.y", F.lit(1)), "card`name").first()["card"]["x.y"] == 1
     assert got.asDict(True) == {"id": 1, "cardName": "Sun", "name": "mine", "wanted": "w", "entry": "e", "card": {"keyword": "k", "image": "1"}}
 
 
@@ -222,7 +224,10 @@ def test_random_draws_stay_in_range(spark):
 def test_requests_are_read_and_answered(spark, tmp_path):
     (tmp_path / "r.json").write_text('{"user_id": "u", "request_ts": "2024-03-01T10:00:00", "raw_body": "{"}\n{"user_id": null, "more": 1}\n')
     rows = S.read_requests(spark, str(tmp_path))
-    assert sorted((tuple(r) for r in rows.collect()), key=str) == [("u", T0, "{"), (None, None, None)]
+    assert sorted((tuple(r)[1:] for r in rows.collect()), key=str) == [("u", T0, "{"), (None, None, None)]
+    assert len({r["id"] for r in rows.collect()}) == 2 and rows.collect() == rows.collect()
+    # what is read goes into the plans as it is
+    assert {r["status"] for r in interpretation.interpret(rows, lambda p: [None], "{text}").answers.collect()} == {400}
     assert sorted(r["response"] for r in S.responses(rows, "user_id", "raw_body").collect()) == ['{"user_id":"u","raw_body":"{"}', "{}"]
 
 

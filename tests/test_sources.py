@@ -1,0 +1,120 @@
+"""Layouts, databases and requests as they are read."""
+
+from __future__ import annotations
+
+import json
+import re
+import uuid
+from datetime import datetime, timedelta
+
+import pytest
+from pyspark.sql import functions as F
+
+from tidemark.operators import history
+from tidemark.plans import interpretation
+from tidemark.sources import clustered, database
+from tidemark.sources import entries as S
+
+T0 = datetime(2024, 3, 1, 10)
+ROW = "id string, userId string, type string, createdAt timestamp_ntz"
+
+
+def rows(spark, n, start=0):
+    made = [(f"{start + k:04d}", f"u{k % 17}", "DREAM" if k % 3 else "TAROT", T0 + timedelta(minutes=7 * k)) for k in range(n)]
+    return spark.createDataFrame([*made, (f"null{start}", None, "DREAM", T0)], ROW)
+
+
+def plan_of(df) -> str:
+    df.sparkSession.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture
+def told(spark):
+    """Plans tell which buckets are read, also where Spark does not need the buckets for anything else."""
+    spark.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.sources.bucketing.autoBucketedScan.enabled")
+
+
+def test_only_one_bucket_s_files_are_needed(spark, tmp_path):
+    name = f"t_{uuid.uuid4().hex}"
+    whole = clustered.write_clustered(rows(spark, 300), name, 8, str(tmp_path / "t"))
+    mine = {tuple(r) for r in whole.filter("userId = 'u3'").collect()}
+    needed = {r[0].rsplit("/", 1)[1] for r in whole.filter("userId = 'u3'").select(F.input_file_name()).distinct().collect()}
+    for file in (tmp_path / "t").glob("part-*"):
+        if file.name not in needed:
+            file.write_text("not read")
+            (tmp_path / "t" / f".{file.name}.crc").unlink(missing_ok=True)
+    spark.catalog.refreshTable(name)
+    assert {tuple(r) for r in spark.table(name).filter("userId = 'u3'").collect()} == mine and len(mine) > 10
+
+
+def test_one_bucket_is_read_and_nothing_is_shuffled(spark, tmp_path, told):
+    name = f"t_{uuid.uuid4().hex}"
+    first, more = rows(spark, 300), rows(spark, 200, 1000)
+    clustered.write_clustered(first, name, 8, str(tmp_path / "t"))
+    whole = clustered.append_clustered(more.select("createdAt", "type", "userId", "id"), name)
+    both = first.unionByName(more)
+    for user in ("u3", "u16", "nobody"):
+        mine = history.recent_of_user(whole, user, 20)
+        plan = plan_of(mine)
+        assert "SelectedBucketsCount: 1 out of 8" in plan and "EqualTo(userId," in plan
+        assert [tuple(r) for r in mine.select(*both.columns).collect()] == [tuple(r) for r in history.recent_of_user(both, user, 20).collect()]
+    # a lookup by id and user too
+    assert "SelectedBucketsCount: 1 out of 8" in plan_of(history.entry_of_user(whole, "0003", "u3"))
+    top = history.recent_by_user(whole, 3)
+    assert "Exchange" not in plan_of(top)
+    assert {tuple(r) for r in top.select("id", "rank").collect()} == {tuple(r) for r in history.recent_by_user(both, 3).select("id", "rank").collect()}
+    assert clustered.files_a_bucket(spark, name) == 2
+    again = clustered.compact_clustered(spark, name, f"{name}_c", str(tmp_path / "c"))
+    assert clustered.files_a_bucket(spark, f"{name}_c") == 1 and again.count() == both.count()
+    assert "SelectedBucketsCount: 1 out of 8" in plan_of(again.filter("userId = 'u3'"))
+    spark.range(1).write.option("path", str(tmp_path / "x")).saveAsTable(f"{name}_x")
+    with pytest.raises(ValueError, match="not clustered"):
+        clustered.append_clustered(rows(spark, 1), f"{name}_x")
+
+
+def test_a_database_is_read_in_ranges(spark):
+    url = f"jdbc:derby:memory:tidemark{uuid.uuid4().hex};create=true"
+    options = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    made = rows(spark, 400).filter("userId IS NOT NULL").withColumn("userId", F.when(F.col("userId") == "u3", "o'neil").otherwise(F.col("userId")))
+    database.append_rows(made.limit(0), url, "Entry", createTableColumnTypes="id VARCHAR(40), userId VARCHAR(40), type VARCHAR(10), createdAt TIMESTAMP", **options)
+    database.append_rows(made, url, "Entry", 3, **options)
+    since, until = T0 + timedelta(hours=5), T0 + timedelta(hours=30)
+    part = database.read_range(spark, url, "Entry", since, until, 6, **options)
+    assert part.schema["createdAt"].dataType.simpleString() == "timestamp_ntz"
+    expected = {tuple(r) for r in made.collect() if since <= r["createdAt"] < until}
+    assert {tuple(r) for r in part.collect()} == expected and part.count() == len(expected)
+    sizes = part.groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) == 6 and max(r["count"] for r in sizes) < len(expected) / 4
+    kind = part.filter((F.col("type") == "TAROT") & (F.col("userId") == "o'neil"))
+    plan = plan_of(kind)
+    pushed = re.search(r"PushedFilters: \[(.*?)\], ReadSchema", plan)[1]
+    assert all(x in pushed for x in ("EqualTo(type,TAROT)", "EqualTo(userId,o'neil)"))
+    late = part.filter(F.col("createdAt") >= F.lit(T0 + timedelta(hours=20)).cast("timestamp_ntz"))
+    assert {tuple(r) for r in late.collect()} == {r for r in expected if r[3] >= T0 + timedelta(hours=20)}
+    assert {tuple(r) for r in kind.collect()} == {r for r in expected if r[2] == "TAROT" and r[1] == "o'neil"}
+    # the database picks a user's latest entries, and no more come
+    recent = database.read_recent(spark, url, "Entry", "o'neil", 5, **options)
+    assert "FETCH FIRST 5 ROWS ONLY" in plan_of(recent)
+    mine = history.recent_of_user(made, "o'neil", 5)
+    assert sorted(tuple(r) for r in recent.collect()) == sorted(tuple(r) for r in mine.collect())
+    assert database.read_recent(spark, url, "Entry", None, 5, **options).count() == 0
+    assert database.read_table(spark, url, "Entry", **options).count() == made.count()
+    with pytest.raises(ValueError, match="empty"):
+        database.read_range(spark, url, "Entry", until, since)
+
+
+def test_todays_draw_or_nothing(spark):
+    stored = spark.createDataFrame([("a", "u", "TAROT", T0), ("b", "u", "TAROT", T0 + timedelta(hours=1)), ("c", "u", "DREAM", T0 + timedelta(hours=2)), ("d", "v", "TAROT", T0 - timedelta(days=1))], ROW)
+    asked = spark.createDataFrame([(1, "u", T0), (2, "v", T0), (3, None, T0), (4, "u", None), (5, "u", T0 + timedelta(days=1)), (6, "", T0)], "id long, user_id string, request_ts timestamp_ntz")
+    got = {r["id"]: json.loads(r["body"]) for r in interpretation.todays_draws(asked, stored).collect()}
+    assert got[1]["entry"]["id"] == "b" and got[1]["entry"]["createdAt"] == "2024-03-01T11:00:00.000Z"
+    assert [got[k] for k in range(2, 7)] == [{"entry": None}] * 5
+    assert interpretation.todays_draws(asked.filter("false"), stored).count() == 0
+
+
+def test_the_session_is_one_and_in_utc(spark):
+    assert S.session() is spark or S.session()._jsparkSession.equals(spark._jsparkSession)
+    assert S.session().conf.get("spark.sql.session.timeZone") == "UTC"

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.columns import named, without
+
 #: Share of draws that are reversed.
 REVERSED_SHARE = 0.35
 
@@ -19,9 +21,10 @@ def with_card(entries: DataFrame, deck: DataFrame, name_col: str = "cardName") -
     The deck's size is looked up; a small one is broadcast, a larger one is joined by a shuffle.
     Entries keep their columns, whatever these are called; a column ``card`` is replaced.
     """
-    others = [c for c in entries.columns if c.lower() != "card"]
-    held = entries.select(F.col(name_col).alias("wanted"), F.struct(*[F.col(c) for c in others]).alias("entry"))
-    cards = deck.filter(F.col("name") != "").groupBy("name").agg(F.min(F.struct("keyword", "image", *[c for c in deck.columns if c not in ("name", "keyword", "image")])).alias("card"))
+    others = without(entries, ("card",))
+    held = entries.select(named(name_col).alias("wanted"), F.struct(*[named(c).alias(c) for c in others]).alias("entry"))
+    more = [named(c).alias(c) for c in without(deck, ("name", "keyword", "image"))]
+    cards = deck.filter(F.col("name") != "").groupBy("name").agg(F.min(F.struct("keyword", "image", *more)).alias("card"))
     small = deck.limit(BROADCAST_CARDS + 1).count() <= BROADCAST_CARDS
     found = held.join(F.broadcast(cards) if small else cards, F.col("wanted") == F.col("name"), "left")
     return found.select(*[F.col("entry").getField(c).alias(c) for c in others], "card")

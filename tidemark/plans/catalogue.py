@@ -21,6 +21,7 @@ from tidemark.functions import text as X
 from tidemark.functions import times as D
 from tidemark.operators import admission, cards, draws, history
 from tidemark.plans import interpretation, runs
+from tidemark.sources import clustered
 from tidemark.sources import entries as S
 from tidemark.sources.commits import CommitLog
 from tidemark.sources.staging import fresh_path, staged
@@ -65,6 +66,25 @@ def history_of_user(spark, sf_dir):
     return history.recent_of_user(_entries(spark, sf_dir), 7).select("id", "type", "createdAt")
 
 
+def _clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries by user: half of them written, the others added later."""
+    rows, name = _entries(spark, sf_dir), f"tidemark_entries_{uuid.uuid4().hex}"
+    clustered.write_clustered(rows.filter("id % 2 = 0"), name, 16, fresh_path(spark, "clustered"))
+    return clustered.append_clustered(rows.filter("id % 2 <> 0"), name)
+
+
+@query("SELECT event_id AS id, event_type AS type, ts AS \"createdAt\" FROM events WHERE user_id = 7 ORDER BY ts DESC, event_id DESC LIMIT 100")
+def history_of_user_clustered(spark, sf_dir):
+    """One bucket of sixteen is read."""
+    return history.recent_of_user(_clustered(spark, sf_dir), 7).select("id", "type", "createdAt")
+
+
+@query(f'SELECT id, "userId", type, "createdAt", rank::INT AS rank FROM ({_RANKED})')
+def history_top_n_clustered(spark, sf_dir):
+    """Nothing is shuffled."""
+    return history.recent_by_user(_clustered(spark, sf_dir), CAP).select("id", "userId", "type", "createdAt", "rank")
+
+
 @query(f"SELECT id, \"userId\", type FROM ({_RANKED}) WHERE type IN ('purchase', 'signup')")
 def history_split_after_cap(spark, sf_dir):
     bought, joined = history.split_by_kind(history.recent_by_user(_entries(spark, sf_dir), CAP), "purchase", "signup")
@@ -147,27 +167,71 @@ def rolling_admission_native(spark, sf_dir):
     return admission.admit_native(_entries(spark, sf_dir))
 
 
+#: Times at which a run ends and the next one begins.
+_RUNS = ("2024-01-08 07:00:00", "2024-01-19 21:30:00")
+
 _FIRST = "row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY ts, event_id)"
 
 
-def _streamed(spark: SparkSession, sf_dir: str, name: str, run: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Runs a stream over the events that are there and reads what it wrote."""
-    rows = _entries(spark, sf_dir)
-    source = spark.readStream.schema(_table(spark, sf_dir, "events").schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(f"{sf_dir}/events.parquet*")
-    out = run(source.toDF(*rows.columns))
-    at = fresh_path(spark, f"stream-{name}")
-    out.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/log").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(out.schema).parquet(f"{at}/out")
+def _in_batches(spark: SparkSession, parts: list[DataFrame], name: str, start: Callable[[DataFrame, str], None]) -> None:
+    """Brings a stream its parts one after the other: it ends when it has taken what is there, and goes on from its checkpoint with the next."""
+    at = fresh_path(spark, name)
+    for part in parts:
+        part.write.mode("append").parquet(f"{at}/in")
+        start(spark.readStream.schema(part.schema).parquet(f"{at}/in"), f"{at}/log")
+
+
+def _written_stream(spark: SparkSession, parts: list[DataFrame], name: str, run: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What a stream has written when it has taken all parts."""
+    out, schema = fresh_path(spark, f"stream-{name}"), []
+
+    def start(source: DataFrame, log: str) -> None:
+        made = run(source)
+        schema.append(made.schema)
+        made.writeStream.format("parquet").option("path", out).option("checkpointLocation", log).trigger(availableNow=True).start().awaitTermination()
+
+    _in_batches(spark, parts, name, start)
+    return spark.read.schema(schema[0]).parquet(out)
 
 
 @query(_ADMITTED)
 def rolling_admission_stream(spark, sf_dir):
-    return _streamed(spark, sf_dir, "admission", stateful.admit_stream)
+    return _written_stream(spark, [_entries(spark, sf_dir)], "admission", stateful.admit_stream)
 
 
 @query(f"SELECT event_id AS id, user_id AS \"userId\", ts AS \"createdAt\" FROM events QUALIFY {_FIRST} = 1")
 def first_draw_stream(spark, sf_dir):
-    return _streamed(spark, sf_dir, "draws", lambda s: stateful.first_draws_stream(s.select("id", "userId", "createdAt")))
+    return _written_stream(spark, [_entries(spark, sf_dir).select("id", "userId", "createdAt")], "draws", stateful.first_draws_stream)
+
+
+def _by_time(rows: DataFrame, at: str = "createdAt") -> list[DataFrame]:
+    """Rows of each stretch between the times at which runs end."""
+    edges = [F.lit(t).cast("timestamp_ntz") for t in _RUNS]
+    return [rows.filter(F.col(at) < edges[0]), rows.filter((F.col(at) >= edges[0]) & (F.col(at) < edges[1])), rows.filter(F.col(at) >= edges[1])]
+
+
+@query(_ADMITTED)
+def rolling_admission_batches(spark, sf_dir):
+    """Three batches of a stream, which go on from the state on disk."""
+    parts = _by_time(_entries(spark, sf_dir).select("userId", "id", "createdAt"))
+    return _written_stream(spark, parts, "admission", stateful.admit_stream)
+
+
+@query(f"SELECT a.* FROM ({_ADMITTED}) a JOIN events e ON e.event_id = a.id WHERE e.ts >= TIMESTAMP '{_RUNS[1]}'")
+def rolling_admission_initial(spark, sf_dir):
+    """A stream that begins with the entries that were accepted before it."""
+    before, middle, last = _by_time(_entries(spark, sf_dir).select("userId", "id", "createdAt"))
+    accepted = admission.admit(before.unionByName(middle)).filter("admitted").select("userId", "createdAt")
+    return _written_stream(spark, [last], "admission", lambda s: stateful.admit_stream(s, accepted=accepted))
+
+
+@query(f"SELECT event_id AS id, user_id AS \"userId\", ts AS \"createdAt\" FROM events QUALIFY {_FIRST} = 1")
+def first_draw_by_time_stream(spark, sf_dir):
+    """Rows shuffled over the batches of a stream; a last one, far ahead, lets the watermark pass all days."""
+    rows = _entries(spark, sf_dir).select("id", "userId", "createdAt")
+    parts = [rows.filter(F.pmod(F.xxhash64("id"), F.lit(4)) == k) for k in range(4)]
+    ahead = rows.agg(F.lit(-1).cast("long").alias("id"), F.lit(-1).cast("long").alias("userId"), (F.max("createdAt") + F.expr("INTERVAL 400 DAYS")).alias("createdAt"))
+    return _written_stream(spark, [*parts, ahead], "draws", lambda s: stateful.first_draws_by_time(s, "300 days"))
 
 
 @query(f"SELECT event_id AS id, user_id AS \"userId\", ts AS \"createdAt\" FROM events QUALIFY {_FIRST} = 1")
@@ -203,6 +267,15 @@ def card_lookup_left(spark, sf_dir):
     return found.select("id", F.col("card.uprightMeaning").alias("name"), cards.meaning(F.col("card"), F.col("value") > 50).alias("meaning"))
 
 
+@query("SELECT count(*) AS n, TRUE AS in_range, TRUE AS even, TRUE AS share FROM events")
+def random_shares(spark, sf_dir):
+    """Picks and chances that are drawn by a seed: within bounds that hold but once in millions of draws."""
+    rows = _entries(spark, sf_dir).select(cards.random_pick(10, 3).alias("n"), cards.random_chance(seed=4).alias("r"))
+    counts = rows.groupBy("n").agg(F.count("*").alias("k"), F.count_if("r").alias("r")).agg(F.sum("k").alias("all"), F.min("k").alias("least"), F.max("k").alias("most"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.sum("r").alias("r"))
+    off = lambda count, p: F.abs(count - p * F.col("all")) < 5.5 * F.sqrt(p * (1 - p) * F.col("all"))
+    return counts.select(F.col("all").alias("n"), ((F.col("lo") == 0) & (F.col("hi") == 9)).alias("in_range"), (off(F.col("least"), 0.1) & off(F.col("most"), 0.1)).alias("even"), off(F.col("r"), cards.REVERSED_SHARE).alias("share"))
+
+
 _HASH = "('0x' || substr(md5({0}), 1, 8))::BIGINT"
 
 
@@ -413,10 +486,6 @@ judged AS (SELECT id, NULL::VARCHAR AS who, NULL::VARCHAR AS text, NULL::TIMESTA
 told AS (SELECT id, status::INT AS status, CASE WHEN status = 200 THEN who END AS "userId", CASE WHEN status = 200 THEN text END AS "dreamText", CASE WHEN status = 200 THEN 'extra' END AS more, CASE WHEN status = 200 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' END AS "createdAt", CASE WHEN status = 502 THEN 'refused' END AS failed FROM judged)
 SELECT id, status, "userId", "dreamText", more, "createdAt", failed FROM told"""
 
-#: Times at which a run ends and the next one begins.
-_RUNS = ("2024-01-08 07:00:00", "2024-01-19 21:30:00")
-
-
 def sliding_model(prompts: list[str]) -> list[str | None]:
     """Stands in for a text model: replies that are no good where the prompt's length is a multiple of seven."""
     return ["nothing" if len(p) % 7 == 0 else echo_model(["abc"])[0] for p in prompts]
@@ -435,18 +504,11 @@ def _told(answers: DataFrame) -> DataFrame:
     return answers.select("id", "status", told("userId").alias("userId"), told("dreamText").alias("dreamText"), told("fortune.more").alias("more"), told("createdAt").alias("createdAt"), F.when(F.col("refused").isNotNull(), "refused").alias("failed"))
 
 
-def _in_runs(requests: DataFrame) -> list[DataFrame]:
-    """Requests of each run, by time."""
-    first, second = (F.lit(t).cast("timestamp_ntz") for t in _RUNS)
-    at = F.col("request_ts")
-    return [requests.filter(at < first), requests.filter((at >= first) & (at < second)), requests.filter(at >= second)]
-
-
 @query(_SLIDING)
 def interpretation_runs(spark, sf_dir):
     """Three runs, each given the quota that the one before has left: no run reads an entry."""
     state, answers = None, None
-    for requests in _in_runs(_sliding_requests(spark, sf_dir)):
+    for requests in _by_time(_sliding_requests(spark, sf_dir), "request_ts"):
         made = interpretation.interpret(requests, sliding_model, "Read {text}", state=state)
         state = staged(made.state, "quota")
         answers = made.answers if answers is None else answers.unionByName(made.answers)
@@ -456,27 +518,22 @@ def interpretation_runs(spark, sf_dir):
 @query(f"SELECT * FROM ({_SLIDING}) SEMI JOIN (SELECT event_id AS id FROM events WHERE ts >= TIMESTAMP '{_RUNS[1]}') USING (id)")
 def interpretation_stored(spark, sf_dir):
     """The last run alone, with the entries of those before: only a day of them is read."""
-    before, middle, last = _in_runs(_sliding_requests(spark, sf_dir))
+    before, middle, last = _by_time(_sliding_requests(spark, sf_dir), "request_ts")
     at = fresh_path(spark, "entries")
     S.append(interpretation.interpret(before.unionByName(middle), sliding_model, "Read {text}").entries, at)
     return _told(interpretation.interpret(last, sliding_model, "Read {text}", stored=S.read_entries(spark, at)).answers)
 
 
-def _batches(spark: SparkSession, parts: list[DataFrame], name: str) -> DataFrame:
-    """A stream that brings each part as a batch."""
-    at = fresh_path(spark, name)
-    for part in parts:
-        part.coalesce(1).write.mode("append").parquet(at)
-    return spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(at)
-
-
 @query(_SLIDING)
 def interpretation_stream(spark, sf_dir):
     """The runs as batches of a stream; entries, answers and quota are committed once a batch."""
     log = CommitLog(spark, fresh_path(spark, "log"))
-    requests = _batches(spark, _in_runs(_sliding_requests(spark, sf_dir)), "requests")
-    writer = runs.interpret_stream(requests, log, f"dreams-{uuid.uuid4().hex[:8]}", sliding_model, "Read {text}")
-    writer.option("checkpointLocation", fresh_path(spark, "stream")).trigger(availableNow=True).start().awaitTermination()
+    name = f"dreams-{uuid.uuid4().hex[:8]}"
+
+    def start(source: DataFrame, at: str) -> None:
+        runs.interpret_stream(source, log, name, sliding_model, "Read {text}").option("checkpointLocation", at).trigger(availableNow=True).start().awaitTermination()
+
+    _in_batches(spark, _by_time(_sliding_requests(spark, sf_dir), "request_ts"), "requests", start)
     kept = log.table("entries").select("id", F.col("title").isNotNull().alias("stored"))
     answers = log.table("answers").withColumn("key", F.col("id").cast("string")).join(kept.withColumnRenamed("id", "key"), "key", "left")
     return _told(answers.withColumn("body", F.when(F.coalesce("stored", F.lit(False)) == (F.col("status") == 200), F.col("body"))))
@@ -526,12 +583,23 @@ UNION ALL SELECT d.id, CASE WHEN place >= hit THEN 200 ELSE 502 END::INT, CASE W
 def draw_runs(spark, sf_dir):
     """Three runs, whose borders lie within days, each given the draws that the one before has left."""
     log = CommitLog(spark, fresh_path(spark, "log"))
-    for k, requests in enumerate(_in_runs(_draw_requests(spark, sf_dir))):
+    for k, requests in enumerate(_by_time(_draw_requests(spark, sf_dir), "request_ts")):
         runs.draw_run(log, f"draws-{k}", requests, _draw_deck(spark, sf_dir), 78, draw_model, "Read {name} {orientation} {meaning}")
     told = lambda path: F.get_json_object("body", f"$.entry.{path}")
     return log.table("answers").select("id", "status", "draw_id", F.coalesce("alreadyDrawn", F.lit(False)).alias("alreadyDrawn"), told("cardName").alias("card"), told("tarotAdvice").alias("advice"))
 
 
+@query("""WITH d AS (SELECT user_id, ts::DATE AS day, arg_max(event_id, (ts, event_id)) AS found FROM events WHERE event_type = 'view' GROUP BY 1, 2)
+SELECT e.event_id AS id, CASE WHEN e.event_type <> 'error' THEN d.found::VARCHAR END AS found, e.event_type = 'error' OR d.found IS NULL AS nothing FROM events e LEFT JOIN d ON d.user_id = e.user_id AND d.day = e.ts::DATE""")
+def todays_draws(spark, sf_dir):
+    """What each event's user has drawn on its day, with views as draws; errors do not say who asks."""
+    rows = _entries(spark, sf_dir)
+    stored = rows.filter("type = 'view'").select(F.col("id").cast("string").alias("id"), F.col("userId").cast("string").alias("userId"), F.lit("TAROT").alias("type"), F.col("props").alias("cardName"), "createdAt")
+    asked = rows.select("id", F.when(F.col("type") != "error", F.col("userId")).alias("user_id"), F.col("createdAt").alias("request_ts"))
+    body = interpretation.todays_draws(asked, stored)
+    return body.select("id", F.get_json_object("body", "$.entry.id").alias("found"), (F.col("body") == '{"entry":null}').alias("nothing"))
+
+
 @query("SELECT user_id::VARCHAR AS \"userId\", event_type AS \"cardName\", count(*) AS n, TRUE AS same FROM events GROUP BY 1, 2")
 def appended_rows(spark, sf_dir):
     """Ids and times that are made at writing are those that the caller gets."""

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from tidemark.functions import json as J
 from tidemark.functions.text import MAX_UNITS, join_or, prompt, utf16_length, web_trim
-from tidemark.functions.times import day_start
+from tidemark.functions.times import day_end, day_start
 from tidemark.operators import cards, carried
 from tidemark.operators.admission import HOURS, LIMIT, micros
 from tidemark.operators.history import orientation
@@ -182,6 +182,22 @@ def interpret(
     return Outcome(entries, answers.select("id", "user_id", "problem", "refused", "failure", "status", body.alias("body")), after, replied)
 
 
+def todays_draws(requests: DataFrame, stored: DataFrame) -> DataFrame:
+    """(id, user_id, body): the draw that each request (id, user_id, request_ts) finds for its UTC day, the latest if there are several.
+
+    Where there is none, or who asks or when is not known, or what is stored can't be read, the ``entry`` of the answer is null.
+    Of the entries the days from the first request's to the last one's are read, and users who ask.
+    """
+    day = day_start(F.col("request_ts"))
+    asked = requests.select("id", "user_id", F.col("user_id").cast("string").alias("__who"), day.alias("__day"))
+    span = carried.span(requests.filter("request_ts IS NOT NULL"), "request_ts")
+    drawn = carried.draws_before(requests, span, stored if span.last is None else stored.filter(F.col("createdAt") < day_end(F.lit(span.last).cast("timestamp_ntz"))), None)
+    latest = drawn.groupBy(F.col("user_id").cast("string").alias("__who"), F.col("day").alias("__day")).agg(F.max_by("entry", F.struct("at", "own")).alias("entry"))
+    found = asked.join(latest, ["__who", "__day"], "left")
+    body = F.to_json(F.struct(F.try_parse_json("entry").alias("entry")), {"ignoreNullFields": "false"})
+    return found.select("id", "user_id", body.alias("body"))
+
+
 def read_draws(draws: DataFrame, model: Model | None, template: str) -> DataFrame:
     """Draws (name, orientation, meaning) with the model's advice and a status: where it is missing, null and that of a failure."""
     rows = draws.withColumn("prompt", prompt(template, name=F.col("name"), orientation=F.col("orientation"), meaning=F.col("meaning")))

@@ -21,18 +21,17 @@ def read_entries(spark: SparkSession, path: str, schema: T.StructType = ENTRY) -
     return spark.read.schema(schema).parquet(path)
 
 
-def read_jdbc(spark: SparkSession, url: str, table: str, **options: str) -> DataFrame:
-    """Entries from a relational database, through a driver on the class path."""
-    return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
-
-
 def read_cards(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CARD).parquet(path)
 
 
 def read_requests(spark: SparkSession, path: str) -> DataFrame:
-    """Requests as they came, a JSON object with user_id, request_ts and raw_body a line."""
-    return spark.read.schema(REQUEST).json(path)
+    """Requests as they came, a JSON object with user_id, request_ts and raw_body a line, ready for the plans.
+
+    One that has no ``id`` gets one, made once: the rows are written to the shared folder.  A line that is no object is a request without anything.
+    """
+    rows = spark.read.schema(REQUEST).json(path)
+    return staged(rows.withColumn("id", F.coalesce("id", F.uuid())), "requests")
 
 
 def union_cards(*lists: DataFrame) -> DataFrame:

@@ -28,4 +28,4 @@ ENTRY = T.StructType(
 
 CARD = T.StructType([T.StructField(n, T.StringType()) for n in ("name", "keyword", "uprightMeaning", "reversedMeaning", "arcana", "suit", "image")])
 
-REQUEST = T.StructType([T.StructField("user_id", T.StringType()), T.StructField("request_ts", T.TimestampNTZType()), T.StructField("raw_body", T.StringType())])
+REQUEST = T.StructType([T.StructField("id", T.StringType()), T.StructField("user_id", T.StringType()), T.StructField("request_ts", T.TimestampNTZType()), T.StructField("raw_body", T.StringType())])

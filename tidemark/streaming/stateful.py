@@ -3,41 +3,110 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.functions.times import day_start
-from tidemark.operators.admission import LIMIT, WINDOW_MICROS, judge
+from tidemark.operators.admission import LIMIT, WINDOW_MICROS, judge, micros
 
+#: States of this kind live on disk, and only they have timers.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-def admit_stream(requests: DataFrame, limit: int = LIMIT, window: int = WINDOW_MICROS) -> DataFrame:
-    """(userId, id, admitted) of a stream of (userId, id, createdAt), judged in order of arrival, within a batch by time, then id.
+#: Stands for a time that is missing.
+_NEVER = -(1 << 63)
 
-    The state of a user is the accepted times that may still count, ``limit`` at most.
-    """
+#: Verdicts of a frame.
+_SEND = 10_000
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        times = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(frames)).sort_values(["micros", "id"])
-        flags = []
-        for now in rows["micros"].tolist():
-            ok, times = judge(times, int(now), limit, window)
-            flags.append(ok)
-        state.update((times,))
-        yield pd.DataFrame({"userId": rows["userId"].tolist(), "id": rows["id"].tolist(), "admitted": flags})
-
-    rows = requests.select("userId", F.col("id").cast("long").alias("id"), F.unix_micros(F.col("createdAt").cast("timestamp")).alias("micros"))
+
+class _Quota(StatefulProcessor):
+    """A user's accepted times that may still count; forgotten when the watermark has passed the last one's window."""
+
+    def __init__(self, limit: int, window: int, kind: str) -> None:
+        self.limit, self.window, self.kind = limit, window, kind
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.times = handle.getValueState("times", "times array<bigint>")
+
+    def _keep(self, times: list[int]) -> None:
+        self.times.update((times,))
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        # the window holds both ends
+        self.handle.registerTimer((times[-1] + self.window) // 1000 + 1)
+
+    def handleInitialState(self, key: Any, initialState: pd.DataFrame, timerValues: Any) -> None:  # noqa: N802, N803
+        # asked once a frame of the initial state
+        held = list(self.times.get()[0]) if self.times.exists() else []
+        self._keep(sorted([*held, *initialState["at"].tolist()])[-self.limit :])
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        # 16 bytes a row of the batch are held, as the order of its rows is not known before the last
+        found = [(f["at"].to_numpy(np.int64), f["id"].to_numpy(np.int64)) for f in rows]
+        at, ids = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((ids, at))
+        times = before = list(self.times.get()[0]) if self.times.exists() else []
+        for k in range(0, len(order), _SEND):
+            some, flags = order[k : k + _SEND], []
+            for now in at[some].tolist():
+                ok, times = (False, times) if now == _NEVER else judge(times, now, self.limit, self.window)
+                flags.append(ok)
+            yield pd.DataFrame({"userId": pd.Series([key[0]] * len(some), dtype=object if self.kind == "string" else None), "id": ids[some], "admitted": flags})
+        if times and times != before:
+            self._keep(times)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.times.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def admit_stream(requests: DataFrame, limit: int = LIMIT, window: int = WINDOW_MICROS, late: str = "24 hours", accepted: DataFrame | None = None) -> DataFrame:
+    """(userId, id, admitted) of a stream of (userId, id, createdAt), judged batch after batch, within a batch by time, then id.
+
+    The state of a user is the accepted times that may still count, ``limit`` at most, kept on disk; it
+    goes once the watermark, ``late`` behind the latest request, has passed the window of the last of them.  ``accepted`` are
+    entries (userId, createdAt) from before the stream.  A request without a time is refused; one that comes later than ``late`` gets no verdict.
+    Sets the session's state store to RocksDB.
+    """
+    spark = requests.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     kind = requests.schema["userId"].dataType.simpleString()
-    return rows.groupBy("userId").applyInPandasWithState(run, f"userId {kind}, id long, admitted boolean", "times array<bigint>", "append", GroupStateTimeout.NoTimeout)
+    at = F.coalesce(micros(F.col("createdAt")), F.lit(_NEVER)).alias("at")
+    # a row without a time has the oldest, which no watermark is behind
+    rows = requests.select("userId", F.col("id").cast("long").alias("id"), at, F.coalesce(F.col("createdAt").cast("timestamp"), F.current_timestamp()).alias("stamp")).withWatermark("stamp", late)
+    initial = None
+    if accepted is not None:
+        initial = accepted.filter("createdAt IS NOT NULL").select(F.col("userId").cast(kind).alias("userId"), micros(F.col("createdAt")).alias("at")).groupBy("userId")
+    return rows.groupBy("userId").transformWithStateInPandas(_Quota(limit, window, kind), f"userId {kind}, id long, admitted boolean", "Append", "EventTime", initialState=initial)
+
+
+def first_draws_by_time(requests: DataFrame, late: str = "24 hours") -> DataFrame:
+    """The first request by time, then id, of each user and UTC day of a stream, in whatever order its requests arrive.
+
+    It is sent when the watermark, ``late`` behind the latest request, has passed the day, and not before, as an earlier one might
+    come until then.  The state is one row a user and day that is open; what comes after its day was sent is dropped.
+    A request without a time is not part of any day.
+    """
+    row = F.struct(*[F.col(c) for c in requests.columns])
+    stamped = requests.withColumn("__at", F.col("createdAt").cast("timestamp")).withWatermark("__at", late)
+    days = stamped.groupBy("userId", F.window("__at", "1 day"))
+    return days.agg(F.min_by(row, F.struct("createdAt", "id")).alias("e")).select("e.*")
 
 
 def first_draws_stream(requests: DataFrame, late: str = "24 hours") -> DataFrame:
-    """The first request to arrive of each user and UTC day, of those that arrive in one batch the first by time, then id.
+    """The first request to arrive of each user and UTC day, of those that arrive in one batch the first by time, then id; sent at once.
 
-    The state is that a day has a draw; it goes once the watermark has passed the day.
+    The state is that a day has a draw; it goes once the watermark has passed the day.  ``first_draws_by_time`` waits for the first by time.
     """
     columns = requests.columns
 
