@@ -21,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.store import quoted, without, written
+from tidemark.llm.store import comparable, quoted, without, written
 
 #: What counts as one word.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -151,7 +151,7 @@ def mix_sources(
         F.xxhash64(F.col(quoted(text_col)), F.col(quoted(id_col))).alias("tie"),
     )
     # rows equal in all are interchangeable, so one stands for them until the end
-    same = sized.withColumn("json", F.to_json("kept")).groupBy("source", "key", "tie", "json", "size")
+    same = sized.withColumn("own", comparable(F.col("kept"), sized.schema["kept"].dataType)).groupBy("source", "key", "tie", "own", "size")
     sized = written(same.agg(F.first("kept").alias("kept"), F.count("*").alias("copies")).withColumn("words", F.col("size") * F.col("copies")), "mix-sizes")
     totals = sized.groupBy("source").agg(F.sum("words").alias("source_size"), F.sum("copies").alias("source_docs"))
     rows = totals.agg(F.sum("source_docs")).first()[0] or 0
@@ -175,7 +175,7 @@ def mix_sources(
         .drop("s")
         .withColumnsRenamed({c: f"of_{c}" for c in ("source", *cell)})
     )
-    within = Window.partitionBy("source", *cell).orderBy("key", "tie", "json", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source", *cell).orderBy("key", "tie", "own", "size").rowsBetween(Window.unboundedPreceding, -1)
     block = F.explode(F.sequence(F.lit(0), F.shiftright(F.col("copies") - 1, COPIES.bit_length() - 1)))
     copy = F.explode(F.sequence(F.col("block") * COPIES, F.least(F.col("copies"), (F.col("block") + 1) * COPIES) - 1))
     placed = (
