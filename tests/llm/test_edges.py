@@ -282,6 +282,40 @@ def test_licenses_of_real_headers(spark):
     assert {r["name"]: (r["licenses"], r["n_unmatched"]) for r in rows} == {n: ([n.strip()], 0) for n in texts}
 
 
+def test_license_expressions(spark):
+    texts = {
+        "GPL-2.0+": ["GPL-2.0-or-later"],
+        "LGPL-2.1+": ["LGPL-2.1-or-later"],
+        "GPL-2.0-or-later": ["GPL-2.0-or-later"],
+        "LGPL-2.1-or-later": ["LGPL-2.1-or-later"],
+        "GPL-2.0": ["GPL-2.0"],
+        "GPL-2.0-only": ["GPL-2.0"],
+        "MIT OR Apache-2.0": ["Apache-2.0", "MIT"],
+        "(MIT AND BSD-3-Clause)": ["MIT", "BSD-3-Clause"],
+        "Apache-2.0 WITH LLVM-exception": ["Apache-2.0", "LLVM-exception"],
+        "GPL-2.0+ OR (LGPL-3.0+ AND Zlib)": ["GPL-2.0-or-later", "LGPL-3.0-or-later", "Zlib"],
+        "BSL-1.0": ["BSL-1.0"],
+        "Zlib": ["Zlib"],
+        "Unlicense": ["Unlicense"],
+        "mit": ["MIT"],
+        "Nobody-Knows-9.9": [],
+    }
+    frame = spark.createDataFrame([(f"{mark} SPDX-License-Identifier: {e}{end}\ncode here", e, found) for e, found in texts.items() for mark, end in (("//", ""), ("/*", " */"), ("<!--", " -->"), ("#", "\r"))], "text string, expression string, expected array<string>")
+    wrong = [(r["expression"], r["licenses"]) for r in scan_licenses(frame.withColumn("said", F.col("text"))).collect() if set(r["licenses"]) != set(r["expected"])]
+    assert not wrong
+    # two tags in a file, and what stands after a tag's line
+    two = spark.createDataFrame([("/* SPDX-License-Identifier: MIT */\n# SPDX-License-Identifier: ISC\n\nReleased under the MIT License.",)], "text string")
+    assert set(scan_licenses(two).first()["licenses"]) == {"MIT", "ISC"}
+
+
+def test_holders_of_rights_may_have_any_name(spark):
+    bsd = BODIES["BSD-3-Clause"]
+    named = bsd.replace("the copyright holder nor the names of its", "Example Widgets nor the names of its").replace("BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS", "BY EXAMPLE WIDGETS AND FRIENDS")
+    regents = bsd.replace("the copyright holder nor the names of its", "the University nor the names of its").replace("THE COPYRIGHT HOLDERS AND CONTRIBUTORS", "THE REGENTS AND CONTRIBUTORS")
+    rows = scan_licenses(spark.createDataFrame([(1, bsd), (2, named), (3, regents)], "k long, text string")).collect()
+    assert {r["k"]: r["licenses"] for r in rows} == {1: ["BSD-3-Clause"], 2: ["BSD-3-Clause"], 3: ["BSD-3-Clause"]}
+
+
 # How the texts of licences stand in files, shortened where nothing is recognised.
 BODIES = {
     "GPL-3.0": """                    GNU GENERAL PUBLIC LICENSE

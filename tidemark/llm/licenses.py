@@ -45,6 +45,25 @@ NAMES = {
 # The forms of notices.
 NOTICES = ("Licensed under {}", "This work is licensed under {}", "This file is licensed under {}", "Released under {}", "Distributed under {}", "SPDX-License-Identifier: {}")
 
+# Short identifiers that stand after an SPDX tag besides those of ``NAMES``, in their own spelling.
+SPDX = (
+    *("0BSD", "AFL-3.0", "AGPL-1.0-or-later", "AGPL-3.0-or-later", "Apache-1.1", "Artistic-1.0", "Artistic-2.0", "BSD-1-Clause", "BSD-3-Clause-Clear", "BSD-4-Clause", "BSL-1.0"),
+    *("CC-BY-3.0", "CC-BY-SA-3.0", "CC-BY-NC-SA-4.0", "CC-BY-NC-ND-4.0", "CDDL-1.0", "CDDL-1.1", "CECILL-2.1", "CPL-1.0", "ECL-2.0", "EPL-1.0", "EPL-2.0", "EUPL-1.1", "EUPL-1.2"),
+    *("GPL-1.0-or-later", "GPL-2.0-or-later", "GPL-3.0-or-later", "HPND", "ICU", "JSON", "LGPL-2.0", "LGPL-2.0-or-later", "LGPL-2.1-or-later", "LGPL-3.0-or-later", "LPPL-1.3c"),
+    *("MIT-0", "MPL-1.1", "MS-PL", "MS-RL", "MulanPSL-2.0", "NCSA", "ODbL-1.0", "OFL-1.1", "OpenSSL", "OSL-3.0", "PostgreSQL", "PSF-2.0", "Python-2.0", "Ruby", "SSPL-1.0", "Unlicense", "UPL-1.0", "Vim", "W3C", "WTFPL", "X11", "Zlib", "ZPL-2.1"),
+    # what may stand after WITH
+    *("Autoconf-exception-3.0", "Bison-exception-2.2", "Classpath-exception-2.0", "Font-exception-2.0", "GCC-exception-3.1", "Linux-syscall-note", "LLVM-exception", "OpenSSL-exception", "Qt-LGPL-exception-1.1"),
+)
+
+#: The tag before a licence expression, and the sentence that stands for one identifier of it.
+TAG = "SPDX-License-Identifier:"
+
+# Where sentences name whoever holds the rights, after normalisation, and what stands there in the known ones.
+HOLDERS = (
+    (r"^neither the name of (?:the )?.{1,120}? nor the names of (?:its|the|their) contributors may", "neither the name of the copyright holder nor the names of its contributors may"),
+    (r"^this software is provided by (?:the )?.{1,120}? as is and any express", "this software is provided by the copyright holders and contributors as is and any express"),
+)
+
 # Sentences of licence texts and headers.
 TEXTS = {
     "apache-compliance": ('Licensed under the Apache License, Version 2.0 (the "License")', 'Licensed under the Apache License, Version 2.0 (the "License"), you may not use this file except in compliance with the License'),
@@ -181,6 +200,7 @@ RULES = (
     ("public-domain", ("public-domain",)),
     ("all-rights-reserved", ("all-rights",)),
     *((name, (f"ref-{name.lower()}",)) for name in NAMES),
+    *((name, (f"spdx-{name.lower()}",)) for name in SPDX),
 )
 
 #: A word of which each known sentence holds one; other sentences are not looked up.
@@ -193,15 +213,26 @@ _END = rf"[.!?;][^\p{{L}}\p{{N}}\x20\t\n\r]{{0,8}}{_WHITE}+|:{_WHITE}*\n{_WHITE}
 CUTS = (rf"{_END}|\n{_WHITE}*\n{_WHITE}*", rf"{_END}|{_WHITE}*\n{_WHITE}*")
 
 
+#: A sentence with an SPDX tag up to the end of the tag, and an identifier after it.
+TAGGED = r"(?is)^.*SPDX-Licen[sc]e-Identifier:"
+IDENTIFIER = r"[A-Za-z0-9][A-Za-z0-9.-]*[A-Za-z0-9]\+?"
+
+
 def normalized(sentence: str) -> str:
     """What ``_normal`` makes of a sentence, for the table of known ones."""
-    return " ".join("".join(c if c.isalnum() else " " for c in sentence.lower()).replace("licence", "license").split())
+    out = " ".join("".join(c if c.isalnum() else " " for c in sentence.lower()).replace("licence", "license").split())
+    for pattern, usual in HOLDERS:
+        out = re.sub(pattern, usual, out)
+    return out
 
 
 def _spelled() -> list[tuple[str, str]]:
     """The known sentences with their identifiers."""
     out = [(s, key) for key, sentences in TEXTS.items() for s in sentences]
-    return out + [(form.format(c), f"ref-{name.lower()}") for name, called in NAMES.items() for form in NOTICES for c in called]
+    out += [(form.format(c), f"ref-{name.lower()}") for name, called in NAMES.items() for form in NOTICES for c in called]
+    # a plus sign after a version is read as "or later"
+    spelled = [(name, f"ref-{name.lower()}") for name in NAMES] + [(name, f"spdx-{name.lower()}") for name in SPDX]
+    return out + [(f"{TAG} {name}", key) for name, key in spelled]
 
 
 def known() -> dict[str, str]:
@@ -216,13 +247,23 @@ def unreachable() -> list[str]:
 
 
 def _normal(sentence: Column) -> Column:
-    return F.replace(F.trim(F.regexp_replace(F.lower(sentence), r"[^\p{L}\p{N}]+", " ")), F.lit("licence"), F.lit("license"))
+    out = F.replace(F.trim(F.regexp_replace(F.lower(sentence), r"[^\p{L}\p{N}]+", " ")), F.lit("licence"), F.lit("license"))
+    for pattern, usual in HOLDERS:
+        out = F.when(out.rlike(pattern), F.regexp_replace(out, pattern, usual)).otherwise(out)
+    return out
+
+
+def _units(sentence: Column) -> Column:
+    """The sentence, or, after an SPDX tag, a sentence for each identifier of the expression; the words between these are no identifiers and are not known."""
+    names = F.regexp_extract_all(F.regexp_replace(sentence, TAGGED, ""), F.lit(IDENTIFIER), F.lit(0))
+    each = F.transform(names, lambda n: F.concat(F.lit(f"{TAG} "), F.regexp_replace(n, r"\+$", "-or-later")))
+    return F.when(sentence.rlike(TAGGED), each).otherwise(F.array(sentence))
 
 
 def _identified(text: Column, cut: str, table: dict[str, str]) -> Column:
     """Identifiers of the known sentences in order, each in angle brackets."""
     names = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
-    sentences = F.filter(F.transform(F.split(text, cut, -1), _normal), lambda s: s.rlike(GATE))
+    sentences = F.filter(F.transform(F.flatten(F.transform(F.split(text, cut, -1), _units)), _normal), lambda s: s.rlike(GATE))
     found = F.filter(F.transform(sentences, lambda s: F.try_element_at(names, s)), lambda i: i.isNotNull())
     return F.array_join(F.transform(found, lambda i: F.concat(F.lit("<"), i, F.lit(">"))), "")
 

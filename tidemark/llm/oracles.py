@@ -99,12 +99,21 @@ def _op4() -> str:
     cuts = ", ".join(f"({k}, {quote(cut)})" for k, cut in enumerate(_licenses.CUTS))
     rules = ", ".join(f"({k}, {quote(name)}, {quote(''.join(f'<{i}>' for i in run))})" for k, (name, run) in enumerate(_licenses.RULES))
     names = list(dict.fromkeys(name for name, _ in _licenses.RULES))
+
+    def holders(s: str) -> str:
+        for pattern, usual in _licenses.HOLDERS:
+            s = f"regexp_replace({s}, {quote(pattern)}, {quote(usual)})"
+        return s
+
     return rf"""
 WITH RECURSIVE known(s, i) AS (VALUES {sentences}), cuts(cut, how) AS (VALUES {cuts}), rules(k, name, run) AS (VALUES {rules}),
 units AS (SELECT doc_id, cut, unnest(parts) AS part, generate_subscripts(parts, 1) AS k
  FROM (SELECT doc_id, cut, CASE cut WHEN 0 THEN regexp_split_to_array(text, {quote(_licenses.CUTS[0])}) ELSE regexp_split_to_array(text, {quote(_licenses.CUTS[1])}) END AS parts FROM documents, cuts)),
-normal AS (SELECT doc_id, cut, k, replace(trim(regexp_replace(lower(part), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), 'licence', 'license') AS s FROM units),
-ids AS (SELECT doc_id, coalesce(string_agg('<' || i || '>', '' ORDER BY k) FILTER (cut = 0), '') AS over_ids, coalesce(string_agg('<' || i || '>', '' ORDER BY k) FILTER (cut = 1), '') AS within_ids
+tagged AS (SELECT doc_id, cut, k, CASE WHEN regexp_matches(part, {quote(_licenses.TAGGED)})
+ THEN list_transform(regexp_extract_all(regexp_replace(part, {quote(_licenses.TAGGED)}, ''), {quote(_licenses.IDENTIFIER)}), lambda n: {quote(_licenses.TAG)} || ' ' || regexp_replace(n, '\+$', '-or-later')) ELSE [part] END AS parts FROM units),
+pieces AS (SELECT doc_id, cut, k, unnest(parts) AS part, generate_subscripts(parts, 1) AS j FROM tagged),
+normal AS (SELECT doc_id, cut, k, j, {holders("replace(trim(regexp_replace(lower(part), '[^\\p{L}\\p{N}]+', ' ', 'g')), 'licence', 'license')")} AS s FROM pieces),
+ids AS (SELECT doc_id, coalesce(string_agg('<' || i || '>', '' ORDER BY k, j) FILTER (cut = 0), '') AS over_ids, coalesce(string_agg('<' || i || '>', '' ORDER BY k, j) FILTER (cut = 1), '') AS within_ids
  FROM normal JOIN known USING (s) GROUP BY doc_id),
 best AS (SELECT *, CASE WHEN length(within_ids) - length(replace(within_ids, '<', '')) > length(over_ids) - length(replace(over_ids, '<', '')) THEN within_ids ELSE over_ids END AS ids FROM ids),
 steps AS (SELECT ids, 0 AS k, ids AS rest, []::VARCHAR[] AS held FROM (SELECT over_ids AS ids FROM best UNION SELECT within_ids FROM best)
