@@ -7,8 +7,10 @@ is added.
 
 What could be added is by its nature what no fixed format matches, so the
 trees can't learn from the formats' own matches alone.  They learn from these rewritten, where they stand, into
-spellings that the formats miss (``REWRITTEN``), and from long mixed strings that
-are assigned to a name such as "token"; against all other candidates that touch no base span.
+spellings that the formats miss (``REWRITTEN``), from made-up secrets, and from made-up digests, identifiers, dates and numbers
+that only look like them (``PLANTED``), and from all other candidates that touch no base span.  What is made up carries its
+label by how it was made, not by a rule that the trees could repeat; candidates in the text that a name such as "token" speaks for
+are left out of training, as what they are is not known.
 
 All of it is DataFrame operations.  The trained trees become one SQL
 expression, so that a document is judged where it is read, without a shuffle.
@@ -19,7 +21,7 @@ their number.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
 from pyspark.ml.classification import GBTClassifier
@@ -45,15 +47,15 @@ BASE = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 
-_AT = r"(?:\x20?(?:@|[\[(]\x20?at\x20?[\])])\x20?|\x20at\x20(?=[a-z0-9-]++\x20dot\x20))"
-_DOT = r"(?:\x20?(?:\.|[\[(]\x20?dot\x20?[\])])\x20?|\x20dot\x20)"
+_AT = r"(?:\x20?(?:@|[\[({<]\x20?at\x20?[\])}>])\x20?|\x20at\x20(?=[a-z0-9-]++\x20dot\x20))"
+_DOT = r"(?:\x20?(?:\.|[\[({<]\x20?dot\x20?[\])}>])\x20?|\x20dot\x20)"
 _MIXED = "A-Za-z0-9_+/-"
 
 #: High-recall generators: written-out addresses, digits in loose groups, dotted numbers, long mixed strings.
 GENERATORS = {
     "address": rf"(?i)(?:\G|(?<![{_LOCAL}]))[{_LOCAL}]++{_AT}[a-z0-9-]++(?:{_DOT}[a-z0-9-]++)*+",
     "dotted": r"(?i)(?:\G|(?<![0-9]))[0-9]++(?:\x20?(?:[.:]|[\[(]\x20?(?:\.|dot)\x20?[\])])\x20?[0-9]++){3}+",
-    "number": r"[+(]?[0-9]++(?:[\x20()./-]{1,3}[0-9]++)*+",
+    "number": r"[+(]?[0-9]++(?:[\x20()./_-]{1,3}[0-9]++)*+",
     "secret": rf"(?<![{_MIXED}])[{_MIXED}]{{16,}}+",
 }
 
@@ -63,16 +65,16 @@ _NEEDS = {
     "ip": "[0-9]",
     "card": "[0-9]",
     "phone": r"\+[0-9]",
-    "address": r"(?i)@|[\[(]\x20?at\x20?[\])]|\x20at\x20[a-z0-9-]++\x20dot\x20",
+    "address": r"(?i)@|[\[({<]\x20?at\x20?[\])}>]|\x20at\x20[a-z0-9-]++\x20dot\x20",
     "number": "[0-9]",
     "dotted": "[0-9]",
     "secret": "[0-9][A-Za-z]|[A-Za-z][0-9]",
 }
-_NEEDS_ANY = r"(?i)[0-9@]|[\[(]\x20?at\x20?[\])]|\x20at\x20[a-z0-9-]++\x20dot\x20"
+_NEEDS_ANY = r"(?i)[0-9@]|[\[({<]\x20?at\x20?[\])}>]|\x20at\x20[a-z0-9-]++\x20dot\x20"
 
 # Words before a span that speak for or against it, and names that secrets are assigned to.
 _FOR = r"(?i)(?:mail|contact|write|phone|tel|call|fax|mobile|card|visa|account|host|server|address|ip)\W*$"
-_AGAINST = r"(?i)(?:version|v|ver|isbn|page|no|nr|chapter|section|id)\W*$"
+_AGAINST = r"(?i)(?:version|v|ver|isbn|issn|pages?|pp|no|nr|chapter|section|id|uuid|commit|sha\d*|md5|digest|checksum|etag|date|order|invoice|build|rev(?:ision)?|since|on)\W*$"
 _NAMED = r"(?i)(?:token|secret|password|passwd|credential|api[_-]?key|access[_-]?key|private[_-]?key)\W*$"
 _ASSIGNED = r"[:=]\s*[\"'`]?$"
 
@@ -203,7 +205,12 @@ FEATURES = {
     "letters": lambda c: _count(c["m"], r"\p{L}"),
     "dots": lambda c: _count(c["m"], r"\."),
     "spaces": lambda c: _count(c["m"], r"[\x20-]"),
-    "brackets": lambda c: _count(c["m"], r"[()\[\]]"),
+    "brackets": lambda c: _count(c["m"], r"[()\[\]{}<>]"),
+    "slashes": lambda c: _count(c["m"], "/"),
+    "capitals": lambda c: _count(c["m"], "[A-Z]"),
+    "hex": lambda c: c["m"].rlike("^[0-9a-f-]+$|^[0-9A-F-]+$").cast("int"),
+    "changes": lambda c: _count(c["m"], "[0-9](?=[A-Za-z])|[A-Za-z](?=[0-9])|[a-z](?=[A-Z])|[A-Z](?=[a-z])"),
+    "fours": lambda c: c["m"].rlike("^[0-9]{4}(?:[^0-9]+[0-9]{4})+$").cast("int"),
     "groups": lambda c: _count(c["m"], "[0-9]+"),
     "first_group": lambda c: F.length(F.regexp_extract(c["m"], "[0-9]+", 0)),
     "last_group": lambda c: F.length(F.regexp_extract(c["m"], "([0-9]+)[^0-9]*$", 1)),
@@ -278,9 +285,9 @@ def _spelled(m: Column, at: str, dot: str) -> Column:
 
 #: Spellings of a base match that no fixed format matches whole, and the generator that should propose them.
 REWRITTEN: dict[str, tuple[str, Callable[[Column], list[Column]]]] = {
-    "email": ("address", lambda m: [_spelled(m, "[at]", "[dot]"), _spelled(m, " (at) ", " (dot) "), _spelled(m, " at ", " dot "), _spelled(m, " @ ", " . "), _spelled(m, "(at)", ".")]),
+    "email": ("address", lambda m: [_spelled(m, "[at]", "[dot]"), _spelled(m, " [at] ", " [dot] "), _spelled(m, " (at) ", " (dot) "), _spelled(m, " {at} ", " {dot} "), _spelled(m, " at ", " dot "), _spelled(m, " @ ", " . "), _spelled(m, "(at)", ".")]),
     "ip": ("dotted", lambda m: [F.replace(m, F.lit("."), F.lit(by)) for by in ("[.]", "(dot)", " . ", "[dot]")]),
-    "card": ("number", lambda m: [_grouped(m, by) for by in (".", "/", " - ", "  ")]),
+    "card": ("number", lambda m: [_grouped(m, by) for by in (".", "/", " - ", "  ", "_")]),
     "phone": (
         "number",
         lambda m: [
@@ -294,6 +301,40 @@ REWRITTEN: dict[str, tuple[str, Callable[[Column], list[Column]]]] = {
 }
 
 
+def _mixed(h: Column, n: int) -> Column:
+    """Letters of both cases and digits, from a hash in hex."""
+    return F.left(F.regexp_replace(F.base64(F.unhex(F.concat(h, F.reverse(h)))), "[^A-Za-z0-9]", ""), F.lit(n))
+
+
+def _numeral(h: Column, start: int, n: int) -> Column:
+    return F.substring(F.translate(h, "abcdef", "123456"), start, n)
+
+
+def _joined(*parts: Column | str) -> Column:
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+
+
+def _date(h: Column, by: str) -> Column:
+    two = lambda at, most: F.lpad((F.conv(F.substring(h, at, 2), 16, 10).cast("int") % most + 1).cast("string"), 2, "0")
+    return _joined("20", F.lpad((F.conv(F.substring(h, 7, 2), 16, 10).cast("int") % 40).cast("string"), 2, "0"), by, two(1, 12), by, two(3, 28))
+
+
+#: What is made up from a hash in hex, by generator and label: what stands before it (nothing: what stood there anyway), and the string.
+PLANTED: list[tuple[str, int, list[tuple[str, Callable[[Column], Column]]]]] = [
+    ("secret", 1, [(before, make) for before in ("", "token: ", "api_key = \"", "password=", "secret: '", "Bearer ") for make in (lambda h: _mixed(h, 24), lambda h: _mixed(h, 40), lambda h: _joined("sk-", _mixed(h, 32)), lambda h: _joined("ghp_", _mixed(h, 36)), lambda h: _joined("AKIA", F.upper(_mixed(h, 16))))]),
+    # digits of a hash are a secret where they are called one
+    ("secret", 1, [(before, lambda h, n=n: F.left(h, F.lit(n))) for before in ("token = \"", "api_key: ", "password=", "secret = '", "access key: ", "credential ") for n in (24, 32, 40, 64)]),
+    ("secret", 0, [(before, make) for before in ("", "commit ", "sha256: ", "md5=", "uuid: ", "etag: \"", "id=", "file ") for make in (lambda h: F.left(h, F.lit(24)), lambda h: F.left(h, F.lit(32)), lambda h: F.left(h, F.lit(40)), lambda h: h, lambda h: _joined(F.substring(h, 1, 8), "-", F.substring(h, 9, 4), "-", F.substring(h, 13, 4), "-", F.substring(h, 17, 4), "-", F.substring(h, 21, 12)), lambda h: _joined("src/part", _numeral(h, 1, 2), "/main/page", _numeral(h, 3, 1)), lambda h: _joined("release-notes-v", _numeral(h, 1, 1), "-", _numeral(h, 2, 2)))]),
+    ("number", 0, [(before, lambda h: _joined("978-", _numeral(h, 1, 1), "-", _numeral(h, 2, 2), "-", _numeral(h, 4, 6), "-", _numeral(h, 10, 1))) for before in ("ISBN ", "isbn: ", "")]),
+    ("number", 0, [(before, make) for before in ("order ", "order no. ", "invoice ", "") for make in (lambda h: _joined(_date(h, ""), "-", _numeral(h, 9, 7)), lambda h: _joined(_numeral(h, 1, 4), "-", _numeral(h, 5, 6)), lambda h: _numeral(h, 1, 9))]),
+    ("number", 0, [(before, make) for before in ("date ", "on ", "since ", "") for make in (lambda h: _joined(_date(h, "-"), " ", _numeral(h, 9, 2)), lambda h: _date(h, "-"), lambda h: _date(h, "/"), lambda h: _joined(_date(h, "."), " - ", _date(F.reverse(h), ".")))]),
+    ("number", 0, [(before, make) for before in ("pp. ", "pages ", "no. ", "id ", "") for make in (lambda h: _joined(_numeral(h, 1, 4), "-", _numeral(h, 5, 4)), lambda h: _numeral(h, 1, 13), lambda h: _joined(_numeral(h, 1, 3), "/", _numeral(h, 4, 5)))]),
+    ("dotted", 0, [(before, make) for before in ("at ", "version ", "build ", "") for make in (lambda h: _joined(_numeral(h, 1, 2), ":", _numeral(h, 3, 2), ":", _numeral(h, 5, 2), ":", _numeral(h, 7, 3)), lambda h: _joined("3", _numeral(h, 1, 3), ".", _numeral(h, 4, 2), ".", _numeral(h, 6, 4), ".", _numeral(h, 10, 1)))]),
+    # digits of cards in fours are no address of a host
+    ("dotted", 0, [(before, lambda h: _joined("4", _numeral(h, 1, 3), ".", _numeral(h, 4, 4), ".", _numeral(h, 8, 4), ".", _numeral(h, 12, 4))) for before in ("card ", "")]),
+]
+
+
 def _drawn(docs: DataFrame, text_col: str, sample: int) -> DataFrame:
     """(kind, range, m, before, after) of base matches and of candidates that touch none: one for each kind and hash range."""
     text = F.col(quoted(text_col))
@@ -308,32 +349,44 @@ def _drawn(docs: DataFrame, text_col: str, sample: int) -> DataFrame:
     )
 
 
-def training_rows(drawn: DataFrame) -> DataFrame:
-    """(range, kind, y, features) from drawn matches: rewritten ones and secrets by name against the other candidates."""
-    kept = drawn.filter(F.col("kind").isin(*GENERATORS))
-    named = (F.col("kind") == "secret") & F.col("before").rlike(_ASSIGNED) & F.regexp_replace("before", _ASSIGNED, "").rlike(_NAMED)
-    out = kept.select("range", "kind", named.cast("int").alias("y"), "m", "before", "after")
-    for kind, (generator, spellings) in REWRITTEN.items():
+def _whole(rows: DataFrame, generator: str, y: int) -> DataFrame:
+    """(range, kind, y, m, before, after) of strings ``v`` that a generator proposes as they are."""
+    found = rows.select("range", "before", "v", F.explode(_found(F.concat("before", "v", "after"), generator)).alias("c"))
+    whole = found.filter((F.col("c.start") == F.length("before")) & (F.col("c.end") == F.length("before") + F.length("v")))
+    return whole.select("range", F.lit(generator).alias("kind"), F.lit(y).alias("y"), "c.m", "c.before", "c.after")
+
+
+def training_rows(drawn: DataFrame, rewritten: Mapping = REWRITTEN) -> DataFrame:
+    """(range, kind, y, features) from drawn matches: rewritten and made-up ones, and the other candidates."""
+    named = (F.col("kind") == "secret") & F.regexp_replace("before", _ASSIGNED, "").rlike(_NAMED)
+    kept = drawn.filter(F.col("kind").isin(*GENERATORS) & ~named)
+    out = kept.select("range", "kind", F.lit(0).alias("y"), "m", "before", "after")
+    for kind, (generator, spellings) in rewritten.items():
         spelled = drawn.filter(F.col("kind") == kind).select("range", "before", "after", F.explode(F.array(*spellings(F.col("m")))).alias("v")).filter("v <> ''")
-        found = spelled.select("range", "before", "v", F.explode(_found(F.concat("before", "v", "after"), generator)).alias("c"))
-        whole = found.filter((F.col("c.start") == F.length("before")) & (F.col("c.end") == F.length("before") + F.length("v")))
-        out = out.unionByName(whole.select("range", F.lit(generator).alias("kind"), F.lit(1).alias("y"), "c.m", "c.before", "c.after"))
+        out = out.unionByName(_whole(spelled, generator, 1))
+    hashed = drawn.select("range", "before", "after", F.sha2(F.concat("kind", "m", "before"), 256).alias("h"))
+    for k, (generator, y, made) in enumerate(PLANTED):
+        # one of the strings for each match that was drawn
+        each = F.array(*[F.struct(F.lit(before).alias("b"), make(F.col("h")).alias("v")) for before, make in made])
+        picked = hashed.withColumn("p", F.get(each, F.pmod(F.xxhash64("h", F.lit(k)), F.lit(len(made))).cast("int")))
+        placed = picked.select("range", F.when(F.col("p.b") == "", F.col("before")).otherwise(F.right(F.concat("before", F.lit(" "), "p.b"), F.lit(_AROUND))).alias("before"), "p.v", "after")
+        out = out.unionByName(_whole(placed, generator, y))
     return out.select("range", "kind", "y", *_features({c: F.col(c) for c in ("kind", "m", "before", "after")}))
 
 
-def fit_trees(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE, precision: float = 0.98, rounds: int = 12, depth: int = 4) -> Trees:
+def fit_trees(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE, precision: float = 0.98, rounds: int = 12, depth: int = 5, rewritten: Mapping = REWRITTEN) -> Trees:
     """Trees and thresholds from at most ``sample`` matches of ``docs``.
 
     Of each kind of base match and each generator's candidates one is drawn from each of
     ``sample`` / 8 hash ranges of what it and what stands before it look like, so reruns agree
     and repeated passages count once.  Three quarters of the ranges train; on the rest the threshold of
     each generator becomes the least margin from which on ``precision`` of the candidates are
-    rewritten matches or named secrets (those with equal margins stand or fall together).  A generator without such
+    rewritten matches or made-up secrets (those with equal margins stand or fall together).  A generator without such
     candidates adds nothing; without enough examples of both sorts nothing is ever added.
     """
     names = [f"f{k}" for k in range(len(FEATURES))]
     drawn = written(_drawn(docs, text_col, sample), "candidates")
-    rows = written(training_rows(drawn), "examples")
+    rows = written(training_rows(drawn, rewritten), "examples")
     rows = VectorAssembler(inputCols=names, outputCol="features").transform(rows.repartition(2, "range"))
     train, held = rows.filter("range % 4 <> 3"), rows.filter("range % 4 = 3")
     if min((r["n"] for r in train.groupBy("y").agg(F.count("*").alias("n")).collect()), default=0) < 8 or train.select("y").distinct().count() < 2:
@@ -388,7 +441,7 @@ def find_pii(docs: DataFrame, trees: Trees, text_col: str = "text", keep_text: b
     in ``KINDS``, then start.  ``spans``, by ``ALL_KINDS``, then start, are these and the candidates at or over
     their generator's threshold that overlap no base span; margins of different generators are not
     calibrated against each other, so where these overlap the first in ``GENERATORS`` stays.  Written-out
-    addresses count as email, dotted numbers as ip, numbers of 13 digits and more as card, others as phone,
+    addresses count as email, dotted numbers as ip, numbers of 16 digits and more as card, others as phone,
     mixed strings as secret.  Null and empty texts have no spans; texts are searched as a
     whole.  Repeated rows get equal answers.  Input columns with the name of a
     computed one are dropped, all others stay whatever they are called.  An empty table gives no rows.
@@ -403,10 +456,10 @@ def find_pii(docs: DataFrame, trees: Trees, text_col: str = "text", keep_text: b
         return rows.select("kept", base).select(*apart(keep), "base_spans", F.col("base_spans").alias("spans"))
 
     def scored(c: Column) -> Column:
-        digits = f"f{list(FEATURES).index('digits')}"
+        digits, checksum = (f"f{list(FEATURES).index(n)}" for n in ("digits", "checksum"))
 
         def judged(f: Column) -> Column:
-            kind = F.when(c["kind"] == "address", "email").when(c["kind"] == "dotted", "ip").when(c["kind"] == "secret", "secret").when(f[digits] >= 13, "card").otherwise("phone")
+            kind = F.when(c["kind"] == "address", "email").when(c["kind"] == "dotted", "ip").when(c["kind"] == "secret", "secret").when((f[checksum] == 1) | (f[digits] >= 16), "card").otherwise("phone")
             passed = _let(trees.margin(f), lambda m: trees.passes(c["kind"], m))
             return F.struct(c["start"].alias("start"), c["end"].alias("end"), F.when(passed, kind).alias("kind"), c["kind"].alias("by")).cast(_CHOSEN)
 
