@@ -195,18 +195,23 @@ def _count(m: Column, what: str) -> Column:
     return F.regexp_count(m, F.lit(what))
 
 
+def _unless_number(c, count: Column) -> Column:
+    """Which separators a number has is not looked at, so that it counts the same with one that was never seen."""
+    return F.when(c["kind"] == "number", 0).otherwise(count)
+
+
 #: Features by name, from a candidate.
 FEATURES = {
     "address": lambda c: (c["kind"] == "address").cast("int"),
     "dotted": lambda c: (c["kind"] == "dotted").cast("int"),
     "secret": lambda c: (c["kind"] == "secret").cast("int"),
-    "length": lambda c: F.length(c["m"]),
+    "length": lambda c: _unless_number(c, F.length(c["m"])),
     "digits": lambda c: _count(c["m"], "[0-9]"),
     "letters": lambda c: _count(c["m"], r"\p{L}"),
-    "dots": lambda c: _count(c["m"], r"\."),
-    "spaces": lambda c: _count(c["m"], r"[\x20-]"),
+    "dots": lambda c: _unless_number(c, _count(c["m"], r"\.")),
+    "spaces": lambda c: _unless_number(c, _count(c["m"], r"[\x20-]")),
     "brackets": lambda c: _count(c["m"], r"[()\[\]{}<>]"),
-    "slashes": lambda c: _count(c["m"], "/"),
+    "slashes": lambda c: _unless_number(c, _count(c["m"], "/")),
     "capitals": lambda c: _count(c["m"], "[A-Z]"),
     "hex": lambda c: c["m"].rlike("^[0-9a-f-]+$|^[0-9A-F-]+$").cast("int"),
     "changes": lambda c: _count(c["m"], "[0-9](?=[A-Za-z])|[A-Za-z](?=[0-9])|[a-z](?=[A-Z])|[A-Z](?=[a-z])"),
