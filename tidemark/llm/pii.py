@@ -21,7 +21,7 @@ their number.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml.classification import GBTClassifier
@@ -81,8 +81,9 @@ _ASSIGNED = r"[:=]\s*[\"'`]?$"
 #: Code points around a match that are looked at.
 _AROUND = 24
 
-#: Candidates at most that are drawn for training.
+#: Candidates at most that are drawn for training, and examples of each sort below which nothing is learnt.
 SAMPLE = 8192
+LEAST = 100
 
 #: Code points of the pieces from which a long text is put together again.
 _PIECE = 1024
@@ -324,19 +325,19 @@ def _date(h: Column, by: str) -> Column:
     return _joined("20", F.lpad((F.conv(F.substring(h, 7, 2), 16, 10).cast("int") % 40).cast("string"), 2, "0"), by, two(1, 12), by, two(3, 28))
 
 
-#: What is made up from a hash in hex, by generator and label: what stands before it (nothing: what stood there anyway), and the string.
-PLANTED: list[tuple[str, int, list[tuple[str, Callable[[Column], Column]]]]] = [
-    ("secret", 1, [(before, make) for before in ("", "token: ", "api_key = \"", "password=", "secret: '", "Bearer ") for make in (lambda h: _mixed(h, 24), lambda h: _mixed(h, 40), lambda h: _joined("sk-", _mixed(h, 32)), lambda h: _joined("ghp_", _mixed(h, 36)), lambda h: _joined("AKIA", F.upper(_mixed(h, 16))))]),
+#: What is made up from a hash in hex, by generator and label: what stands before it (nothing: what stood there anyway), and strings.
+PLANTED: list[tuple[str, int, tuple[str, ...], tuple[Callable[[Column], Column], ...]]] = [
+    ("secret", 1, ("", "token: ", 'api_key = "', "password=", "secret: '", "Bearer "), (lambda h: _mixed(h, 24), lambda h: _mixed(h, 40), lambda h: _joined("sk-", _mixed(h, 32)), lambda h: _joined("ghp_", _mixed(h, 36)), lambda h: _joined("AKIA", F.upper(_mixed(h, 16))))),
     # digits of a hash are a secret where they are called one
-    ("secret", 1, [(before, lambda h, n=n: F.left(h, F.lit(n))) for before in ("token = \"", "api_key: ", "password=", "secret = '", "access key: ", "credential ") for n in (24, 32, 40, 64)]),
-    ("secret", 0, [(before, make) for before in ("", "commit ", "sha256: ", "md5=", "uuid: ", "etag: \"", "id=", "file ") for make in (lambda h: F.left(h, F.lit(24)), lambda h: F.left(h, F.lit(32)), lambda h: F.left(h, F.lit(40)), lambda h: h, lambda h: _joined(F.substring(h, 1, 8), "-", F.substring(h, 9, 4), "-", F.substring(h, 13, 4), "-", F.substring(h, 17, 4), "-", F.substring(h, 21, 12)), lambda h: _joined("src/part", _numeral(h, 1, 2), "/main/page", _numeral(h, 3, 1)), lambda h: _joined("release-notes-v", _numeral(h, 1, 1), "-", _numeral(h, 2, 2)))]),
-    ("number", 0, [(before, lambda h: _joined("978-", _numeral(h, 1, 1), "-", _numeral(h, 2, 2), "-", _numeral(h, 4, 6), "-", _numeral(h, 10, 1))) for before in ("ISBN ", "isbn: ", "")]),
-    ("number", 0, [(before, make) for before in ("order ", "order no. ", "invoice ", "") for make in (lambda h: _joined(_date(h, ""), "-", _numeral(h, 9, 7)), lambda h: _joined(_numeral(h, 1, 4), "-", _numeral(h, 5, 6)), lambda h: _numeral(h, 1, 9))]),
-    ("number", 0, [(before, make) for before in ("date ", "on ", "since ", "") for make in (lambda h: _joined(_date(h, "-"), " ", _numeral(h, 9, 2)), lambda h: _date(h, "-"), lambda h: _date(h, "/"), lambda h: _joined(_date(h, "."), " - ", _date(F.reverse(h), ".")))]),
-    ("number", 0, [(before, make) for before in ("pp. ", "pages ", "no. ", "id ", "") for make in (lambda h: _joined(_numeral(h, 1, 4), "-", _numeral(h, 5, 4)), lambda h: _numeral(h, 1, 13), lambda h: _joined(_numeral(h, 1, 3), "/", _numeral(h, 4, 5)))]),
-    ("dotted", 0, [(before, make) for before in ("at ", "version ", "build ", "") for make in (lambda h: _joined(_numeral(h, 1, 2), ":", _numeral(h, 3, 2), ":", _numeral(h, 5, 2), ":", _numeral(h, 7, 3)), lambda h: _joined("3", _numeral(h, 1, 3), ".", _numeral(h, 4, 2), ".", _numeral(h, 6, 4), ".", _numeral(h, 10, 1)))]),
+    ("secret", 1, ('token = "', "api_key: ", "password=", "secret = '", "access key: ", "credential "), tuple(lambda h, n=n: F.left(h, F.lit(n)) for n in (24, 32, 40, 64))),
+    ("secret", 0, ("", "commit ", "sha256: ", "md5=", "uuid: ", 'etag: "', "id=", "file "), (*(lambda h, n=n: F.left(h, F.lit(n)) for n in (24, 32, 40, 64)), lambda h: F.regexp_replace(F.left(h, F.lit(32)), "^(.{8})(.{4})(.{4})(.{4})", "$1-$2-$3-$4-"), lambda h: _joined("src/part", _numeral(h, 1, 2), "/main/page", _numeral(h, 3, 1)), lambda h: _joined("release-notes-v", _numeral(h, 1, 1), "-", _numeral(h, 2, 2)))),
+    ("number", 0, ("ISBN ", "isbn: ", ""), (lambda h: _joined("978-", F.regexp_replace(_numeral(h, 1, 10), "^(.)(..)(.{6})", "$1-$2-$3-")),)),
+    ("number", 0, ("order ", "order no. ", "invoice ", ""), (lambda h: _joined(_date(h, ""), "-", _numeral(h, 9, 7)), lambda h: _joined(_numeral(h, 1, 4), "-", _numeral(h, 5, 6)), lambda h: _numeral(h, 1, 9))),
+    ("number", 0, ("date ", "on ", "since ", ""), (lambda h: _joined(_date(h, "-"), " ", _numeral(h, 9, 2)), lambda h: _date(h, "-"), lambda h: _date(h, "/"), lambda h: _joined(_date(h, "."), " - ", _date(F.reverse(h), ".")))),
+    ("number", 0, ("pp. ", "pages ", "no. ", "id ", ""), (lambda h: _joined(_numeral(h, 1, 4), "-", _numeral(h, 5, 4)), lambda h: _numeral(h, 1, 13), lambda h: _joined(_numeral(h, 1, 3), "/", _numeral(h, 4, 5)))),
+    ("dotted", 0, ("at ", "version ", "build ", ""), (lambda h: F.regexp_replace(_numeral(h, 1, 9), "^(..)(..)(..)", "$1:$2:$3:"), lambda h: _joined("3", F.regexp_replace(_numeral(h, 1, 10), "^(...)(..)(....)", "$1.$2.$3.")))),
     # digits of cards in fours are no address of a host
-    ("dotted", 0, [(before, lambda h: _joined("4", _numeral(h, 1, 3), ".", _numeral(h, 4, 4), ".", _numeral(h, 8, 4), ".", _numeral(h, 12, 4))) for before in ("card ", "")]),
+    ("dotted", 0, ("card ", ""), (lambda h: _joined("4", F.regexp_replace(_numeral(h, 1, 15), "^(...)(....)(....)", "$1.$2.$3.")),)),
 ]
 
 
@@ -354,28 +355,37 @@ def _drawn(docs: DataFrame, text_col: str, sample: int) -> DataFrame:
     )
 
 
-def _whole(rows: DataFrame, generator: str, y: int) -> DataFrame:
-    """(range, kind, y, m, before, after) of strings ``v`` that a generator proposes as they are."""
-    found = rows.select("range", "before", "v", F.explode(_found(F.concat("before", "v", "after"), generator)).alias("c"))
-    whole = found.filter((F.col("c.start") == F.length("before")) & (F.col("c.end") == F.length("before") + F.length("v")))
-    return whole.select("range", F.lit(generator).alias("kind"), F.lit(y).alias("y"), "c.m", "c.before", "c.after")
+def _strings(drawn: DataFrame, rewritten: Mapping) -> DataFrame:
+    """(range, kind, y, before, v, after): rewritten and made-up strings ``v``, and the generator that should propose them."""
+    out = None
+    for kind, (generator, spellings) in rewritten.items():
+        spelled = drawn.filter(F.col("kind") == kind).select("range", F.lit(generator).alias("kind"), F.lit(1).alias("y"), "before", F.explode(F.array(*spellings(F.col("m")))).alias("v"), "after")
+        out = spelled if out is None else out.unionByName(spelled)
+    hashed = drawn.select("range", "before", "after", F.sha2(F.concat("kind", "m", "before"), 256).alias("h"))
+
+    def one(k: int, salt: str, of: Sequence[Column]) -> Column:
+        """One of some values, by hash."""
+        return F.get(F.array(*of), F.pmod(F.xxhash64("h", F.lit(f"{salt}{k}")), F.lit(len(of))).cast("int"))
+
+    made = []
+    for k, (generator, y, befores, makes) in enumerate(PLANTED):
+        made.append(F.struct(F.lit(generator).alias("kind"), F.lit(y).alias("y"), one(k, "before", [F.lit(b) for b in befores]).alias("b"), one(k, "string", [make(F.col("h")) for make in makes]).alias("v")))
+    each = hashed.select("range", "before", "after", F.explode(F.array(*made)).alias("p"))
+    before = F.when(F.col("p.b") == "", F.col("before")).otherwise(F.right(F.concat("before", F.lit(" "), "p.b"), F.lit(_AROUND)))
+    return out.unionByName(each.select("range", "p.kind", "p.y", before.alias("before"), "p.v", "after")).filter("v <> ''")
 
 
 def training_rows(drawn: DataFrame, rewritten: Mapping = REWRITTEN) -> DataFrame:
-    """(range, kind, y, features) from drawn matches: rewritten and made-up ones, and the other candidates."""
+    """(range, kind, y, features) from drawn matches: rewritten and made-up ones that a generator proposes as they are, and the other candidates."""
     named = (F.col("kind") == "secret") & F.regexp_replace("before", _ASSIGNED, "").rlike(_NAMED)
     kept = drawn.filter(F.col("kind").isin(*GENERATORS) & ~named)
     out = kept.select("range", "kind", F.lit(0).alias("y"), "m", "before", "after")
-    for kind, (generator, spellings) in rewritten.items():
-        spelled = drawn.filter(F.col("kind") == kind).select("range", "before", "after", F.explode(F.array(*spellings(F.col("m")))).alias("v")).filter("v <> ''")
-        out = out.unionByName(_whole(spelled, generator, 1))
-    hashed = drawn.select("range", "before", "after", F.sha2(F.concat("kind", "m", "before"), 256).alias("h"))
-    for k, (generator, y, made) in enumerate(PLANTED):
-        # one of the strings for each match that was drawn
-        each = F.array(*[F.struct(F.lit(before).alias("b"), make(F.col("h")).alias("v")) for before, make in made])
-        picked = hashed.withColumn("p", F.get(each, F.pmod(F.xxhash64("h", F.lit(k)), F.lit(len(made))).cast("int")))
-        placed = picked.select("range", F.when(F.col("p.b") == "", F.col("before")).otherwise(F.right(F.concat("before", F.lit(" "), "p.b"), F.lit(_AROUND))).alias("before"), "p.v", "after")
-        out = out.unionByName(_whole(placed, generator, y))
+    strings = written(_strings(drawn, rewritten), "strings")
+    for generator in GENERATORS:
+        found = strings.filter(F.col("kind") == generator).select("range", "kind", "y", "before", "v", F.explode(_found(F.concat("before", "v", "after"), generator)).alias("c"))
+        whole = found.filter((F.col("c.start") == F.length("before")) & (F.col("c.end") == F.length("before") + F.length("v")))
+        out = out.unionByName(whole.select("range", "kind", "y", "c.m", "c.before", "c.after"))
+    out = written(out, "proposed")  # so that the driver plans one step at a time
     return out.select("range", "kind", "y", *_features({c: F.col(c) for c in ("kind", "m", "before", "after")}))
 
 
@@ -394,7 +404,7 @@ def fit_trees(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE, pre
     rows = written(training_rows(drawn, rewritten), "examples")
     rows = VectorAssembler(inputCols=names, outputCol="features").transform(rows.repartition(2, "range"))
     train, held = rows.filter("range % 4 <> 3"), rows.filter("range % 4 = 3")
-    if min((r["n"] for r in train.groupBy("y").agg(F.count("*").alias("n")).collect()), default=0) < 8 or train.select("y").distinct().count() < 2:
+    if min((r["n"] for r in train.groupBy("y").agg(F.count("*").alias("n")).collect()), default=0) < LEAST or train.select("y").distinct().count() < 2:
         return Trees()
     model = GBTClassifier(labelCol="y", maxIter=rounds, maxDepth=depth, seed=1).fit(train)
     trees = Trees(tuple(_read_tree([x for x in t.toDebugString.splitlines()[1:] if x.strip()]) for t in model.trees), tuple(model.treeWeights))
