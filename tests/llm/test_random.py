@@ -5,11 +5,12 @@ from __future__ import annotations
 import hashlib
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.test_contract import repeated_bytes
-from tidemark.llm import mixing, simhash
+from tidemark.llm import mixing, packed, repeats, simhash, substrings
 from tidemark.llm.decontamination import find_contamination
 from tidemark.llm.repeats import maximal_repeats, remove_repeated_bytes
 from tidemark.llm.substrings import remove_repeats
@@ -41,7 +42,7 @@ def test_fingerprints_of_texts_in_pieces(monkeypatch):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-def test_repeats_of_few_words(spark, seed):
+def test_repeats_of_few_words(spark, seed, monkeypatch):
     given = texts(seed, 150)
     seen, expected = set(), {}
     for k, text in sorted(given.items()):
@@ -55,7 +56,8 @@ def test_repeats_of_few_words(spark, seed):
         expected[k] = (len(words), sum(gone), " ".join(w for w, g in zip(words, gone, strict=True) if not g))
     frame = spark.createDataFrame(list(given.items()), "doc_id long, text string").repartition(5)
     size = sum(map(len, given.values()))
-    for part_bytes in (size, size // 2000):
+    for part_bytes, chunk_words in ((size, 2 << 20), (size // 2000, 2 << 20), (size // 2000, 500)):  # small chunks: these and parts grow
+        monkeypatch.setattr(substrings, "CHUNK_WORDS", chunk_words)
         got = {r["id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in remove_repeats(frame, part_bytes=part_bytes).collect()}
         assert got == expected and any(n for _, n, _ in expected.values())
 
@@ -140,18 +142,43 @@ def test_maximal_repeats_match_all_pairs():
             assert set(got) == expected and len(got) == len(expected)
 
 
-def test_repeated_bytes_in_two_and_in_very_many_parts(spark):
+def test_repeated_bytes_in_two_and_in_very_many_parts(spark, monkeypatch):
     rnd = random.Random(9)
     word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(5))
     passage = " ".join(word() for _ in range(80))
     given = {k: " ".join(word() for _ in range(30)) + passage[: rnd.randrange(150, 400)] + " ".join(word() for _ in range(30)) for k in range(40)}
     frame = spark.createDataFrame(list(given.items()), "doc_id long, text string").repartition(3)
     size = sum(map(len, given.values()))
-    for crowd, part_bytes in ((4096, size), (4096, size // 2000), (3, size // 2000)):
+    for crowd, part_bytes, chunk_bytes in ((4096, size, 8 << 20), (4096, size // 2000, 8 << 20), (3, size // 2000, 8 << 20), (4096, size // 2000, 2000)):
+        monkeypatch.setattr(repeats, "CHUNK_BYTES", chunk_bytes)
         rows = remove_repeated_bytes(frame, crowd=crowd, part_bytes=part_bytes).withColumn("d", F.sha2("kept", 256)).collect()
         assert {r["id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["d"]) for r in rows} == repeated_bytes(given)
 
 
+def test_rows_stay_in_proportion_to_the_text():
+    rnd = random.Random(4)
+    words = [f"w{k}" for k in range(9000)]
+    rows = {"words": [], "bytes": []}
+    for parts in (1, 20, 200, 2000):
+        docs = [" ".join(rnd.choices(words, k=500)).encode() for _ in range(parts if parts > 1 else 4)]
+        frame = pa.RecordBatch.from_arrays([pa.array(range(len(docs))), pa.array([bytes(16)] * len(docs)), pa.array([d.decode() for d in docs])], names=["id", "hash", "text"])
+        size, part_bytes = sum(map(len, docs)), len(docs[0])
+        for name, chunk_keys, made in (
+            ("words", 4000, lambda n, grown: substrings._probe_chunks(n, int(4000 * grown))),
+            ("bytes", 400, lambda n, grown: repeats._offer_chunks(n, int(400 * grown * repeats._SPACING))),
+        ):
+            n, grown = packed.sizes(size, 1, chunk_keys, part_bytes)
+            rows[name].append(sum(b.num_rows for b in made(n, grown)(iter([frame]))) / size)
+    # one part gives fewest rows; from then on a row holds about as many keys however many parts there are
+    for per_byte, bytes_a_key in ((rows["words"], 6), (rows["bytes"], repeats._SPACING)):
+        assert all(x * bytes_a_key * packed.ROW_KEYS < 2 for x in per_byte)
+        assert per_byte[-1] < 1.5 * per_byte[-2]
+    # sizes of tables that fit a machine stay as they are
+    assert packed.sizes(1 << 40, 200, 2 << 20) == (packed.parts_of(1 << 40, 200), 1.0)
+    parts, grown = packed.sizes(100 << 40, 200, 2 << 20)
+    assert 5 < grown < 10 and abs(grown * (2 << 20) / parts - packed.ROW_KEYS) < 1
+
+
 def test_mix_of_rows_that_share_an_id(spark, monkeypatch):
     monkeypatch.setattr(mixing, "RANGE_DOCS", 4)
     monkeypatch.setattr(mixing, "CROWDED", 2)

@@ -6,13 +6,15 @@ row of arrays; a key costs a few bytes, not a row.  However often a key
 occurs, a chunk sends it once, so no part grows with the copies of one passage.
 Answers go back to the chunk, which knows its documents.
 
-The number of parts follows from the bytes of the input, so a part stays about as large however
-large the input is; several share a partition, which Spark sorts by part (and spills),
-so a task holds one part at a time.
+The number of parts follows from the bytes of the input, and several share a partition, which Spark sorts by part
+(and spills), so a task holds one part at a time.  A part stays as large however large the input is, until a chunk's
+keys would be spread over so many parts that a row held few of them; beyond that, parts and chunks both grow with the
+square root of the input, so the rows that move stay in proportion to the text.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -31,12 +33,22 @@ LOCAL = -1
 #: Bytes of text whose keys make one part, about.
 PART_BYTES = 32 << 20
 
+#: Keys that a chunk sends to a part in a row, on average at least, where tasks read enough to fill their chunks.
+ROW_KEYS = 32
+
 
 def parts_of(size: int, partitions: int, part_bytes: int = PART_BYTES) -> int:
     """Parts for texts of ``size`` bytes: a multiple of the partitions."""
     return partitions * max(1, -(-size // (partitions * part_bytes)))
 
 
+def sizes(size: int, partitions: int, chunk_keys: float, part_bytes: int = PART_BYTES) -> tuple[int, float]:
+    """Parts for texts of ``size`` bytes, and how much larger chunks must be than those of ``chunk_keys`` keys, so that rows hold ``ROW_KEYS``."""
+    grown = max(1.0, math.sqrt(ROW_KEYS * parts_of(size, partitions, part_bytes) / chunk_keys))
+    parts = parts_of(size, partitions, int(part_bytes * grown))
+    return parts, max(1.0, ROW_KEYS * parts / chunk_keys)
+
+
 def alike(keys: np.ndarray, more: np.ndarray, *ties: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The order by (keys, more, ties), and which of it equal the one before in both halves of the hash."""
     for halves in ((keys,), (more, keys)):  # equal first halves with unequal second ones are next to impossible

@@ -42,9 +42,12 @@ GRAM = 32
 #: Occurrences of an anchor beyond which its windows are counted instead.
 CROWD = 4096
 
-#: Bytes of text of a chunk, about, and of text around anchors that a task sends at a time.
+#: Bytes of text of a chunk, about, unless there are very many parts (see ``packed.sizes``), and of text around anchors that a task sends at a time.
 CHUNK_BYTES = 8 << 20
 
+#: Bytes of text for each anchor, about: the least of so many hashes changes twice in as many places.
+_SPACING = (WINDOW - GRAM + 2) / 2
+
 #: Windows that are ranked at a time; a power of two.
 _SEGMENT = 1 << 17
 
@@ -122,7 +125,7 @@ def _offer(keys: np.ndarray, at: np.ndarray, docs: packed.Docs, chunk: int, part
         yield packed.message(chunk, p, short[members].tobytes(), packed.planes(at[first[members]]), sparse.tobytes())
 
 
-def _offer_chunks(parts: int):
+def _offer_chunks(parts: int, chunk_bytes: int):
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def messages() -> Iterator[tuple]:
             numbers = packed.chunk_numbers()
@@ -150,10 +153,10 @@ def _offer_chunks(parts: int):
                     border.append(border[-1] + len(text))
                     piece.append(text)
                     size += len(text)
-                    if size >= 1 << 20 or border[-1] >= CHUNK_BYTES:
+                    if size >= 1 << 20 or border[-1] >= chunk_bytes:
                         take()
                         size = 0
-                    if border[-1] >= CHUNK_BYTES:
+                    if border[-1] >= chunk_bytes:
                         yield from flush()
                         ids, hashes, border, found = [], [], [0], []
             if piece:
@@ -518,12 +521,15 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
     spread = partitions(docs.sparkSession)
     rows = packed.keyed(docs, id_col, text_col)
     known = written(rows.groupBy("id", "hash").agg(F.count("*").alias("rows"), F.first(F.octet_length("text")).alias("bytes")), "known")
-    parts = packed.parts_of(known.agg(F.sum("bytes")).first()[0] or 0, spread, part_bytes)
+    size = known.agg(F.sum("bytes")).first()[0] or 0
+    # anchors are small, so their parts grow; texts around them fill a row each
+    offered, grown = packed.sizes(size, spread, CHUNK_BYTES / _SPACING, part_bytes)
+    parts = packed.parts_of(size, spread, part_bytes)
     heads = known.groupBy(F.col("hash").alias("of")).agg(F.min("id").alias("head"), F.sum("rows").alias("n"))
     heads = written(heads.filter("n > 1"), "heads")  # apart from the grouping, so that the join can split a hash with many copies
     copies = written(known.join(heads, F.col("hash") == F.col("of")).select("id", "hash", (F.col("id") == F.col("head")).alias("stands")), "copies")
 
-    offers = packed.dealt(rows.mapInArrow(_offer_chunks(parts), packed.MESSAGE), spread)
+    offers = packed.dealt(rows.mapInArrow(_offer_chunks(offered, int(CHUNK_BYTES * grown)), packed.MESSAGE), spread)
     hits = offers.mapInArrow(_occurs_again(crowd), packed.ANSWER).groupBy("chunk").applyInArrow(_anchored, _ANCHORED)
     hits = written(hits, "anchors").dropDuplicates(["id", "hash"]).join(copies.filter(~F.col("stands")), ["id", "hash"], "left_anti")
 

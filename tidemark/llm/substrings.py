@@ -28,7 +28,7 @@ from tidemark.llm.words import CACHE_WORDS, WordHashes, chunks, rolling
 WINDOW = 20
 BLOCK = 10
 
-#: Words of the documents of a chunk, about.
+#: Words of the documents of a chunk, about, unless there are very many parts (see ``packed.sizes``).
 CHUNK_WORDS = 2 << 20
 
 
@@ -74,7 +74,7 @@ def _probes(h: np.ndarray, docs: packed.Docs, chunk: int, parts: int) -> Iterato
         yield packed.message(chunk, p, short[members].tobytes(), packed.planes(at[first[members]]))
 
 
-def _probe_chunks(parts: int):
+def _probe_chunks(parts: int, chunk_words: int):
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def messages() -> Iterator[tuple]:
             numbers, cache = packed.chunk_numbers(), WordHashes()
@@ -92,7 +92,7 @@ def _probe_chunks(parts: int):
                 hashes.append(hash_)
                 held.append(own)
                 size += len(own)
-                if size >= CHUNK_WORDS:
+                if size >= chunk_words:
                     yield from flush()
                     ids, hashes, held, size = [], [], [], 0
             if held:
@@ -168,7 +168,7 @@ class _Digests(dict):
         return both[:, 0].copy(), both[:, 1].copy()
 
 
-def _window_chunks(parts: int):
+def _window_chunks(parts: int, chunk_words: int):
     """Messages of a chunk of candidate windows: both halves of a 128-bit hash; where each is first."""
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,7 +205,7 @@ def _window_chunks(parts: int):
                 hashes.append(hash_)
                 border.append(border[-1] + len(words))
                 size += len(places) + len(words) // 4
-                if size >= CHUNK_WORDS // 2:
+                if size >= chunk_words // 2:
                     yield from flush()
                     ids, hashes, border, held, size = [], [], [0], [], 0
             if held:
@@ -299,18 +299,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spread = partitions(docs.sparkSession)
     rows = packed.keyed(docs, id_col, text_col)
     known = written(rows.select("id", "hash", F.octet_length("text").alias("bytes")).distinct(), "known")
-    parts = packed.parts_of(known.agg(F.sum("bytes")).first()[0] or 0, spread, part_bytes)
+    parts, grown = packed.sizes(known.agg(F.sum("bytes")).first()[0] or 0, spread, CHUNK_WORDS, part_bytes)
+    chunk_words = int(CHUNK_WORDS * grown)
     heads = known.groupBy(F.col("hash").alias("of")).agg(F.min("id").alias("head"), F.count("*").alias("n"))
     heads = written(heads.filter("n > 1"), "heads")  # apart from the grouping, so that the join can split a hash with many copies
     copies = written(known.join(heads, F.col("hash") == F.col("of")).filter("id <> head").select("id", "hash"), "copies")
 
-    probes = packed.dealt(rows.mapInArrow(_probe_chunks(parts), packed.MESSAGE), spread)
+    probes = packed.dealt(rows.mapInArrow(_probe_chunks(parts, chunk_words), packed.MESSAGE), spread)
     hits = packed.gathered(probes.mapInArrow(_match, packed.ANSWER), _candidates)
     hits = written(hits, "hits").dropDuplicates(["id", "hash"]).join(copies, ["id", "hash"], "left_anti")
 
     # dealt before the join, so that equal rows meet in one task whichever way Spark joins
     near = rows.repartition("id", "hash").join(hits, ["id", "hash"]).select("id", "hash", "starts", "ends", "text").sortWithinPartitions("id", "hash")
-    windows = packed.dealt(near.mapInArrow(_window_chunks(parts), packed.MESSAGE), spread)
+    windows = packed.dealt(near.mapInArrow(_window_chunks(parts, chunk_words), packed.MESSAGE), spread)
     gone = written(packed.gathered(windows.mapInArrow(_later, packed.ANSWER), _covered), "gone")
     gone = gone.withColumn("copy", F.lit(False)).unionByName(copies.withColumn("copy", F.lit(True)), allowMissingColumns=True)
     cut = rows.join(gone, ["id", "hash"], "left").select(F.col("own").alias("id"), "starts", "ends", F.coalesce("copy", F.lit(False)).alias("copy"), "text")
