@@ -101,3 +101,33 @@ def test_stream_and_batch_agree_on_ties_and_edges(spark, tmp_path):
     frame = spark.createDataFrame(rows, ROW)
     got, _ = Feed(spark, tmp_path, stateful.admit_stream).take(frame)
     assert {r[1]: r[2] for r in got} == {r["id"]: r["admitted"] for r in admission.admit(frame).collect()}
+
+
+def test_first_draws_to_arrive(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stateful, "_GATHER", 10)
+    rng = random.Random(3)
+    rows = [(f"u{rng.randrange(3)}", k, T0 + timedelta(hours=rng.randrange(24 * 3))) for k in range(400)]
+    rows += [(None, 900 + k, T0) for k in (1, 0)] + [("u9", 950, None)]
+    rng.shuffle(rows)
+    feed = Feed(spark, tmp_path, lambda s: stateful.first_draws_stream(s, "10 days"))
+    first = lambda some: {tuple(r) for r in draws.first_of_day(spark.createDataFrame([r for r in some if r[2] is not None], ROW)).collect()}
+    sent, state = feed.take(rows[:200])
+    assert set(sent) == first(rows[:200]) and state == len(sent)
+    days = {(r[0], r[2].date()) for r in sent}
+    sent, _ = feed.take(rows[200:])  # what was sent stands, though earlier ones come
+    assert set(sent) == {r for r in first(rows[200:]) if (r[0], r[2].date()) not in days}
+    # no function is called for a single user or day: that took longer than all else
+    plan = feed.run(spark.readStream.schema(ROW).parquet(f"{feed.path}/in"))._jdf.queryExecution().analyzed().toString()
+    assert "Deduplicate" in plan and "FlatMapGroups" not in plan
+
+
+def test_first_draws_keep_days_for_as_long_as_late_requests_may_come(spark, tmp_path):
+    feed = Feed(spark, tmp_path, lambda s: stateful.first_draws_stream(s, "2 hours"))
+    midnight = T0.replace(hour=0) + timedelta(days=1)
+    assert len(feed.take([("a", 1, T0), ("b", 2, T0)])[0]) == 2
+    feed.take([("c", 3, midnight + timedelta(minutes=5))])
+    sent, state = feed.take([("a", 4, midnight - timedelta(minutes=100)), ("d", 5, midnight - timedelta(minutes=100))])
+    assert [r[1] for r in sent] == [5] and state == 4  # within two hours of the latest
+    feed.take([("c", 6, midnight + timedelta(days=2, hours=3))])
+    sent, state = feed.take([("e", 7, midnight - timedelta(minutes=1))])
+    assert sent == [] and state == 1
