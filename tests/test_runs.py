@@ -6,6 +6,7 @@ import json
 import threading
 import time
 from collections import Counter
+from contextlib import closing
 from datetime import datetime, timedelta
 
 import pytest
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import json as J
 from tidemark.operators import admission, carried
 from tidemark.plans import interpretation, runs
-from tidemark.plans.rounds import LATE, ask_all
+from tidemark.plans.rounds import LATE, Calls, ask_all
 from tidemark.sources import entries as S
 from tidemark.sources.commits import CommitLog
 
@@ -330,3 +331,51 @@ def test_draw_runs_give_one_draw_a_day(spark, tmp_path):
     # the latest of the day, which readers look up, is the one that was kept
     entries = log.table("entries").filter((F.col("userId") == "a") & (F.col("type") == "TAROT"))
     assert entries.orderBy(F.desc("createdAt")).first()["id"] == answers[0]["draw_id"]
+
+
+def test_threads_are_made_once_a_task_and_not_for_each_round():
+    asked_by = set()
+
+    def model(prompts):
+        asked_by.add(threading.current_thread())
+        return [f"re {prompts[0]}"]
+
+    with closing(Calls(model, at_once=4)) as calls:
+        for k in range(200):
+            said = [f"{k} {j}" for j in range(5)]
+            assert calls.ask(said) == [(f"re {p}", None) for p in said]
+        assert calls.ask([]) == []
+    assert len(asked_by) <= 4
+    for t in asked_by:
+        t.join(10)
+    assert not any(t.is_alive() for t in asked_by)  # none is left when the task ends
+
+
+def test_threads_that_hang_are_replaced_in_later_rounds():
+    def model(prompts):
+        time.sleep(2 if prompts[0] == "hang" else 0.01)
+        return prompts
+
+    with closing(Calls(model, at_once=3, seconds=0.2)) as calls:
+        assert [f for _, f in calls.ask(["hang"] * 3 + ["a", "b"])] == [LATE] * 3 + [None] * 2
+        began = time.monotonic()
+        assert calls.ask(["x"] * 30) == [("x", None)] * 30 and time.monotonic() - began < 1.5
+        assert [f for _, f in calls.ask(["y", "hang", "z"])] == [None, LATE, None]
+
+
+def test_small_runs_ask_the_groups_of_a_task_together(spark):
+    def model(prompts):
+        time.sleep(0.5)
+        return [GOOD for _ in prompts]
+
+    rows = requests(spark, [(k, f"u{k}", k / 1000) for k in range(800)])
+    began = time.monotonic()
+    made = interpretation.interpret(rows, model, "{text}")
+    took = time.monotonic() - began
+    assert set(statuses(made).values()) == {200} and took < 20  # in shares of a 64th they were asked by ones and twos, which took 25 seconds and more
+
+
+def test_bodies_are_read_once(spark):
+    made = interpretation.interpret(requests(spark, [(1, "a", 0), (2, "", 0), (3, "a", None)]), good_model, "{text}")
+    plan = made.answers._jdf.queryExecution().optimizedPlan().toString()
+    assert statuses(made) == {1: 200, 2: 400, 3: 400} and "raw_body" not in plan

@@ -24,15 +24,16 @@ DRAWS = "userId string, day timestamp_ntz, at long, own string, entry string"
 
 @dataclass(frozen=True)
 class Span:
-    """The first and the last time of a run's requests; None if it has none."""
+    """The first and the last time of a run's requests, None if it has none, and how many it has."""
 
     first: datetime | None
     last: datetime | None
+    size: int = 0
 
 
 def span(requests: DataFrame, time_col: str) -> Span:
-    row = requests.agg(F.min(time_col).alias("a"), F.max(time_col).alias("b")).first()
-    return Span(row["a"], row["b"])
+    row = requests.agg(F.min(time_col).alias("a"), F.max(time_col).alias("b"), F.count("*").alias("n")).first()
+    return Span(row["a"], row["b"], row["n"])
 
 
 def since(entries: DataFrame, kind: str, first: datetime | None, users: DataFrame, user_col: str = "user_id") -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import closing
 from dataclasses import dataclass
 
 import pandas as pd
@@ -16,7 +17,7 @@ from tidemark.functions.times import day_end, day_start
 from tidemark.operators import cards, carried
 from tidemark.operators.admission import HOURS, LIMIT, micros
 from tidemark.operators.history import orientation
-from tidemark.plans.rounds import AT_ONCE, SECONDS, Judge, Model, ask_all, in_rounds
+from tidemark.plans.rounds import AT_ONCE, SECONDS, Calls, Judge, Model, in_rounds
 from tidemark.sources.entries import draw_rows, dream_rows, entry_object
 from tidemark.sources.schemas import ENTRY, FORTUNE, SYMBOLS
 from tidemark.sources.staging import staged
@@ -64,10 +65,11 @@ def asked(rows: DataFrame, model: Model | None, prompt_col: str = "prompt", at_o
     schema = T.StructType([*rows.schema.fields, T.StructField("reply", T.StringType()), T.StructField("failure", T.StringType())])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            found = ask_all(model, frame[prompt_col].tolist(), at_once, seconds)
-            column = lambda k: pd.Series([f[k] for f in found], index=frame.index, dtype=object)
-            yield frame.assign(reply=column(0), failure=column(1))
+        with closing(Calls(model, at_once, seconds)) as calls:
+            for frame in frames:
+                found = calls.ask(frame[prompt_col].tolist())
+                column = lambda k: pd.Series([f[k] for f in found], index=frame.index, dtype=object)  # noqa: E731, B023
+                yield frame.assign(reply=column(0), failure=column(1))
 
     return rows.mapInPandas(run, schema)
 
@@ -105,6 +107,11 @@ def _with_known(rows: DataFrame, replies: DataFrame | None) -> DataFrame:
     return rows.join(replies.select("id", F.col("reply").alias("known"), F.col("failure").alias("known_failure")), "id", "left")
 
 
+def _size(span: carried.Span, state: DataFrame | None) -> int:
+    """How many rows a run judges; entries that are looked up are of users who ask, so they add no group."""
+    return span.size + (0 if state is None else state.count())
+
+
 class _Quota(Judge):
     """Admission by the accepted times that may still count, the model's reply being one of the conditions."""
 
@@ -158,13 +165,15 @@ def interpret(
     model = _wanted(model)
     window = hours * 3_600_000_000
     rows = normalized(requests).withColumn("problem", validity(F.col("user_id"), F.col("dream_text"), time=F.col("request_ts")))
+    # written once: a filter on what is read from a body reads it anew for each time that the condition names it, and both kinds of rows are wanted
+    rows = staged(rows.select("id", "user_id", "request_ts", "dream_text", "mood_tags", "problem"), "parsed")
     said = prompt(template, text=F.col("dream_text"), tags=join_or(F.col("mood_tags"), no_tags))
     valid = rows.filter("problem IS NULL").select("id", "user_id", "request_ts", "dream_text", said.alias("prompt"), micros(F.col("request_ts")).alias("at"))
-    span = carried.span(requests.filter("request_ts IS NOT NULL"), "request_ts")
+    span = carried.span(rows.filter("request_ts IS NOT NULL"), "request_ts")
     before = carried.quota_before(valid, span, stored, state, hours, limit)
     dealt = _with_known(valid, replies).withColumn("carried", F.lit(False)).unionByName(before.withColumn("carried", F.lit(True)), allowMissingColumns=True)
     made = T.StructType([T.StructField("admitted", T.BooleanType()), *(T.StructField(n, T.StringType()) for n in ("reply", "failure", "json"))])
-    judged = staged(in_rounds(dealt, ["user_id"], ["at", "id"], _Quota(limit, window), model, ["at", "held"], made, at_once, seconds).drop("held", "known", "known_failure"), "judged")
+    judged = staged(in_rounds(dealt, ["user_id"], ["at", "id"], _Quota(limit, window), model, ["at", "held"], made, at_once, seconds, _size(span, state)).drop("held", "known", "known_failure"), "judged")
 
     fields = "title string, traditional string, psychological string, mood string, advice string, symbols {}, fortune {}".format(SYMBOLS.simpleString(), FORTUNE.simpleString())
     whole = F.try_parse_json("json")
@@ -263,7 +272,7 @@ def draw(
     before = carried.draws_before(valid, span, stored, state)
     dealt = _with_known(valid, replies).withColumn("carried", F.lit(False)).unionByName(before.withColumn("carried", F.lit(True)), allowMissingColumns=True)
     made = T.StructType([*(T.StructField(n, T.StringType()) for n in ("draw_id", "drawn", "tarotAdvice")), T.StructField("alreadyDrawn", T.BooleanType()), *(T.StructField(n, T.StringType()) for n in ("reply", "failure"))])
-    done = in_rounds(dealt, ["user_id", "day"], ["at", "id"], _Day(), model, ["at", "own", "entry"], made, at_once, seconds)
+    done = in_rounds(dealt, ["user_id", "day"], ["at", "id"], _Day(), model, ["at", "own", "entry"], made, at_once, seconds, _size(span, state))
     done = staged(done.drop("entry", "known", "known_failure"), "draws")
     new = done.filter("NOT alreadyDrawn AND draw_id IS NOT NULL").withColumn("userId", F.col("user_id"))
     entries = draw_rows(new, F.col("id"), F.col("request_ts"))
